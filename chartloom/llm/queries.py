@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import audio, warc
+from .common import spill, table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .token_counts import prefix_token_counts
+from .toxicity import fit_toxicity
 
 
 def vocabulary() -> str:
@@ -21,6 +23,42 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), usable=~held_out())
+    scored = model.score(docs)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
+    # an id of both parts carries n_bytes through the operator, which keeps the id as it is
+    clips = docs.select(F.struct("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")).alias("id"), audio.text_payload(F.col("text")).alias("payload"))
+    got = audio.audio_features(audio.encode_media(clips, "id"), "id")
+    spans = F.to_json("segments")
+    return got.select(
+        "id.doc_id",
+        "id.n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.col("n_tensors").cast("string"), F.sha2("tensors", 256), F.size("segments").cast("string"), F.sha2(spans.cast("binary"), 256)).alias("feature"),
+    )
+
+
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = warc.mark_revisits(table(spark, sf_dir, "pages"), "page_id", "url", "html", min_payload=0)
+    bundles = spill(warc.write_bundles(marked), "warc-bundles")
+    records = warc.read_bundles(bundles)
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
 
@@ -29,6 +67,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), f AS (
+  SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+       (SELECT string_agg(translate(upper(lpad(to_base(('0x' || substr(h, 10 * i + 1, 10))::BIGINT, 32), 8, '0')),
+               '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'), '' ORDER BY i)
+        FROM range(4) r(i)) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
@@ -38,5 +91,5 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM t
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_best_fit_packing, op9_exact_dedup)}
-SQL = {"op9_exact_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_audio_columns, op4_warc_bundles, op6_best_fit_packing, op9_exact_dedup)}
+SQL = {"op4_warc_bundles": OP4_SQL, "op9_exact_dedup": OP9_SQL}
