@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, new_path, spill, text_or_empty
 
+#: State on disk; its changes are checkpointed as a log; no file is allocated ahead, as many small stores would fill disks.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
 
 def normalised(text_col: str = "text"):
     return F.regexp_replace(text_or_empty(text_col), SPACE_CLASS, " ")
@@ -35,10 +42,9 @@ class StreamingDeduper:
         """Append (digest, id, locator) rows, run the stream over what is new, return the state of all digests."""
         spark, log, state = self.spark, f"{self.home}/arrivals", f"{self.home}/state"
         arrivals.write.mode("append").parquet(log)
-        provider, log_changes = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
-        before = {k: spark.conf.get(k, None) for k in (provider, log_changes)}
-        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        spark.conf.set(log_changes, "true")
+        before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
         try:
             folded = (
                 spark.readStream.schema(arrivals.schema)
