@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import audio, warc
 from .common import spill, table
 from .exact_dedup import exact_dedup
+from .ngram_join import ngram_components
 from .packing import pack_documents
 from .token_counts import prefix_token_counts
 from .toxicity import fit_toxicity
@@ -63,6 +64,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,24 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []
+                      WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
+  FROM w
+), n AS (SELECT doc_id, len(sh) AS n FROM s), u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS far FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.far),
+m AS (SELECT doc_id, min(far) AS c FROM r GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(m.c, n.doc_id) AS component_id FROM n LEFT JOIN m ON m.doc_id = n.doc_id
+"""
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
@@ -91,5 +114,8 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM t
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_audio_columns, op4_warc_bundles, op6_best_fit_packing, op9_exact_dedup)}
-SQL = {"op4_warc_bundles": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_toxicity, op3_audio_columns, op4_warc_bundles, op6_best_fit_packing, op8_ngram_join, op9_exact_dedup)
+}
+SQL = {"op4_warc_bundles": OP4_SQL, "op8_ngram_join": OP8_SQL, "op9_exact_dedup": OP9_SQL}
