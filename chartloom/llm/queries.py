@@ -11,6 +11,7 @@ from .common import spill, table
 from .exact_dedup import exact_dedup
 from .ngram_join import ngram_components
 from .packing import pack_documents
+from .substring_dedup import remove_repeats
 from .token_counts import prefix_token_counts
 from .toxicity import fit_toxicity
 
@@ -64,6 +65,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), batches=2, window=35)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -87,6 +92,20 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS g FROM p),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM k) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM h),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS body FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(kept.body, '')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -116,6 +135,6 @@ FROM t
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_toxicity, op3_audio_columns, op4_warc_bundles, op6_best_fit_packing, op8_ngram_join, op9_exact_dedup)
+    for f in (op1_token_counts, op2_toxicity, op3_audio_columns, op4_warc_bundles, op6_best_fit_packing, op7_substring_dedup, op8_ngram_join, op9_exact_dedup)
 }
-SQL = {"op4_warc_bundles": OP4_SQL, "op8_ngram_join": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op4_warc_bundles": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_exact_dedup": OP9_SQL}
