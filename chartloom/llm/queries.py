@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from . import audio, warc
 from .common import spill, table
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
+from .mixing import copies, fit_mixing, with_rates
 from .ngram_join import ngram_components
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
@@ -61,6 +63,22 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Target weights by language and quality; domains a corpus lacks are left out.
+TARGET_WEIGHTS = {"en-1": 0.40, "fr-1": 0.16, "de-1": 0.16, "es-1": 0.16, "en-0": 0.03, "fr-0": 0.03, "de-0": 0.03, "es-0": 0.03}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and domain (language and quality) of the labelled rows."""
+    known = labels.where("quality is not null").select("doc_id", "quality")
+    return docs.select("doc_id", "lang").join(known, "doc_id").select("doc_id", F.concat_ws("-", "lang", F.col("quality").cast("string")).alias("domain"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, members = fit_mixing(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGET_WEIGHTS)
+    return with_rates(model, members).select(F.col("id").alias("doc_id"), "domain", "n_tokens", "rate", copies(F.col("rate"), F.col("id")).alias("copies"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
 
@@ -77,6 +95,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), num=8, den=10)
+
+
 OP4_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body FROM pages
@@ -135,6 +157,6 @@ FROM t
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_toxicity, op3_audio_columns, op4_warc_bundles, op6_best_fit_packing, op7_substring_dedup, op8_ngram_join, op9_exact_dedup)
+    for f in (op1_token_counts, op2_toxicity, op3_audio_columns, op4_warc_bundles, op5_mixing, op6_best_fit_packing, op7_substring_dedup, op8_ngram_join, op9_exact_dedup, op10_line_dedup)
 }
 SQL = {"op4_warc_bundles": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_exact_dedup": OP9_SQL}
