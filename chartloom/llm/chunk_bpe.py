@@ -26,7 +26,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
 
-MEMO_ENTRIES = 500_000
+#: Entries of each memo of a Python worker: about 400 MB of ids, or 500 MB for all memos of prefix counts.
+IDS_MEMO, STEPS_MEMO, PIECES_MEMO, PAIRS_MEMO = 2_000_000, 1_600_000, 700_000, 500_000
 
 
 def _byte_alphabet() -> list[str]:
@@ -43,11 +44,10 @@ def _byte_alphabet() -> list[str]:
 
 
 class ChunkBpe:
-    def __init__(self, path: str, memo: int = MEMO_ENTRIES):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.memo_entries = memo
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.vocab = frozenset(spec["model"]["vocab"])
@@ -56,8 +56,9 @@ class ChunkBpe:
         self.alphabet = _byte_alphabet()
         self.ids: dict[str, bytes] = {"": b""}
         self.deltas: dict[str, bytes | None] = {"": b""}
-        self.piece_counts: dict[str, bytes | list[int]] = {}
-        self.pairs: dict[tuple[str, str, bool], bool] = {}
+        self.pieces: dict[str, bytes | None] = {}
+        self.open_pairs: dict[tuple[str, str], bool] = {}
+        self.close_pairs: dict[tuple[str, str], bool] = {}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -74,7 +75,7 @@ class ChunkBpe:
             return b"".join(map(self.ids.__getitem__, parts))
 
     def _learn_ids(self, parts: list[str]) -> None:
-        if len(self.ids) > self.memo_entries:
+        if len(self.ids) > IDS_MEMO:
             self.ids = {"": b""}
         new = list({p for p in parts if p not in self.ids})
         for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -82,98 +83,114 @@ class ChunkBpe:
 
     # ---- prefix counts ---------------------------------------------------------
     def prefix_table(self, text: str) -> tuple[int, bytes]:
-        """(width, table): one signed step per character; a running sum gives the count at every prefix."""
-        parts = self.chunks(text)
-        try:
-            steps = list(map(self.deltas.__getitem__, parts))
-        except KeyError:
-            self._learn_deltas(parts)
-            steps = list(map(self.deltas.__getitem__, parts))
-        if None not in steps:
-            return 1, b"\0".join(steps)
-        wide = [np.diff(self.chunk_counts(p, None), prepend=0).astype("<i4").tobytes() for p in parts]
-        return 4, b"\0\0\0\0".join(wide)
-
-    def _learn_deltas(self, parts: list[str]) -> None:
-        if len(self.deltas) > self.memo_entries:
+        return self.prefix_tables([text])[0]
+
+    def prefix_tables(self, texts: list[str]) -> list[tuple[int, bytes]]:
+        """(width, table) of each text: one signed step per character; a running sum gives the count at every prefix."""
+        parts = [self.chunks(t) for t in texts]
+        if len(self.deltas) > STEPS_MEMO:
             self.deltas = {"": b""}
-        if len(self.piece_counts) > self.memo_entries:
-            self.piece_counts = {}
-        if len(self.pairs) > 4 * self.memo_entries:
-            self.pairs = {}
-        new = list({p for p in parts if p not in self.deltas})
-        whole = self.lib.encode_batch_fast(new, add_special_tokens=False)
-        for p, e in zip(new, whole, strict=True):
-            counts = self.chunk_counts(p, len(e.ids))
-            last, step, out = 0, 0, bytearray()
-            for c in counts:
-                step, last = c - last, c
-                if not -128 <= step < 128:
-                    out = None
-                    break
-                out.append(step & 255)
-            self.deltas[p] = None if out is None else bytes(out)
-
-    def chunk_counts(self, chunk: str, total: int | None) -> list[int]:
-        """Tokens of chunk[:k] for k = 1..len(chunk)."""
-        if not chunk:
-            return []
+        new = set().union(*parts).difference(self.deltas)
+        if new:
+            self._learn_deltas(new)
+        out = []
+        for own in parts:
+            steps = list(map(self.deltas.__getitem__, own))
+            if None in steps:
+                out.append((4, b"\0\0\0\0".join(np.diff(self._library_counts(p), prepend=0).astype("<i4").tobytes() for p in own)))
+            else:
+                out.append((1, b"\0".join(steps)))
+        return out
+
+    def _learn_deltas(self, chunks: set[str]) -> None:
+        if len(self.pieces) > PIECES_MEMO:
+            self.pieces = {}
+        if len(self.open_pairs) + len(self.close_pairs) > PAIRS_MEMO:
+            self.open_pairs, self.close_pairs = {}, {}
+        split = [(chunk, self._split(chunk)) for chunk in chunks]
+        new = list({piece for _, own in split if own for piece in own}.difference(self.pieces))
+        counts = self._piece_counts(new)
+        for piece, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            own = counts[piece]
+            self.pieces[piece] = _steps(own if own[-1] == len(e.ids) else self._library_counts(piece))
+        for chunk, own in split:
+            if own is None:
+                self.deltas[chunk] = _steps(self._library_counts(chunk))
+            elif len(own) == 1:
+                self.deltas[chunk] = self.pieces[own[0]]
+            else:
+                got = [self.pieces[piece] for piece in own]
+                self.deltas[chunk] = None if None in got else b"".join(got)
+
+    def _split(self, chunk: str) -> list[str] | None:
+        """Pieces that tile a chunk; None if normalising reshapes it, or it holds other white space or a special string."""
         low = chunk.lower()
-        plain = chunk.isascii() or (len(low) == len(chunk) and unicodedata.is_normalized("NFC", chunk) and all(len(c.lower()) == 1 for c in set(chunk)))
-        if plain and not any(c.isspace() for c in chunk) and not any(s in chunk for s in self.special):
-            out, before = [], 0
-            for m in PIECES.finditer(low):
-                own = self._piece(m.group())
-                out += [before + c for c in own] if before else own
-                before = out[-1]
-            if len(out) == len(chunk) and (total is None or out[-1] == total):
-                return out
-        # white space other than blank and newline, special strings, text that normalising reshapes
+        if not chunk.isascii() and (len(low) != len(chunk) or not unicodedata.is_normalized("NFC", chunk) or any(c.isspace() or len(c.lower()) != 1 for c in chunk)):
+            return None
+        if "<|" in chunk and any(s in chunk for s in self.special):
+            return None
+        own = PIECES.findall(low)
+        return own if sum(map(len, own)) == len(chunk) else None
+
+    def _library_counts(self, chunk: str) -> list[int]:
         return [len(e.ids) for e in self.lib.encode_batch_fast([chunk[:k] for k in range(1, len(chunk) + 1)], add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> bytes | list[int]:
-        got = self.piece_counts.get(piece)
-        if got is None:
-            if piece in ("'re", "'ve", "'ll"):  # a cut contraction falls apart: "'r" of "'re" is two pieces
-                got = [1, 2, self._lattice(piece)[-1]]
+    def _piece_counts(self, pieces: list[str]) -> dict[str, list[int]]:
+        """Tokens of piece[:k] for k = 1..len(piece). In sorted order, neighbours share their common prefix's states."""
+        jobs = []
+        for piece in pieces:
+            if piece.isascii():
+                jobs.append((piece, None, piece))
             else:
-                got = self._lattice(piece)
-            got = self.piece_counts[piece] = bytes(got) if got[-1] < 200 and max(got) < 256 else got
-        return got
-
-    def _lattice(self, piece: str) -> list[int]:
-        alphabet, vocab, longest = self.alphabet, self.vocab, self.longest
-        marks = [[alphabet[b] for b in c.encode()] for c in piece]
-        sym = "".join("".join(m) for m in marks)
-        n = len(sym)
-        last, count = [""] * (n + 1), [0] * (n + 1)
-        out, end, nxt = [], 0, 0
-        ends = []
-        for m in marks:
-            end += len(m)
-            ends.append(end)
-        for i in range(1, n + 1):
-            low = max(0, i - longest)
-            if i == ends[nxt]:
-                for j in range(low, i):
-                    t = sym[j:i] + WORD_END
-                    if t in vocab and self._fits(last[j], t, True):
-                        out.append(count[j] + 1)
-                        break
-                nxt += 1
-            if i < n:
-                for j in range(low, i):
-                    t = sym[j:i]
-                    if t in vocab and self._fits(last[j], t, False):
-                        last[i], count[i] = t, count[j] + 1
-                        break
+                marks = ["".join(self.alphabet[b] for b in c.encode()) for c in piece]
+                jobs.append(("".join(marks), np.cumsum([len(m) for m in marks]).tolist(), piece))
+        jobs.sort(key=lambda j: j[0])
+        vocab, longest, opened, closed, fits = self.vocab, self.longest, self.open_pairs, self.close_pairs, self._fits
+        out, before = {}, ""
+        last, count, close = [""], [0], [0]  # by bytes of the prefix; filled up to len(before), open states to one less
+        for sym, ends, piece in jobs:
+            n, same = len(sym), 0
+            top = min(n, len(before))
+            while same < top and sym[same] == before[same]:
+                same += 1
+            ready = min(same, len(before) - 1) if before else 0
+            del last[ready + 1 :], count[ready + 1 :], close[same + 1 :]
+            stops = ends and set(ends)
+            for i in range(ready + 1, n + 1):
+                low = i - longest if i > longest else 0
+                if i > same:
+                    close.append(0)
+                    if stops is None or i in stops:
+                        for j in range(low, i):
+                            t = sym[j:i] + WORD_END
+                            if t in vocab:
+                                ok = closed.get((last[j], t))
+                                if ok is None:
+                                    ok = closed[last[j], t] = fits(last[j], sym[j:i], True)
+                                if ok:
+                                    close[i] = count[j] + 1
+                                    break
+                if i < n:
+                    for j in range(low, i):
+                        t = sym[j:i]
+                        if t in vocab:
+                            ok = opened.get((last[j], t))
+                            if ok is None:
+                                ok = opened[last[j], t] = fits(last[j], t, False)
+                            if ok:
+                                last.append(t)
+                                count.append(count[j] + 1)
+                                break
+            before = sym
+            out[piece] = close[1:] if ends is None else [close[e] for e in ends]
+        for cut in ("'re", "'ve", "'ll"):  # a cut contraction falls apart: "'r" of "'re" is two pieces
+            if cut in out:
+                out[cut] = [1, 2, out[cut][-1]]
         return out
 
     def _fits(self, a: str, b: str, ended: bool) -> bool:
-        got = self.pairs.get((a, b, ended))
-        if got is None:
-            got = self.pairs[a, b, ended] = self._merge(a + b.removesuffix(WORD_END) if ended else a + b, ended) == ([a, b] if a else [b])
-        return got
+        end = b + WORD_END if ended else b
+        return self._merge(a + b, ended) == ([a, end] if a else [end])
 
     def _merge(self, sym: str, ended: bool) -> list[str]:
         parts = list(sym)
@@ -188,6 +205,12 @@ class ChunkBpe:
         return parts
 
 
+def _steps(counts: list[int]) -> bytes | None:
+    """Differences as signed bytes, or None if one does not fit."""
+    steps = [b - a for a, b in zip([0, *counts], counts)]
+    return bytes([s & 255 for s in steps]) if min(steps) >= -128 and max(steps) < 128 else None
+
+
 def count_at(width: int, table: bytes, prefix: int) -> int:
     """Exact token count of the text's first ``prefix`` characters, from its stored table."""
     return int(np.frombuffer(table, "i1" if width == 1 else "<i4")[:prefix].sum())

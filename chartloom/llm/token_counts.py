@@ -41,8 +41,8 @@ def prefix_token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id"
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 widths, tables, totals, sizes = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    width, steps = bpe.prefix_table(text)
+                texts = part.column(1).to_pylist()
+                for text, (width, steps) in zip(texts, bpe.prefix_tables(texts), strict=True):
                     widths.append(width)
                     tables.append(steps)
                     totals.append(int(np.frombuffer(steps, "i1" if width == 1 else "<i4").sum(dtype=np.int64)))
