@@ -36,6 +36,14 @@ WINDOW, GRAM = 35, 12
 SLICES_PER_BUCKET = 2
 
 
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Least value of each ``width`` neighbours, by doubling."""
+    out, size = x, 1
+    while 2 * size <= width:
+        out, size = np.minimum(out[:-size], out[size:]), 2 * size
+    return np.minimum(out[: out.size - (width - size)], out[width - size :])
+
+
 class Runs:
     """A text's runs of windows: fingerprint, context, first and last window start, in order."""
 
@@ -50,9 +58,9 @@ class Runs:
         self.seq, self.seq2 = Sequences(words), Sequences(words, 1)
         at = np.arange(words.size - gram + 1)
         grams = self.seq.of(at, at + gram)
-        # rank by a second mix, so that the choice is independent of the index's order
-        rank = mix(grams ^ U(0x2545F4914F6CDD1D))
-        chosen = np.arange(n_win) + np.lib.stride_tricks.sliding_window_view(rank, window - gram + 1).argmin(axis=1)
+        # rank by a second mix, so that the choice is independent of the index's order; ties go to the left
+        rank = (mix(grams ^ U(0x2545F4914F6CDD1D)) & U(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+        chosen = (sliding_min(rank, window - gram + 1) & U(0xFFFFFFFF)).astype(np.int64)
         cut = np.flatnonzero(np.diff(chosen)) + 1
         self.first = np.concatenate([[0], cut])
         self.last = np.append(cut, n_win) - 1
