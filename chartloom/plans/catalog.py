@@ -273,7 +273,7 @@ def desc_lookup_fallback(spark, d):
     return lookups.lookup_fallback(part.select("p_partkey"), "p_partkey", [cm, pcs], "title")
 
 
-KNOWN = "known AS (SELECT DISTINCT left('P' || lpad(p_partkey::VARCHAR, 5, '0'), (3 + p_size % 4)::INT) AS name, CASE WHEN p_size % 2 = 0 THEN 'cm' ELSE 'pcs' END AS root FROM part WHERE p_partkey % 11 = 0)"
+KNOWN = "known AS (SELECT DISTINCT left('P' || lpad(p_partkey::VARCHAR, 5, '0'), (3 + p_size % 4)::INT) AS name, CASE WHEN p_size % 2 = 0 THEN 'cm' ELSE 'pcs' END AS root FROM part WHERE p_size > 45)"
 
 
 @query(f"""WITH {ADM}, {KNOWN}, w AS (SELECT DISTINCT code FROM adm),
@@ -286,7 +286,7 @@ def prefix_cascade(spark, d):
 
 
 def known_nodes(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 11 = 0")
+    p = table(spark, d, "part").where("p_size > 45")
     return p.select(F.substring(code_of("p_partkey"), F.lit(1), 3 + F.col("p_size") % 4).alias("name"), F.when(F.col("p_size") % 2 == 0, "cm").otherwise("pcs").alias("root")).distinct()
 
 
@@ -506,11 +506,11 @@ def group_split(spark, d):
 
 
 @query(f"""WITH {LISTS}, u AS (SELECT unnest([{', '.join(f"'{c}'" for c in TOP)}]) AS code), x AS (SELECT hadm_id, u.code, row_number() OVER (PARTITION BY hadm_id ORDER BY md5('7|' || u.code)) AS r
- FROM lists, u WHERE hadm_id % 20 = 0 AND NOT list_contains(codes, u.code))
-SELECT hadm_id, string_agg(code, ',' ORDER BY code) AS sampled FROM (SELECT hadm_id, code FROM x WHERE r <= 4 UNION ALL SELECT hadm_id, unnest(codes) FROM lists WHERE hadm_id % 20 = 0) GROUP BY hadm_id""")
+ FROM lists, u WHERE NOT list_contains(codes, u.code))
+SELECT hadm_id, string_agg(code, ',' ORDER BY code) AS sampled FROM (SELECT hadm_id, code FROM x WHERE r <= 4 UNION ALL SELECT hadm_id, unnest(codes) FROM lists) GROUP BY hadm_id""")
 def soft_negatives(spark, d):
-    """For a stated set of admissions, positives with four sampled negatives."""
-    rows = code_list_table(spark, d).where("hadm_id % 20 = 0")
+    """Positives with four sampled negatives."""
+    rows = code_list_table(spark, d)
     return rows.select("hadm_id", joined(sampling.negatives(F.array(*map(F.lit, TOP)), F.col("codes"), 4, 7)).alias("sampled"))
 
 
@@ -559,12 +559,12 @@ def score_threshold_search(spark, d):
 
 
 @query(f"""WITH {V}, r1 AS (SELECT q_id, x_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, x_id) AS rank FROM s),
-h AS (SELECT q_id, x_id, rank FROM r1 WHERE rank <= 10 UNION ALL SELECT q_id, x_id, 11 - rank FROM r1 WHERE rank <= 10 AND x_id % 2 = 0),
+h AS (SELECT q_id, x_id, rank FROM r1 WHERE rank <= 10 UNION ALL SELECT q_id, x_id, 11 - rank FROM r1 WHERE rank <= 10),
 f AS (SELECT q_id, x_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM h GROUP BY 1, 2)
 SELECT q_id, x_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, x_id) AS rank FROM f) WHERE rank <= 5""")
 def rrf_fusion(spark, d):
     a = nearest(spark, d, 10).select("q_id", "x_id", "rank")
-    b = a.where("x_id % 2 = 0").select("q_id", "x_id", (11 - F.col("rank")).alias("rank"))
+    b = a.select("q_id", "x_id", (11 - F.col("rank")).alias("rank"))
     return vectors.reciprocal_rank_fusion(a.unionByName(b), "q_id", "x_id", 5)
 
 
@@ -637,14 +637,14 @@ def event_windows(spark, d):
     return windowed_means(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "high")
 
 
-@query("""WITH RECURSIVE k AS (SELECT l_orderkey % 200 AS g, lower(l_linestatus || l_returnflag) AS phrase FROM lineitem WHERE l_linenumber > 5)
+@query("""WITH k AS (SELECT lower(l_linestatus || l_returnflag) AS phrase FROM lineitem WHERE l_linenumber > 5)
 SELECT phrase, count(*) AS n FROM k GROUP BY phrase""")
 def fn_phrases(spark, d):
     missed = table(spark, d, "lineitem").where("l_linenumber > 5")
     return missed.groupBy(F.lower(F.concat("l_linestatus", "l_returnflag")).alias("phrase")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH t AS (SELECT o_orderkey AS row_id, 'C' || o_custkey AS class FROM orders), j AS (SELECT n_regionkey AS chapter, o_orderkey % 3 = 0 AS hit FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+@query("""WITH j AS (SELECT n_regionkey AS chapter, o_orderkey % 3 = 0 AS hit FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
 SELECT 'R' || chapter AS chapter, count(*) AS freq, sum(hit::INT)::BIGINT AS tp, round(avg(hit::INT), 6) AS recall FROM j GROUP BY 1""")
 def chapter_recall(spark, d):
     chapters = hierarchy.at_root_depth(hierarchy.closure(tree(spark, d)), 0).select(F.col("descendant").alias("class"), F.col("ancestor").alias("chapter"))
