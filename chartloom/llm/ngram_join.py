@@ -15,8 +15,10 @@ No group of equal sections is expanded into all its pairs:
   others are compared with those that the triangle inequality of the Jaccard distance leaves;
 * sections of at most one shingle, and sections shared by more than ``SMALL`` unresolved sets, are
   weak. As s of the 1 + s agreeing sections may be weak, a set with at most s weak ones is left out
-  of weak groups: a strong section finds its partners. Only sets beyond that go on, with a new leader
-  each round, until nothing is unresolved.
+  of weak groups: a strong section finds its partners;
+* the sets beyond that, crowded families, are joined anew on their rarest shingles (a prefix filter).
+  There, sets that are one component by now need no comparing, and up to ``SMALL`` sets a round from
+  outside a group's largest component face the rest of it, until nothing is unresolved.
 
 So every link between different components is verified or ruled out, none is capped away.
 
@@ -31,11 +33,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spill, text_or_empty
+from .common import drop_path, new_path, spill, text_or_empty
 from .components import connected_components
 from .word_hashes import U, mix, shingle_set
 
@@ -63,24 +65,54 @@ def bands_of(n: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=65536)
+def _narrow(n: int) -> tuple[int, int, int]:
+    """(number, least, most size) of the narrow size class of n; classes grow by a 25th."""
+    low, number = 1, 0
+    while True:
+        high = low + max(1, low // 25)
+        if n < high:
+            return number, low, high - 1
+        low, number = high, number + 1
+
+
+@lru_cache(maxsize=65536)
+def size_pairs(n: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
+    """(code, prefix, side) of each pair of narrow classes in which a set of n shingles may link.
+
+    A partner shares at least num (n + its size) / (num + den) shingles, so of any ``prefix`` shingles
+    of the set it lacks at most all but one.
+    """
+    out, m, own = [], -(-n * num // den), _narrow(n)[0]
+    while m <= n * den // num:
+        other, _, top = _narrow(m)
+        out.append(((min(own, other) << 12) + max(own, other), n + num * (n + m) // -(num + den) + 1, (own > other) * 2 + (own < other)))
+        m = top + 1
+    return tuple(out)
+
+
+def _section_hashes(h: np.ndarray, band: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit key, number of shingles) of every section of a sorted set's sketch, 128 bits to a section."""
+    bits = U(1) << (mix(h) & U(63))
+    more = U(1) << (mix(h ^ U(0x5851F42D4C957F2D)) & U(63))
+    # the range of a hash is its place in the ordered hash space, so each range is a run of h
+    part = ((h >> U(32)) * U(ranges)) >> U(32)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    full = np.zeros((3, ranges), np.uint64)
+    at = part[first].astype(np.int64)
+    full[0, at], full[1, at], full[2, at] = np.bitwise_xor.reduceat(bits, first), np.bitwise_xor.reduceat(more, first), np.diff(np.append(first, h.size))
+    where = np.arange(ranges, dtype=np.uint64) + (U(band) << U(36))
+    return mix(mix(full[0] + where * U(0x9E3779B97F4A7C15)) ^ full[1] * U(0xD6E8FEB86659FD93)), full[2]
+
+
 def section_keys(h: np.ndarray, num: int, den: int) -> tuple[np.ndarray | list, np.ndarray | list]:
     """(keys, spare) of a sorted set: for each emitted section a 64-bit key and how many more weak ones are allowed."""
     keys, slacks = [], []
-    bits = U(1) << (mix(h) & U(63))
-    more = U(1) << (mix(h ^ U(0x5851F42D4C957F2D)) & U(63))
     for band, ranges, slack in bands_of(h.size, num, den):
-        # the range of a hash is its place in the ordered hash space, so each range is a run of h
-        part = ((h >> U(32)) * U(ranges)) >> U(32)
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        size = np.diff(np.append(first, h.size))
-        full = np.zeros((3, ranges), np.uint64)
-        at = part[first].astype(np.int64)
-        full[0, at], full[1, at], full[2, at] = np.bitwise_xor.reduceat(bits, first), np.bitwise_xor.reduceat(more, first), size
-        weak = full[2] <= 1
+        key, size = _section_hashes(h, band, ranges)
+        weak = size <= 1
         n_weak = int(np.count_nonzero(weak))
         emit = np.ones(ranges, bool) if n_weak > slack else ~weak
-        where = np.arange(ranges, dtype=np.uint64) + (U(band) << U(40))
-        key = mix(mix(full[0] + where * U(0x9E3779B97F4A7C15)) ^ full[1] * U(0xD6E8FEB86659FD93))
         keys.append(key[emit])
         slacks.append(np.full(int(emit.sum()), slack - n_weak if n_weak <= slack else -1))
     if not keys:
@@ -159,67 +191,135 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, schema)
 
 
+def _rarest_shingles(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """key, id, n, side: the shingles by which crowded sets are joined anew, for each pair of narrow size classes.
+
+    side: 0 if both classes are one, else 1 for the lower and 2 for the higher.
+
+    With one global order, the rarest first, linked sets have one of their prefixes' shingles in common.
+    """
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("code", T.IntegerType()), T.StructField("prefix", T.IntegerType()), T.StructField("side", T.IntegerType())])
+
+    def classes(batches):
+        for batch in batches:
+            rows = [(i, *pair) for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for pair in size_pairs(n, num, den)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:])], names=schema.fieldNames())
+
+    spaces = sets.select("id", F.size("shingles").cast("long").alias("n")).mapInArrow(classes, schema)
+    tokens = sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("gram"))
+    counts = tokens.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy("id").orderBy("c", "gram")  # a set's own shingles
+    placed = tokens.join(counts, F.col("gram") == F.col("g")).withColumn("place", F.row_number().over(order))
+    # alone beyond its least partner's reach: no key
+    first = placed.where((F.col("c") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1))
+    return first.join(spaces, (F.col("id") == F.col("i")) & (F.col("place") <= F.col("prefix"))).select(F.xxhash64("code", "gram").alias("key"), "id", "n", "side")
+
+
+def _led(keyed: DataFrame) -> DataFrame:
+    """Rows of keys that more than one set has, with the least of them as leader."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").drop("c")
+    return spill(keyed.join(shared, "key"), "ngram-groups")
+
+
+class _Verifier:
+    """Pairs checked so far, and the round that all stages share."""
+
+    def __init__(self, sets: DataFrame, num: int, den: int):
+        self.sets, self.num, self.den = sets, num, den
+        self.done: DataFrame | None = None
+        self.path = ""
+        self.far = 1 - F.col("inter") / F.col("total")  # the Jaccard distance
+        self.link = F.col("inter") * den >= F.col("total") * num
+        self.near = (den - num) / den + 1e-9
+
+    def check(self, pairs: DataFrame) -> None:
+        """Verify pairs that were not before. What is written is small, so its size is known to the next
+        join, and the sets of other ids do not move; all results are one table, so that plans stay small."""
+        spark = pairs.sparkSession
+        pairs = pairs.distinct()
+        if self.done is not None:
+            pairs = pairs.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
+        paths = [new_path(spark, "ngram-pairs"), new_path(spark, "ngram-ids")]
+        pairs = spill(pairs, "ngram-pairs", paths[0])
+        ids = spill(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ngram-ids", paths[1])
+        new = _overlaps(pairs, self.sets.join(ids, "id", "left_semi"))
+        before, self.path = self.path, new_path(spark, "ngram-overlaps")
+        self.done = spill(new if self.done is None else self.done.unionByName(new), "ngram-overlaps", self.path)
+        drop_path(spark, *paths, *([before] if before else []))
+
+    def links(self) -> DataFrame:
+        return self.done.where(self.link).select("a", "b")
+
+    def round(self, groups: DataFrame) -> DataFrame:
+        """Compare groups with their leaders, settle small remainders; the rows of large ones come back."""
+        self.check(groups.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
+        both = self.done.select("a", "b", self.far.alias("far"), self.link.alias("link"))
+        # the leader itself has distance 0, so it leaves the group below
+        seen = groups.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader")).join(both, ["a", "b"], "left")
+        seen = seen.withColumn("far", F.coalesce("far", F.lit(0.0))).withColumn("link", F.coalesce("link", F.lit(True))).drop("a", "b", "leader")
+        # a linked member beyond reach of all unlinked ones is settled
+        apart = seen.where("not link").groupBy(F.col("key").alias("g")).agg(F.min("far").alias("nearest"))
+        rest = seen.join(apart, F.col("key") == F.col("g")).where((~F.col("link")) | (F.col("far") >= F.col("nearest") - self.near)).drop("g", "nearest")
+        sizes = rest.groupBy(F.col("key").alias("h")).agg(F.count("*").alias("size")).where("size > 1")
+        left = spill(rest.join(sizes, F.col("key") == F.col("h")).drop("h"), "ngram-rest")
+        small = left.where(F.col("size") <= SMALL)
+        # at most SMALL - 1 partners each, the unlinked against all that are left in the group
+        x = small.where("not link").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("far").alias("fx"))
+        y = small.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("far").alias("fy"), F.col("link").alias("ly"))
+        self.check(self._possible(x.join(y, "key").where("x <> y and (ly or x < y)")))
+        return left.where(F.col("size") > SMALL).drop("size")
+
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that sizes and the triangle inequality allow to link."""
+        sized = pairs.where(F.least("nx", "ny") * self.den >= F.greatest("nx", "ny") * self.num)
+        return sized.where(F.abs(F.col("fx") - F.col("fy")) <= self.near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def two_sided(self, keyed: DataFrame) -> DataFrame:
+        """Settle groups of two size classes of which one has few sets; the rest comes back."""
+        sides = keyed.groupBy(F.col("key").alias("k")).agg(F.count_if(F.col("side") == 1).alias("lower"), F.count_if(F.col("side") == 2).alias("higher"))
+        few = F.least("lower", "higher")
+        both = spill(keyed.join(sides, F.col("key") == F.col("k")).where((F.col("side") == 0) | (few > 0)), "ngram-sides")
+        cross = both.where((F.col("side") > 0) & (few <= SMALL))
+        x = cross.where("side = 1").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.lit(0.0).alias("fx"))
+        y = cross.where("side = 2").select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.lit(0.0).alias("fy"))
+        self.check(self._possible(x.join(y, "key")))
+        return both.where((F.col("side") == 0) | (few > SMALL)).select("key", "id", "n")
+
+    def across(self, large: DataFrame) -> DataFrame:
+        """Up to SMALL sets of each group's smaller components face the rest of it and are done; what stays open comes back."""
+        labels = connected_components(self.links())
+        known = large.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", "far", F.coalesce("component", "id").alias("part"))
+        parts = known.groupBy("key", "part").agg(F.count("*").alias("m"))
+        most = parts.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        sized = parts.join(most.select(F.col("key").alias("k"), F.col("top.part").alias("main")), F.col("key") == F.col("k")).select("k", F.col("part").alias("p"), "m", "main")
+        rows = known.join(sized, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))).withColumn("minor", F.col("part") != F.col("main"))
+        order = Window.partitionBy("key").orderBy("m", "id")
+        turn = rows.where("minor").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SMALL).select(F.col("key").alias("f_key"), F.col("id").alias("f_id"))
+        open_ = spill(rows.join(turn, (F.col("key") == F.col("f_key")) & (F.col("id") == F.col("f_id")), "left").select("key", "id", "n", "far", "part", "minor", F.col("f_id").isNotNull().alias("faces")), "ngram-open")
+        x = open_.where("faces").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("far").alias("fx"), F.col("part").alias("px"))
+        y = open_.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("far").alias("fy"), F.col("part").alias("py"))
+        self.check(self._possible(x.join(y, "key").where("px <> py")))
+        more = open_.where("minor and not faces").select(F.col("key").alias("k")).distinct()
+        return spill(open_.where("not faces").join(more, F.col("key") == F.col("k"), "left_semi").select("key", "id", "n", "far"), "ngram-rest")
+
+
 def jaccard_links(reps: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Verified links a, b between representatives that suffice for the components of all links."""
-    spark = reps.sparkSession
-    keyed = reps.select("id", "n", F.explode("keys").alias("k")).select("k.key", "id", "n", "k.spare")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").drop("c")
-    groups = spill(keyed.join(shared, "key"), "ngram-groups")  # key, id, n, spare, leader
+    groups = _led(reps.select("id", "n", F.explode("keys").alias("k")).select("k.key", "id", "n", "k.spare"))
     wanted = groups.select("id").distinct()
     own = texts.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text"))
     sets = spill(_sets(own, k), "ngram-sets")
-
-    far = 1 - F.col("inter") / F.col("total")  # the Jaccard distance
-    link = F.col("inter") * den >= F.col("total") * num
-    done = None
-    rounds = []
-    while True:
-        pairs = groups.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = spill(_overlaps(pairs, sets), "ngram-overlaps")
-        rounds.append(new)
-        done = new if done is None else done.unionByName(new)
-        # what a group's leader leaves open
-        both = done.select("a", "b", far.alias("far"), link.alias("link"))
-        seen = (
-            groups.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader")).join(both, ["a", "b"], "left")
-            .select("key", "id", "n", "spare", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("link", F.lit(True)).alias("link"))
-        )  # the leader itself: distance 0, so it leaves the group below
-        # apart: how near the unlinked come; a linked member beyond the threshold of all of them is settled
-        apart = seen.where("not link").groupBy(F.col("key").alias("g")).agg(F.min("far").alias("near"))
-        rest = seen.join(apart, F.col("key") == F.col("g")).where((~F.col("link")) | (F.col("far") >= F.col("near") - (den - num) / den - 1e-9))
-        sizes = rest.groupBy(F.col("key").alias("h")).agg(F.count("*").alias("size"))
-        rest = rest.join(sizes, F.col("key") == F.col("h")).where("size > 1").select("key", "id", "n", "spare", "far", "link", "size")
-        left = spill(rest, "ngram-rest")
-        small = left.where(F.col("size") <= SMALL)
-        # at most SMALL - 1 partners each, the unlinked against all that are left in the group
-        x, y = small.where("not link").select("key", F.col("id").alias("x"), F.col("n").alias("nx")), small.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("link").alias("ly"))
-        within = (
-            x.join(y, "key")
-            .where("x <> y and (ly or x < y)")
-            .where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-            .join(done.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        settled = spill(_overlaps(within, sets), "ngram-overlaps")
-        rounds.append(settled)
-        done = done.unionByName(settled)
-        # large groups: only sets with more weak sections than the slack allows stay
-        large = left.where(F.col("size") > SMALL)
-        weak = large.groupBy("id").agg(F.countDistinct("key").alias("weak"))
-        staying = large.join(weak, "id").where(F.col("weak") > F.col("spare"))
-        # the next leader is the nearest to the last: near copies of one text lead to that text
-        heads = staying.groupBy("key").agg(F.min(F.struct("far", "id")).alias("nearest"), F.count_if(~F.col("link")).alias("open"), F.count("*").alias("c")).where("open > 0 and c > 1").select("key", F.col("nearest.id").alias("leader"))
-        groups = spill(staying.select("key", "id", "n", "spare").join(heads, "key"), "ngram-groups")
-        if not groups.limit(1).count():
-            break
-    links = None
-    for part in rounds:
-        part = part.where(link).select("a", "b")
-        links = part if links is None else links.unionByName(part)
-    return links
+    verify = _Verifier(sets, num, den)
+    large = verify.round(groups)
+    weak = large.groupBy("id").agg(F.countDistinct("key").alias("weak"))
+    crowded = spill(large.join(weak, "id").where(F.col("weak") > F.col("spare")).select("id").distinct(), "ngram-crowded")
+    if crowded.limit(1).count():
+        groups = _led(verify.two_sided(_rarest_shingles(sets.join(crowded, "id", "left_semi"), num, den)))
+        large = verify.round(groups)
+        while large.limit(1).count():
+            large = verify.across(large)
+    return verify.links()
 
 
 def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
