@@ -131,19 +131,21 @@ class FingerprintIndex:
         new = self.spark.table(self.runs[run][0]).select("fp").distinct()
         old = [self.spark.table(name).select("fp").distinct() for name, _ in self.runs[:run]]
         hits = [new.hint("merge").join(o.hint("merge"), "fp") for o in old]
-        return reduce(DataFrame.unionByName, hits).distinct() if hits else new.limit(0)
+        return reduce(DataFrame.unionByName, hits).distinct() if hits else new.limit(0)  # joins are row-wise plans
 
     def compact(self) -> None:
         """Merge all runs into one; the old ones go once the new one is complete."""
         if len(self.runs) > 1:
-            rows = reduce(DataFrame.unionByName, [self.spark.table(name) for name, _ in self.runs])
-            merged = self._write(rows.groupBy("fp", "ctx").agg(F.sum("c").cast("int").alias("c")))
+            # the cast makes each side a row-wise plan: Spark 4.1 takes a union of columnar bucketed scans for
+            # bucketed although it only strings their partitions together
+            rows = [self.spark.table(name).select("fp", "ctx", F.col("c").cast("long").alias("c")) for name, _ in self.runs]
+            merged = self._write(reduce(DataFrame.unionByName, rows).groupBy("fp", "ctx").agg(F.sum("c").cast("int").alias("c")))
             self.close()
             self.runs = [merged]
 
     def entries(self) -> DataFrame:
-        tables = [self.spark.table(name) for name, _ in self.runs]
-        return tables[0] if len(tables) == 1 else reduce(DataFrame.unionByName, tables).groupBy("fp", "ctx").agg(F.sum("c").cast("int").alias("c"))
+        self.compact()
+        return self.spark.table(self.runs[0][0])
 
     def close(self) -> None:
         for name, path in self.runs:
