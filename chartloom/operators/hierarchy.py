@@ -132,3 +132,20 @@ def check_tree(nodes: DataFrame) -> DataFrame:
     twice = nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated id").alias("fault"))
     lost = nodes.where("parent_id is not null and parent_id <> ''").join(nodes.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_anti").select("id", F.lit("no such parent").alias("fault"))
     return twice.unionByName(lost)
+
+
+def guidelines_for(rows: DataFrame, id_col: str, codes_col: str, closed: DataFrame, guidelines: DataFrame) -> DataFrame:
+    """Per row the guidelines of its codes' chapters, each once, by id; a chapter without one raises.
+
+    ``guidelines``: id (the chapter's), number, title, content.
+    """
+    chapters = at_root_depth(closed, 0).select(F.col("descendant").alias("_code"), F.col("ancestor").alias("_chapter"))
+    wanted = rows.select(id_col, F.explode(codes_col).alias("_code")).join(chapters, "_code").select(id_col, "_chapter").distinct()
+    found = wanted.join(guidelines.withColumnRenamed("id", "_chapter"), "_chapter", "left")
+    title = F.when(F.col("title").isNull(), F.raise_error(F.concat(F.lit("no guideline for "), "_chapter"))).otherwise(F.col("title"))
+    return found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col("_chapter").alias("id"), "number", title.alias("title"), "content"))).alias("guidelines"))
+
+
+def by_lead_term(terms: DataFrame, id_col: str = "id") -> DataFrame:
+    """lead_id and the sorted ids of its terms."""
+    return terms.groupBy(F.split_part(F.col(id_col), F.lit("."), F.lit(1)).alias("lead_id")).agg(F.array_sort(F.collect_list(id_col)).alias("terms"))

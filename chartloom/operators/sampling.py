@@ -88,3 +88,9 @@ def siblings(codes: DataFrame, code: str, nodes: DataFrame, prefix: int = 3) ->
     by_prefix = own.where("p is null").join(n.select(F.col("_id").alias("o")), F.substring("c", 1, prefix) == F.substring("o", 1, prefix)).where("o <> c").select("c", "o", F.lit(1).alias("k"))
     grouped = by_parent.unionByName(by_prefix).groupBy("c").agg(F.array_sort(F.collect_set("o")).alias("hard"))
     return own.select("c").join(grouped, "c", "left").select(F.col("c").alias(code), F.coalesce("hard", F.array().cast("array<string>")).alias("hard"))
+
+
+def flatten_fewshots(shots: DataFrame, key: str, segments: str, targets: str, limit: int = 1000, seed: int = 0) -> DataFrame:
+    """(key, segment, target) rows of parallel lists, at most ``limit`` of them: a sampling operator."""
+    rows = shots.select(key, F.posexplode(F.arrays_zip(F.col(segments).alias("segment"), F.col(targets).alias("target"))).alias("pos", "z")).select(key, "pos", "z.segment", "z.target")
+    return rows.orderBy(sample_key(seed, key, "pos"), key, "pos").limit(limit)

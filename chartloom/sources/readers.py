@@ -140,3 +140,28 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_json(df: DataFrame, path: str, columns: list[str] | None = None, one_per_file: bool = False) -> None:
     w = (df.select(*columns) if columns else df).write.mode("overwrite")
     (w.option("maxRecordsPerFile", 1) if one_per_file else w).json(path)
+
+
+@loader("scored_notes")
+def read_scored_notes(spark: SparkSession, path: str) -> DataFrame:
+    """patient_notes, features and train CSVs of a folder -> one row per note with its features, annotations and places.
+
+    List literals are parsed as JSON, never evaluated; lists follow the feature's number.
+    """
+    from ..functions.text import literal_list
+
+    notes = read_csv(spark, f"{path}/patient_notes.csv", "pn_num bigint, case_num bigint, pn_history string")
+    features = read_csv(spark, f"{path}/features.csv", "feature_num bigint, case_num bigint, feature_text string")
+    train = read_csv(spark, f"{path}/train.csv", "id string, pn_num bigint, case_num bigint, feature_num bigint, annotation string, location string")
+    named = train.join(features, ["feature_num", "case_num"], "left")
+    item = F.struct("feature_num", "feature_text", literal_list(F.col("annotation")).alias("annotation"), literal_list(F.col("location")).alias("location"))
+    grouped = named.groupBy("pn_num", "case_num").agg(F.array_sort(F.collect_list(item)).alias("features"))
+    return grouped.join(notes, ["pn_num", "case_num"], "left")
+
+
+@loader("code_titles")
+def read_code_titles(spark: SparkSession, path: str) -> DataFrame:
+    """ICD9_CODE, LONG_TITLE of a dictionary CSV, dotted as diagnoses."""
+    from ..functions.codes import dot_diagnosis9
+
+    return read_csv(spark, path, "code_titles").select(dot_diagnosis9(F.col("ICD9_CODE")).alias("code"), F.col("LONG_TITLE").alias("title"))

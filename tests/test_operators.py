@@ -151,3 +151,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["start"], r["event_type"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r["start"], r["event_type"]): r["n"] for r in batch.collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_scored_notes_and_guidelines(spark, tmp_path):
+    (tmp_path / "patient_notes.csv").write_text('pn_num,case_num,pn_history\n1,0,"line one\nline two"\n')
+    (tmp_path / "features.csv").write_text("feature_num,case_num,feature_text\n7,0,fever\n6,0,cough\n")
+    (tmp_path / "train.csv").write_text("id,pn_num,case_num,feature_num,annotation,location\na,1,0,7,\"['hot', 'warm']\",\"['0 3;5 8']\"\nb,1,0,6,[],[]\n")
+    r = readers.load(spark, "scored_notes", str(tmp_path)).first()
+    assert r["pn_history"] == "line one\nline two" and [f["feature_num"] for f in r["features"]] == [6, 7] and r["features"][1]["annotation"] == ["hot", "warm"]
+    nodes = spark.createDataFrame([("c1", None), ("s", "c1"), ("x", "s")], "id string, parent_id string")
+    rows_ = spark.createDataFrame([(1, ["x", "s"])], "r int, codes array<string>")
+    g = spark.createDataFrame([("c1", "1", "T", "body")], "id string, number string, title string, content string")
+    got = hierarchy.guidelines_for(rows_, "r", "codes", hierarchy.closure(nodes), g).first()["guidelines"]
+    assert [x["title"] for x in got] == ["T"]
+    shots = spark.createDataFrame([(1, ["a", "b"], [["x"], ["y"]])], "k int, s array<string>, t array<array<string>>")
+    assert sampling.flatten_fewshots(shots, "k", "s", "t", 1).count() == 1
