@@ -7,7 +7,8 @@ folder, so a later run with new arrivals continues from it. Each hit (a digest s
 is then checked on its full bytes against the keeper's content; rows whose bytes differ, a digest
 collision, are grouped by their bytes instead.
 
-Null texts count as empty, so null and empty texts are equal; rows that repeat both id and text share that id's fate;
+Null texts count as empty, so null and empty texts are equal; a row without an id stays only if no equal one
+has an id; rows that repeat both id and text share that id's fate;
 an empty frame gives an empty frame.
 """
 
@@ -88,5 +89,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     many = classed.join(groups, (F.col("digest") == F.col("g_digest")) & F.col("odd").eqNullSafe(F.col("g_odd"))).select("digest", "id", "keep_id", "group_size")
     ones = arrivals.join(state.where("n = 1").select("digest"), "digest").select("digest", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return ones.unionByName(many).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

@@ -6,8 +6,8 @@ frame and the offset within that frame, so one record is read by decompressing o
 
 Records with equal payloads: the smallest id is the response, the others are revisits that name it.
 Payloads are compared in whole (digest and length); those shorter than ``min_payload`` are always
-responses. Null payloads count as empty; repeated ids each get a record; an empty frame gives no
-bundles. Bundles are rows of a table in shared storage; a bundle closes at ``bundle_bytes``, so
+responses. Null payloads count as empty; repeated ids each get a record; records without an id are
+responses; an empty frame gives no bundles. Bundles are rows of a table in shared storage; a bundle closes at ``bundle_bytes``, so
 neither a task nor a row holds more than that and one record.
 """
 
@@ -139,7 +139,10 @@ def read_frame(content: bytes, frame: tuple[int, int, int]) -> bytes:
 
 
 def _row(headers: dict[str, str], block: bytes) -> tuple:
-    number = lambda x: int(x.removeprefix("<urn:record:").removesuffix(">"))
+    def number(x: str) -> int | None:
+        digits = x.removeprefix("<urn:record:").removesuffix(">")
+        return None if digits == "None" else int(digits)
+
     refers = headers.get("WARC-Refers-To")
     return (
         number(headers["WARC-Record-ID"]),

@@ -367,6 +367,19 @@ def test_line_dedup(spark):
     assert out == "a\nc" and line_dedup.dedup_lines(make(spark, [])).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    docs = make(spark, [(None, "a b c d e f g h"), (4, "a b c d e f g h"), (None, None), (None, "x " * 80), (5, "x " * 80)])
+    got = ngram_join.ngram_components(docs, 3, 90, 100).collect()
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["component_id"]) == [(1, 5), (1, 5), (6, 4), (6, 4)] and len(got) == 5
+    kept = {(r["doc_id"], r["keep_id"]): r["kept"] for r in exact_dedup.exact_dedup(docs).collect()}
+    assert kept == {(None, 4): False, (4, 4): True, (None, None): True, (None, 5): False, (5, 5): True}
+    assert substring_dedup.remove_repeats(docs).count() == 5 and packing.pack_documents(docs, VOCABULARY).count() == 5
+    assert line_dedup.dedup_lines(docs).count() == 5 and token_counts.prefix_token_counts(docs, VOCABULARY).count() == 5
+    pages = spark.createDataFrame([(None, "u", "s"), (None, "u", "s"), (3, "u", "s"), (None, None, None)], "page_id long, url string, html string")
+    rows = warc.read_bundles(warc.write_bundles(warc.mark_revisits(pages, "page_id", "url", "html"))).collect()
+    assert sorted((r["record_id"] or 0, r["record_type"]) for r in rows) == [(0, "response"), (0, "response"), (0, "response"), (3, "response")]
+
+
 # ---- queries and pipeline ----------------------------------------------------------------------------------------
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 @pytest.mark.parametrize("name", sorted(queries.SQL))
