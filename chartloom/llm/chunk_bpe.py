@@ -20,6 +20,8 @@ import unicodedata
 import numpy as np
 import regex
 
+from .common import worker_memo
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Fixed values of the vocabulary file: its pre-tokeniser pattern and its word-end mark.
@@ -223,11 +225,6 @@ def longest_prefix(width: int, table: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if fits.size else 0
 
 
-_LOADED: dict[str, ChunkBpe] = {}
-
-
 def loaded(path: str) -> ChunkBpe:
-    """One instance, with its memo, per Python worker and vocabulary file."""
-    if path not in _LOADED:
-        _LOADED[path] = ChunkBpe(path)
-    return _LOADED[path]
+    """One instance, with its memos, per Python worker and vocabulary file, until another operator needs the room."""
+    return worker_memo(("bpe", path), lambda: ChunkBpe(path))

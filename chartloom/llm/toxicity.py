@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spill, text_or_empty
+from .common import spill, text_or_empty, worker_memo
 
 MAX_ROWS = 8_000
 MAX_TERMS = 2_000
@@ -115,19 +115,13 @@ class ChunkCodes:
         ]
 
 
-_CODES: dict[frozenset, ChunkCodes] = {}
-
-
 def dense_features(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and one array column ``features`` (doubles, in the order of FEATURES)."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("features", T.ArrayType(T.DoubleType()))])
     held = frozenset(terms)
 
     def run(batches):
-        codes = _CODES.get(held)
-        if codes is None:
-            _CODES.clear()
-            codes = _CODES[held] = ChunkCodes(held)
+        codes = worker_memo(("toxicity", held), lambda: ChunkCodes(held))
         for batch in batches:
             rows = [codes.features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[id_col, "features"])
