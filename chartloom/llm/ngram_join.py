@@ -10,6 +10,7 @@ in at least 1 + s sections. Sections are joined by equality; pairs are then veri
 No group of equal sections is expanded into all its pairs:
 
 * equal sets are one representative to begin with;
+  (Below a similarity of 8/9 the least hashes of a set are its keys instead, see ``section_keys``.)
 * round 0 compares each member of a group with the group's least member (its leader). A member that
   links to the leader needs no further partner among those that do, as all are one component. The
   others are compared with those that the triangle inequality of the Jaccard distance leaves;
@@ -23,7 +24,8 @@ No group of equal sections is expanded into all its pairs:
 So every link between different components is verified or ruled out, none is capped away.
 
 Null and empty texts have an empty set and link with nothing. Rows that repeat an id and its text get
-the same class; if the texts differ, links are judged on the id's least text. Only the id and text columns are read. An empty frame gives an empty frame. Shingles are
+the same class; if the texts differ, links are judged on the id's least text. A row without an id gets
+the class of an equal set, if there is one. Only the id and text columns are read. An empty frame gives an empty frame. Shingles are
 told apart by 64-bit hashes: two of a pair's n shingles coincide with probability n**2 / 2**65.
 """
 
@@ -37,12 +39,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_path, new_path, spill, text_or_empty
+from .common import drop_path, new_path, spill, text_or_empty, worker_memo
 from .components import connected_components
 from .word_hashes import U, mix, shingle_set
 
 #: Unresolved groups of at most so many sets are settled in one round, member by member.
 SMALL = 16
+#: Bits of the sketch by which pairs are ruled out before their sets are fetched.
+SKETCH_BITS = 2048
 FIRST_BAND = 2
 
 
@@ -105,19 +109,31 @@ def _section_hashes(h: np.ndarray, band: int, ranges: int) -> tuple[np.ndarray,
     return mix(mix(full[0] + where * U(0x9E3779B97F4A7C15)) ^ full[1] * U(0xD6E8FEB86659FD93)), full[2]
 
 
-def section_keys(h: np.ndarray, num: int, den: int) -> tuple[np.ndarray | list, np.ndarray | list]:
-    """(keys, spare) of a sorted set: for each emitted section a 64-bit key and how many more weak ones are allowed."""
-    keys, slacks = [], []
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits, each the parity of the shingles in its cell."""
+    cells = (mix(h ^ U(0x8CB92BA72F3D8DD7)) & U(SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def section_keys(h: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """(64-bit keys, spare) of a sorted set: its sections, and how many more weak ones are allowed (-1: none, all are emitted).
+
+    Below a similarity of 8/9 sections would hold two or three shingles and outnumber the prefix; there
+    the least hashes of the set are its keys (a prefix filter in hash order), of which linked sets share
+    at least one more than the slack.
+    """
+    if 8 * (den - num) > num:
+        least = -(-h.size * num // den)  # shingles that a partner shares at least
+        slack = min(h.size // 16 + 2, least - 1)
+        return mix(h[: h.size - least + 1 + slack]).view(np.int64), slack
+    keys, spare = [np.zeros(0, np.uint64)], 1 << 20
     for band, ranges, slack in bands_of(h.size, num, den):
         key, size = _section_hashes(h, band, ranges)
         weak = size <= 1
         n_weak = int(np.count_nonzero(weak))
-        emit = np.ones(ranges, bool) if n_weak > slack else ~weak
-        keys.append(key[emit])
-        slacks.append(np.full(int(emit.sum()), slack - n_weak if n_weak <= slack else -1))
-    if not keys:
-        return [], []
-    return np.concatenate(keys).view(np.int64), np.concatenate(slacks)
+        keys.append(key if n_weak > slack else key[~weak])
+        spare = min(spare, max(slack - n_weak, -1))
+    return np.concatenate(keys).view(np.int64), spare
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
@@ -128,29 +144,30 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den
             T.StructField("n", T.LongType()),
             T.StructField("f1", T.LongType()),
             T.StructField("f2", T.LongType()),
-            T.StructField("keys", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("spare", T.IntegerType())]))),
+            T.StructField("spare", T.IntegerType()),
+            T.StructField("sketch", T.ArrayType(T.LongType())),
+            T.StructField("keys", T.ArrayType(T.LongType())),
         ]
     )
-    kind = pa.struct([("key", pa.int64()), ("spare", pa.int32())])
 
     def run(batches):
+        worker_memo("ngram", dict)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, f1, f2, keys, spare, offsets = [], [], [], [], [], [0]
+                n, f1, f2, spare, sketch, keys = [], [], [], [], [], []
                 for text in part.column(1):
                     h = shingle_set(text.as_py(), k)
                     n.append(h.size)
                     f1.append(int(h.sum().view(np.int64)) if h.size else 0)
                     f2.append(int(np.bitwise_xor.reduce(mix(h)).view(np.int64)) if h.size else 0)
-                    key, slack = section_keys(h, num, den) if h.size else ([], [])
-                    keys.append(np.asarray(key, np.int64))
-                    spare.append(np.asarray(slack, np.int32))
-                    offsets.append(offsets[-1] + len(key))
-                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(spare).astype(np.int32))], fields=list(kind)) if keys else pa.array([], kind)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=schema.fieldNames()
-                )
+                    own, slack = section_keys(h, num, den) if h.size else (np.zeros(0, np.int64), 0)
+                    keys.append(own)
+                    spare.append(slack)
+                    sketch.append(parity_sketch(h))
+                ends = pa.array(np.cumsum([0, *(x.size for x in keys)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(spare, pa.int32()), pa.array(sketch, pa.list_(pa.int64())), lists], names=schema.fieldNames())
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -217,63 +234,82 @@ def _rarest_shingles(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _led(keyed: DataFrame) -> DataFrame:
-    """Rows of keys that more than one set has, with the least of them as leader."""
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").drop("c")
-    return spill(keyed.join(shared, "key"), "ngram-groups")
+    """Rows of keys that more than one set has, with the least of them as leader. Most keys have one set, so
+    the counts move without ids and the leaders are found among what is left."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    rows = spill(keyed.join(shared, "key"), "ngram-shared")
+    leaders = rows.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("leader"))
+    return spill(rows.join(leaders, F.col("key") == F.col("k")).drop("k"), "ngram-groups")
 
 
 class _Verifier:
     """Pairs checked so far, and the round that all stages share."""
 
-    def __init__(self, sets: DataFrame, num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
-        self.done: DataFrame | None = None
+    def __init__(self, reps: DataFrame, texts: DataFrame, k: int, num: int, den: int):
+        self.sketches, self.texts, self.k, self.num, self.den = reps.select("id", "n", "sketch"), texts, k, num, den
+        self.done: DataFrame | None = None  # a, b, link, and bounds lo and hi of the Jaccard distance
+        self.sets: DataFrame | None = None
         self.path = ""
-        self.far = 1 - F.col("inter") / F.col("total")  # the Jaccard distance
-        self.link = F.col("inter") * den >= F.col("total") * num
         self.near = (den - num) / den + 1e-9
 
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """The sets of ``ids``; those not made before are made from their texts."""
+        new = ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti")
+        if self.sets is None or new.limit(1).count():
+            own = self.texts.join(new, "id").groupBy("id").agg(F.min("text").alias("text"))
+            part = spill(_sets(own, self.k), "ngram-sets")
+            self.sets = part if self.sets is None else self.sets.unionByName(part)
+        return self.sets.join(ids, "id", "left_semi")
+
     def check(self, pairs: DataFrame) -> None:
-        """Verify pairs that were not before. What is written is small, so its size is known to the next
-        join, and the sets of other ids do not move; all results are one table, so that plans stay small."""
-        spark = pairs.sparkSession
+        """Verify pairs that were not before. Sizes and the sketches' Hamming distance, a lower bound of the
+        symmetric difference, rule most out. What is written is small, so its size is known to the next
+        join and other sets do not move; all results are one table, so that plans stay small."""
+        spark, num, den = pairs.sparkSession, self.num, self.den
         pairs = pairs.distinct()
         if self.done is not None:
             pairs = pairs.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
-        paths = [new_path(spark, "ngram-pairs"), new_path(spark, "ngram-ids")]
+        paths = [new_path(spark, f"ngram-{name}") for name in ("pairs", "bounds", "ids")]
         pairs = spill(pairs, "ngram-pairs", paths[0])
-        ids = spill(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ngram-ids", paths[1])
-        new = _overlaps(pairs, self.sets.join(ids, "id", "left_semi"))
-        before, self.path = self.path, new_path(spark, "ngram-overlaps")
-        self.done = spill(new if self.done is None else self.done.unionByName(new), "ngram-overlaps", self.path)
+        side = lambda x: self.sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        both = F.col("na") + F.col("nb")
+        most = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("d", F.greatest(apart.cast("long"), F.abs(F.col("na") - F.col("nb"))))
+        bounds = spill(most.select("a", "b", (2 * F.col("d") / (both + F.col("d"))).alias("lo"), (F.col("d") * (den + num) <= both * (den - num)).alias("may")), "ngram-bounds", paths[1])
+        may = bounds.where("may").select("a", "b")
+        ids = spill(may.select(F.col("a").alias("id")).union(may.select("b")).distinct(), "ngram-ids", paths[2])
+        far = 1 - F.col("inter") / F.col("total")
+        seen = _overlaps(may, self.fetch(ids)).select("a", "b", far.alias("lo"), far.alias("hi"), (F.col("inter") * den >= F.col("total") * num).alias("link"))
+        new = seen.unionByName(bounds.where("not may").select("a", "b", "lo", F.lit(1.0).alias("hi"), F.lit(False).alias("link")))
+        before, self.path = self.path, new_path(spark, "ngram-checked")
+        self.done = spill(new if self.done is None else self.done.unionByName(new), "ngram-checked", self.path)
         drop_path(spark, *paths, *([before] if before else []))
 
     def links(self) -> DataFrame:
-        return self.done.where(self.link).select("a", "b")
+        return self.done.where("link").select("a", "b")
 
     def round(self, groups: DataFrame) -> DataFrame:
         """Compare groups with their leaders, settle small remainders; the rows of large ones come back."""
         self.check(groups.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
-        both = self.done.select("a", "b", self.far.alias("far"), self.link.alias("link"))
         # the leader itself has distance 0, so it leaves the group below
-        seen = groups.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader")).join(both, ["a", "b"], "left")
-        seen = seen.withColumn("far", F.coalesce("far", F.lit(0.0))).withColumn("link", F.coalesce("link", F.lit(True))).drop("a", "b", "leader")
+        seen = groups.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader")).join(self.done, ["a", "b"], "left")
+        seen = seen.withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(0.0)), "link": F.coalesce("link", F.lit(True))}).drop("a", "b", "leader")
         # a linked member beyond reach of all unlinked ones is settled
-        apart = seen.where("not link").groupBy(F.col("key").alias("g")).agg(F.min("far").alias("nearest"))
-        rest = seen.join(apart, F.col("key") == F.col("g")).where((~F.col("link")) | (F.col("far") >= F.col("nearest") - self.near)).drop("g", "nearest")
+        apart = seen.where("not link").groupBy(F.col("key").alias("g")).agg(F.min("lo").alias("nearest"))
+        rest = seen.join(apart, F.col("key") == F.col("g")).where((~F.col("link")) | (F.col("hi") >= F.col("nearest") - self.near)).drop("g", "nearest")
         sizes = rest.groupBy(F.col("key").alias("h")).agg(F.count("*").alias("size")).where("size > 1")
         left = spill(rest.join(sizes, F.col("key") == F.col("h")).drop("h"), "ngram-rest")
         small = left.where(F.col("size") <= SMALL)
         # at most SMALL - 1 partners each, the unlinked against all that are left in the group
-        x = small.where("not link").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("far").alias("fx"))
-        y = small.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("far").alias("fy"), F.col("link").alias("ly"))
+        x = small.where("not link").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"))
+        y = small.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("lo").alias("ly_"), F.col("hi").alias("hy"), F.col("link").alias("ly"))
         self.check(self._possible(x.join(y, "key").where("x <> y and (ly or x < y)")))
         return left.where(F.col("size") > SMALL).drop("size")
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and the triangle inequality allow to link."""
         sized = pairs.where(F.least("nx", "ny") * self.den >= F.greatest("nx", "ny") * self.num)
-        return sized.where(F.abs(F.col("fx") - F.col("fy")) <= self.near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return sized.where((F.col("lx") - F.col("hy") <= self.near) & (F.col("ly_") - F.col("hx") <= self.near)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def two_sided(self, keyed: DataFrame) -> DataFrame:
         """Settle groups of two size classes of which one has few sets; the rest comes back."""
@@ -281,41 +317,39 @@ class _Verifier:
         few = F.least("lower", "higher")
         both = spill(keyed.join(sides, F.col("key") == F.col("k")).where((F.col("side") == 0) | (few > 0)), "ngram-sides")
         cross = both.where((F.col("side") > 0) & (few <= SMALL))
-        x = cross.where("side = 1").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.lit(0.0).alias("fx"))
-        y = cross.where("side = 2").select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.lit(0.0).alias("fy"))
+        x = cross.where("side = 1").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.lit(0.0).alias("lx"), F.lit(1.0).alias("hx"))
+        y = cross.where("side = 2").select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.lit(0.0).alias("ly_"), F.lit(1.0).alias("hy"))
         self.check(self._possible(x.join(y, "key")))
         return both.where((F.col("side") == 0) | (few > SMALL)).select("key", "id", "n")
 
     def across(self, large: DataFrame) -> DataFrame:
         """Up to SMALL sets of each group's smaller components face the rest of it and are done; what stays open comes back."""
         labels = connected_components(self.links())
-        known = large.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", "far", F.coalesce("component", "id").alias("part"))
+        known = large.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", "lo", "hi", F.coalesce("component", "id").alias("part"))
         parts = known.groupBy("key", "part").agg(F.count("*").alias("m"))
         most = parts.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
         sized = parts.join(most.select(F.col("key").alias("k"), F.col("top.part").alias("main")), F.col("key") == F.col("k")).select("k", F.col("part").alias("p"), "m", "main")
         rows = known.join(sized, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))).withColumn("minor", F.col("part") != F.col("main"))
         order = Window.partitionBy("key").orderBy("m", "id")
         turn = rows.where("minor").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SMALL).select(F.col("key").alias("f_key"), F.col("id").alias("f_id"))
-        open_ = spill(rows.join(turn, (F.col("key") == F.col("f_key")) & (F.col("id") == F.col("f_id")), "left").select("key", "id", "n", "far", "part", "minor", F.col("f_id").isNotNull().alias("faces")), "ngram-open")
-        x = open_.where("faces").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("far").alias("fx"), F.col("part").alias("px"))
-        y = open_.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("far").alias("fy"), F.col("part").alias("py"))
+        open_ = spill(rows.join(turn, (F.col("key") == F.col("f_key")) & (F.col("id") == F.col("f_id")), "left").select("key", "id", "n", "lo", "hi", "part", "minor", F.col("f_id").isNotNull().alias("faces")), "ngram-open")
+        x = open_.where("faces").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"), F.col("part").alias("px"))
+        y = open_.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("lo").alias("ly_"), F.col("hi").alias("hy"), F.col("part").alias("py"))
         self.check(self._possible(x.join(y, "key").where("px <> py")))
         more = open_.where("minor and not faces").select(F.col("key").alias("k")).distinct()
-        return spill(open_.where("not faces").join(more, F.col("key") == F.col("k"), "left_semi").select("key", "id", "n", "far"), "ngram-rest")
+        return spill(open_.where("not faces").join(more, F.col("key") == F.col("k"), "left_semi").select("key", "id", "n", "lo", "hi"), "ngram-rest")
 
 
 def jaccard_links(reps: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Verified links a, b between representatives that suffice for the components of all links."""
-    groups = _led(reps.select("id", "n", F.explode("keys").alias("k")).select("k.key", "id", "n", "k.spare"))
-    wanted = groups.select("id").distinct()
-    own = texts.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text"))
-    sets = spill(_sets(own, k), "ngram-sets")
-    verify = _Verifier(sets, num, den)
+    groups = _led(reps.select("id", F.explode("keys").alias("key")))
+    groups = groups.join(reps.select("id", "n", "spare"), "id")
+    verify = _Verifier(reps, texts, k, num, den)
     large = verify.round(groups)
     weak = large.groupBy("id").agg(F.countDistinct("key").alias("weak"))
     crowded = spill(large.join(weak, "id").where(F.col("weak") > F.col("spare")).select("id").distinct(), "ngram-crowded")
     if crowded.limit(1).count():
-        groups = _led(verify.two_sided(_rarest_shingles(sets.join(crowded, "id", "left_semi"), num, den)))
+        groups = _led(verify.two_sided(_rarest_shingles(verify.fetch(crowded), num, den)))
         large = verify.round(groups)
         while large.limit(1).count():
             large = verify.across(large)
@@ -325,8 +359,8 @@ def jaccard_links(reps: DataFrame, texts: DataFrame, k: int, num: int, den: int)
 def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id; sets link when den * intersection >= num * union."""
     sketches = spill(_sketches(docs, id_col, text_col, k, num, den), "ngram-sketches")
-    held = sketches.where("n > 0")
-    reps = held.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "keys")).alias("r")).select("n", "f1", "f2", "r.*")
+    held = sketches.where("n > 0 and id is not null")
+    reps = held.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "spare", "sketch", "keys")).alias("r")).select("n", "f1", "f2", "r.*")
     reps = spill(reps, "ngram-reps")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     links = jaccard_links(reps, texts, k, num, den)
