@@ -380,6 +380,36 @@ def test_rows_without_an_id(spark):
     assert sorted((r["record_id"] or 0, r["record_type"]) for r in rows) == [(0, "response"), (0, "response"), (0, "response"), (3, "response")]
 
 
+def test_crowded_lines(spark):
+    """Many lines around one at all distances: large groups, rarest shingles, size classes and components."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9)))
+    base, lines = [word() for _ in range(40)], []
+    for _ in range(150):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            own[rng.randrange(40)] = word()
+        lines.append(" ".join(own[: rng.choice([40, 40, 39, 37])]))
+    rows = list(enumerate(lines))
+    sets = [{t[k : k + 9] for k in range(len(t) - 8)} for t in lines]
+    up = list(range(150))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(150):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                r, t = sorted((root(a), root(b)))
+                up[t] = r
+    got = {r["id"]: r["class"] for r in line_dedup.line_classes(make(spark, rows)).collect()}
+    alike = [(a, b) for a in range(150) for b in range(a) if root(a) == root(b)]
+    assert sum(got[a] == got[b] for a, b in alike) >= 0.95 * len(alike)
+    assert all(root(a) == root(b) for a in range(150) for b in range(a) if got[a] == got[b])
+
+
 # ---- queries and pipeline ----------------------------------------------------------------------------------------
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 @pytest.mark.parametrize("name", sorted(queries.SQL))
