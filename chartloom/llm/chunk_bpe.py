@@ -57,6 +57,7 @@ class ChunkBpe:
         self.longest = max(len(t.removesuffix(WORD_END)) for t in self.vocab)
         self.alphabet = _byte_alphabet()
         self.ids: dict[str, bytes] = {"": b""}
+        self.counts: dict[str, int] = {"": 0}
         self.deltas: dict[str, bytes | None] = {"": b""}
         self.pieces: dict[str, bytes | None] = {}
         self.open_pairs: dict[tuple[str, str], bool] = {}
@@ -83,6 +84,18 @@ class ChunkBpe:
         for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.ids[p] = np.array(e.ids, dtype="<u4").tobytes()
 
+    def text_count(self, text: str) -> int:
+        """The number of a whole text's ids."""
+        parts = self.chunks(text)
+        try:
+            return sum(map(self.counts.__getitem__, parts))
+        except KeyError:
+            if len(self.counts) > IDS_MEMO:
+                self.counts = {"": 0}
+            new = list({p for p in parts if p not in self.counts})
+            self.counts.update(zip(new, map(len, self.lib.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            return sum(map(self.counts.__getitem__, parts))
+
     # ---- prefix counts ---------------------------------------------------------
     def prefix_table(self, text: str) -> tuple[int, bytes]:
         return self.prefix_tables([text])[0]

@@ -8,6 +8,8 @@ sum(tokens * posterior * posterior'), for which the step 1 is the inverse Lipsch
 document's rate depends only on its posterior and on the K-vectors of the past steps, so an iteration
 is one narrow pass that sums K numbers, and only K numbers reach the driver.
 
+Tokens are those of the byte pair encoding that operators 1 and 6 count and pack, not words.
+
 Null and empty texts have no tokens; they get a rate but move no total. Rows of the labelled table
 without a domain are ignored, repeated ones count as often as they occur, ids that ``docs`` lacks do
 nothing. Targets of domains the sample lacks are left out and the others rescaled. Without any
@@ -19,11 +21,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import chunk_bpe
 from .common import scratch_names, spill, text_or_empty
 
 MAX_LABELLED = 4_000
@@ -86,28 +90,31 @@ class MixingModel:
     targets: np.ndarray
     totals: np.ndarray | None = None  # reached
     steps: list[np.ndarray] = field(default_factory=list)
+    vocabulary: str = ""
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         return _replay(p, self.steps, self.floor)
 
-    def apply(self, docs: DataFrame, text_col: str = "text", names: tuple[str, str, str, str] = ("n_tokens", "rate", "domain", "posterior")) -> DataFrame:
-        """All columns of ``docs`` plus tokens, rate, likeliest domain and posterior; one narrow pass."""
+    def apply(self, docs: DataFrame, text_col: str = "text", names: tuple[str | None, str, str, str] = ("n_tokens", "rate", "domain", "posterior")) -> DataFrame:
+        """All columns of ``docs`` plus tokens (not counted if their name is None), rate, likeliest domain and posterior; one narrow pass."""
         tokens, rate, domain, posterior = names
-        kinds = [T.StructField(tokens, T.LongType()), T.StructField(rate, T.DoubleType()), T.StructField(domain, T.StringType()), T.StructField(posterior, T.ArrayType(T.DoubleType()))]
+        kinds = [*([T.StructField(tokens, T.LongType())] if tokens else []), T.StructField(rate, T.DoubleType()), T.StructField(domain, T.StringType()), T.StructField(posterior, T.ArrayType(T.DoubleType()))]
         (text,) = scratch_names(docs, "mixing_text")
         schema = T.StructType([*docs.schema.fields, *kinds])
         classifier, steps, floor = self.classifier, self.steps, self.floor
+        vocabulary = self.vocabulary
 
         def run(batches):
+            bpe = chunk_bpe.loaded(vocabulary) if tokens else None
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     texts = part.column(part.num_columns - 1).to_pylist()
-                    n = pa.array([len(t.split()) for t in texts], pa.int64())
+                    n = [pa.array(list(map(bpe.text_count, texts)), pa.int64())] if tokens else []
                     p = _posteriors(classifier, texts)
                     names_ = [classifier.domains[k] for k in p.argmax(axis=1)] if p.size else [None] * len(texts)
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns[:-1], n, pa.array(_replay(p, steps, floor)), pa.array(names_, pa.string()), pa.array(p.tolist(), pa.list_(pa.float64()))], names=schema.fieldNames()
+                        [*part.columns[:-1], *n, pa.array(_replay(p, steps, floor)), pa.array(names_, pa.string()), pa.array(p.tolist(), pa.list_(pa.float64()))], names=schema.fieldNames()
                     )
 
         return docs.withColumn(text, text_or_empty(text_col)).mapInArrow(run, schema)
@@ -155,15 +162,18 @@ def fit_mixing(
     max_labelled: int = MAX_LABELLED,
     iterations: int = 40,
     tolerance: float = 1e-4,
+    vocabulary: str | None = None,
 ) -> tuple[MixingModel, DataFrame]:
     """The model and its members table (id, n_tokens, domain, posterior).
 
     ``targets``: weights by domain; their tokens sum to ``budget`` times the tokens of ``docs``. Stops
     after ``iterations`` or when no total is off by more than ``tolerance`` of all tokens.
+    ``vocabulary``: a tokenizer's file, by default that of operators 1 and 6.
     """
+    vocabulary = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     classifier = fit_classifier(docs, labelled, id_col, text_col, domain_col, max_labelled)
     k = len(classifier.domains)
-    plain = MixingModel(classifier, floor, np.zeros(k))
+    plain = MixingModel(classifier, floor, np.zeros(k), vocabulary=vocabulary)
     members = spill(plain.apply(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text", "rate"), "mixing-members")
     if not k:
         return plain, members
@@ -172,7 +182,7 @@ def fit_mixing(
     weights = np.array([max(0.0, targets.get(d, 0.0)) for d in classifier.domains])
     if not tokens or not weights.sum():
         return plain, members
-    model = MixingModel(classifier, floor, weights / weights.sum() * budget * tokens, gram.sum(axis=1))
+    model = MixingModel(classifier, floor, weights / weights.sum() * budget * tokens, gram.sum(axis=1), vocabulary=vocabulary)
     inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     for _ in range(iterations):
         off = model.totals - model.targets

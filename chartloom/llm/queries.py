@@ -75,7 +75,7 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, members = fit_mixing(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGET_WEIGHTS)
+    model, members = fit_mixing(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGET_WEIGHTS, vocabulary=vocabulary())
     return with_rates(model, members).select(F.col("id").alias("doc_id"), "domain", "n_tokens", "rate", copies(F.col("rate"), F.col("id")).alias("copies"))
 
 

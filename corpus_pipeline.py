@@ -49,11 +49,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5. A document is repeated by its rate; nothing that the filters kept is lost."""
     labelled = labelled_domains(docs, table(spark, sf_dir, "labels"))
-    model, _ = fit_mixing(docs, labelled, TARGET_WEIGHTS, budget=TOKEN_BUDGET, floor=LEAST_RATE, iterations=15, tolerance=1e-3)
-    names = scratch_names(docs, "mix_tokens", "mix_rate", "mix_domain", "mix_posterior", "mix_copy")
-    rated = model.apply(docs, names=tuple(names[:4]))
-    times = copies(F.col(names[1]), F.col("doc_id"))
-    return rated.where(times > 0).withColumn(names[4], F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    model, _ = fit_mixing(docs, labelled, TARGET_WEIGHTS, budget=TOKEN_BUDGET, floor=LEAST_RATE, iterations=15, tolerance=1e-3, vocabulary=vocabulary())
+    names = scratch_names(docs, "mix_rate", "mix_domain", "mix_posterior", "mix_copy")
+    rated = model.apply(docs, names=(None, *names[:3]))
+    times = copies(F.col(names[0]), F.col("doc_id"))
+    return rated.where(times > 0).withColumn(names[3], F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

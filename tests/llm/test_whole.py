@@ -1,8 +1,14 @@
-"""Recall of the line signatures."""
+"""Recall of the line signatures and totals in real tokens."""
 
 import random
 
-from chartloom.llm import line_dedup
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from chartloom.llm import line_dedup, mixing
+
+DOCS = "doc_id long, text string"
 
 
 # ---- 10 ---------------------------------------------------------------------------------------
@@ -16,3 +22,24 @@ def test_line_signatures_reach_the_stated_recall(spark):
     of = {r["h"]: [r[f"m{i}"] for i in range(len(line_dedup.MASKS))] for r in sig}
     met = sum(any(all(of[2 * i][c] == of[2 * i + 1][c] for c in band) for band in line_dedup.BANDS) for i in range(pairs))
     assert met >= 0.99 * pairs
+
+
+# ---- 5 ----------------------------------------------------------------------------------------
+def test_mixing_meets_targets_in_tokens(spark):
+    """Domains with different numbers of tokens in a word: the rated tokenizer's totals meet the targets."""
+    rng = random.Random(4)
+    words = {"plain": ["the", "house", "water", "people"], "rare": ["xqzvkjw", "zzqxwvkk", "qjxvzwkqpz", "vkxqzz"]}
+    rows, labels = [], []
+    for i in range(200):
+        kind = ("plain", "rare")[i % 2]
+        rows.append((i, " ".join(rng.choice(words[kind]) for _ in range(rng.randint(20, 60)))))
+        labels.append((i, kind))
+    rows.append((900, "x" * 3000))  # a long text without blanks
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, domain string")
+    model, members = mixing.fit_mixing(docs, known, {"plain": 0.5, "rare": 0.5})
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    n = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    got = mixing.with_rates(model, members).collect()
+    assert {r["id"]: r["n_tokens"] for r in got} == n
+    totals = sum(r["rate"] * n[r["id"]] * np.array(r["posterior"]) for r in got)
+    assert np.allclose(totals, sum(n.values()) / 2, rtol=1e-3)
