@@ -3,7 +3,8 @@
 Arrivals (digest, id, content locator) are appended to a log in the shared folder; a Structured
 Streaming query folds them into keyed state on disk (RocksDB, no watermark, so no expiry): per digest
 the smallest id, its locator and the number of rows. The state's checkpoint lives in the shared
-folder, so a later run with new arrivals continues from it. Each hit (a digest seen more than once)
+folder, so a later run with new arrivals continues from it; a stated home also keeps the texts of its
+runs, so that keepers and groups of earlier runs are there in full. Each hit (a digest seen more than once)
 is then checked on its full bytes against the keeper's content; rows whose bytes differ, a digest
 collision, are grouped by their bytes instead.
 
@@ -14,6 +15,8 @@ an empty frame gives an empty frame.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,23 +73,35 @@ class StreamingDeduper:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", home: str | None = None) -> DataFrame:
-    """Per row: id, keep_id, group_size, kept, text_sha256. Of equal texts the smallest id stays."""
+    """Per row: id, keep_id, group_size, kept, text_sha256. Of equal texts the smallest id stays.
+
+    With a ``home`` that earlier calls used, groups are those of all calls; the rows are those of ``docs``.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("body"))
     log = texts.select(F.unhex(F.sha2("body", 256)).alias("digest"), "id", F.struct(F.input_file_name().alias("file"), F.col("id").alias("row_id")).alias("locator"))
     arrivals = spill(log, "dedup-digests")
+    full = texts.withColumn("digest", F.unhex(F.sha2("body", 256)))
+    if home:
+        run = f"r{uuid.uuid4().hex}"
+        full.write.option("compression", "zstd").parquet(f"{home}/contents/run={run}")
+        full = spark.read.parquet(f"{home}/contents").withColumn("here", F.col("run") == run).drop("run")
+    else:
+        full = full.withColumn("here", F.lit(True))
     state = StreamingDeduper(spark, home).ingest(arrivals)
 
     hits = state.where("n > 1").select("digest", "keep")
+    if home:
+        hits = hits.join(arrivals.select("digest").distinct(), "digest", "left_semi")
     # full bytes of every hit, the keepers' among them; a hot digest is only on the side that a skew join can split
-    bodies = spill(texts.withColumn("digest", F.unhex(F.sha2("body", 256))).join(hits, "digest"), "dedup-bodies")
+    bodies = spill(full.join(hits, "digest"), "dedup-bodies")
     keepers = bodies.where("id = keep").groupBy("digest").agg(F.min("body").alias("kept_body"))
     checked = bodies.join(keepers, "digest", "left")
     # rows that fail the check are classed by their own bytes
     odd = F.when(F.col("body") == F.col("kept_body"), F.lit(None)).otherwise(F.col("body"))
-    classed = checked.select("digest", "id", odd.alias("odd"))
+    classed = checked.select("digest", "id", "here", odd.alias("odd"))
     groups = classed.groupBy(F.col("digest").alias("g_digest"), F.col("odd").alias("g_odd")).agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    many = classed.join(groups, (F.col("digest") == F.col("g_digest")) & F.col("odd").eqNullSafe(F.col("g_odd"))).select("digest", "id", "keep_id", "group_size")
+    many = classed.where("here").join(groups, (F.col("digest") == F.col("g_digest")) & F.col("odd").eqNullSafe(F.col("g_odd"))).select("digest", "id", "keep_id", "group_size")
     ones = arrivals.join(state.where("n = 1").select("digest"), "digest").select("digest", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return ones.unionByName(many).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")

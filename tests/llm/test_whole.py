@@ -1,4 +1,4 @@
-"""Recall of the line signatures and totals in real tokens."""
+"""Recall of the line signatures, totals in real tokens, deduplication over runs."""
 
 import random
 
@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from chartloom.llm import line_dedup, mixing
+from chartloom.llm import exact_dedup, line_dedup, mixing
 
 DOCS = "doc_id long, text string"
 
@@ -43,3 +43,19 @@ def test_mixing_meets_targets_in_tokens(spark):
     assert {r["id"]: r["n_tokens"] for r in got} == n
     totals = sum(r["rate"] * n[r["id"]] * np.array(r["posterior"]) for r in got)
     assert np.allclose(totals, sum(n.values()) / 2, rtol=1e-3)
+
+
+# ---- 9 ----------------------------------------------------------------------------------------
+def test_exact_dedup_over_two_runs(spark, tmp_path):
+    """A later call with the same home groups its rows with those of the earlier one."""
+    first = [(5, "a b"), (6, "c"), (7, "c"), (8, None), (9, "alone")]
+    later = [(1, "c"), (20, "a  b"), (21, "a\tb"), (22, ""), (23, "new"), (24, "new"), (25, "single")]
+    home, seen = f"file://{tmp_path}/home", []
+    for part in (first, later):
+        seen += [(i, " ".join((t or "").split())) for i, t in part]
+        want = []
+        for i, _ in part:
+            same = [j for j, t in seen if t == dict(seen)[i]]
+            want.append((i, min(same), len(same), i == min(same)))
+        got = exact_dedup.exact_dedup(spark.createDataFrame(part, DOCS), home=home).collect()
+        assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == sorted(want)
