@@ -618,8 +618,8 @@ def staged_answers(spark, d):
     """Analyse, then assign, with a completer that answers from the prompt itself."""
     from ..operators.stages import complete
 
-    docs = table(spark, d, "conversations").where("role = 'user'")
-    prompt = text.render("Name the terms of: {{ note }}", note=F.substring("text", 1, 80))
+    docs = table(spark, d, "conversations")
+    prompt = text.render("Name the terms of: {{ note }}", note=F.col("text"))
 
     def echo(prompts: list[str]) -> list[str]:
         return ["<answer>" + ", ".join(sorted(set(p.split(": ", 1)[1].split()))) + "</answer>" for p in prompts]
