@@ -74,3 +74,31 @@ def top_k_scores(scores: Column, k: int) -> Column:
     """(score, 0-based index) of the k best, ties by index."""
     pairs = F.transform(scores, lambda x, i: F.struct((-x).alias("neg"), i.alias("index")))
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct((-p["neg"]).alias("score"), p["index"].alias("index")))
+
+
+def relabel(value: Column, names: dict[str, str], default: Column | None = None) -> Column:
+    """The dictionary's name of a value; without one, ``default`` or the value itself."""
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.element_at(table, value), value if default is None else default)
+
+
+def any_prefix(codes: Column, prefixes: Sequence[str]) -> Column:
+    """Some code of the list begins with one of the prefixes; null lists have none."""
+    hit = lambda c: F.coalesce(*(F.when(c.startswith(p), True) for p in prefixes), F.lit(False))
+    return F.coalesce(F.exists(codes, hit), F.lit(False))
+
+
+def any_keyword(text: Column, words: Sequence[str]) -> Column:
+    """The lower-cased text holds one of the words; null texts hold none."""
+    low = F.lower(text)
+    return F.coalesce(*(F.when(low.contains(w), True) for w in words), F.lit(False))
+
+
+def rescaled(x: Column, limit: float = 1.0, factor: float = 1000.0) -> Column:
+    """Values over the limit are taken for thousandths."""
+    return F.when(x > limit, x / factor).otherwise(x)
+
+
+def masked_sigmoid(logits: Column, mask: Column) -> Column:
+    """Probabilities of logits; labels that the mask (0 or 1) leaves out get that of -1e9."""
+    return F.zip_with(logits, mask, lambda x, m: F.when(m == 1, 1 / (1 + F.exp(-x))).otherwise(0.0))

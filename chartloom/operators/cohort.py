@@ -14,7 +14,7 @@ from ..functions.lists import clean_codes, null_safe_union, sorted_distinct
 def code_lists(rows: DataFrame, id_col: str, code_col: str, type_col: str | None = None) -> DataFrame:
     """One sorted list of distinct codes per id (and code type); null codes go."""
     keys = [id_col] + ([type_col] if type_col else [])
-    return rows.where(F.col(code_col).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(code_col)).alias("codes"))
+    return rows.where(F.col(code_col).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_set(code_col)).alias("codes"))
 
 
 def full_join_lists(a: DataFrame, b: DataFrame, key: str, a_col: str, b_col: str, out: str = "codes") -> DataFrame:
@@ -26,7 +26,7 @@ def full_join_lists(a: DataFrame, b: DataFrame, key: str, a_col: str, b_col: str
 def merge_notes(notes: DataFrame, keys: Sequence[str], text_col: str, order: Sequence[Column], id_col: str | None = None, sep: str = " ") -> DataFrame:
     """Texts (and ids, joined by +) of a group in the given order."""
     ordering = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col(text_col).alias("t"), (F.col(id_col) if id_col else F.lit(None)).cast("string").alias("i"))
-    rows = F.array_sort(F.collect_list(ordering))
+    rows = F.sort_array(F.collect_list(ordering))
     out = notes.groupBy(*keys).agg(rows.alias("_r")).withColumn(text_col, F.array_join(F.transform("_r", lambda x: x["t"]), sep))
     if id_col:
         out = out.withColumn(id_col, F.array_join(F.transform("_r", lambda x: x["i"]), "+"))
@@ -48,7 +48,7 @@ def remove_rare_codes(df: DataFrame, id_col: str, cols: Sequence[str], min_count
     for c in cols:
         items = df.select(id_col, F.explode(c).alias("code"))
         common = items.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("code")
-        kept = items.join(common, "code", "left_semi").groupBy(id_col).agg(F.array_sort(F.collect_list("code")).alias(c))
+        kept = items.join(common, "code", "left_semi").groupBy(id_col).agg(F.sort_array(F.collect_list("code")).alias(c))
         out = out.drop(c).join(kept, id_col)
     return out
 
@@ -58,14 +58,14 @@ def keep_top_codes(df: DataFrame, id_col: str, cols: Sequence[str], k: int) -> D
     top = code_counts(df, cols).orderBy(F.desc("n"), "code").limit(k).select("code")
     out = df
     for c in cols:
-        kept = df.select(id_col, F.explode(c).alias("code")).join(F.broadcast(top), "code", "left_semi").groupBy(id_col).agg(F.array_sort(F.collect_list("code")).alias(c))  # at most k rows
+        kept = df.select(id_col, F.explode(c).alias("code")).join(F.broadcast(top), "code", "left_semi").groupBy(id_col).agg(F.sort_array(F.collect_list("code")).alias(c))  # at most k rows
         out = out.drop(c).join(kept, id_col, "left")
     return out
 
 
 def group_structs(rows: DataFrame, keys: Sequence[str], cols: Sequence[str], out: str = "items") -> DataFrame:
     """A sorted list of structs per group."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(out))
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(out))
 
 
 def onehot_name(cols: Sequence[str], default: str | None = None) -> Column:
@@ -108,7 +108,7 @@ def filter_known_targets(df: DataFrame, id_col: str, col: str, known: DataFrame,
     """(rows with the known codes of ``col`` in order, counts of the dropped codes)."""
     items = df.select(id_col, F.posexplode(col).alias("pos", "_code"))
     names = known.select(F.col(code_col).alias("_code")).distinct()
-    kept = items.join(names, "_code", "left_semi").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "_code"))).alias("_k"))
+    kept = items.join(names, "_code", "left_semi").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "_code"))).alias("_k"))
     rows = df.drop(col).join(kept, id_col, "left").withColumn(col, F.coalesce(F.transform("_k", lambda x: x["_code"]), F.array().cast("array<string>"))).drop("_k")
     return rows, items.join(names, "_code", "left_anti").groupBy(F.col("_code").alias("code")).agg(F.count("*").alias("n"))
 
@@ -143,3 +143,29 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 
 def distinct_union_sorted(col: str) -> Column:
     return sorted_distinct(F.flatten(F.collect_list(col)))
+
+
+def dictionary(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """key and its last value in the given order (ties by the largest value): what a dictionary that is written row by row holds."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, F.struct(order, value)).alias(value))
+
+
+def length_histogram(rows: DataFrame, split: str, code: str) -> DataFrame:
+    """split, length, n: distinct codes by their length without the dot."""
+    n = F.length(F.replace(F.col(code), F.lit("."), F.lit(""))).alias("length")
+    return rows.select(split, code).distinct().groupBy(split, n).agg(F.count("*").alias("n"))
+
+
+def row_set_digest(df: DataFrame, *cols: str) -> DataFrame:
+    """n and an order-insensitive digest of a set of rows: four sums of 32 bits of the rows' keys."""
+    key = row_key(*cols)
+    piece = lambda i: F.conv(F.substring(key, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = df.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(piece(i)), F.lit(0).cast("decimal(30,0)")).cast("string").alias(f"s{i}") for i in range(4)))
+    return sums.select("n", F.md5(F.concat_ws("|", "s0", "s1", "s2", "s3")).alias("digest"))
+
+
+def missed_phrases(targets: DataFrame, predictions: DataFrame, keys: list[str], text: str, phrase: str = "phrase") -> DataFrame:
+    """phrase, n: lower-cased evidence texts (line feeds as blanks) of targets that no prediction has."""
+    missed = targets.join(predictions.select(*keys).distinct(), keys, "left_anti")
+    clean = F.lower(F.replace(F.col(text), F.lit("\n"), F.lit(" "))).alias(phrase)
+    return missed.groupBy(clean).agg(F.count("*").alias("n"))

@@ -22,7 +22,8 @@ def closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
     level = edges.select("ancestor", "descendant", F.lit(1).alias("depth"))
     out = level
     for depth in range(2, max_depth + 1):
-        level = level.join(step, F.col("ancestor") == F.col("mid")).select(F.col("up").alias("ancestor"), "descendant", F.lit(depth).alias("depth"))
+        # kept, so that the next level starts from this one instead of the first
+        level = level.join(step, F.col("ancestor") == F.col("mid")).select(F.col("up").alias("ancestor"), "descendant", F.lit(depth).alias("depth")).cache()
         if not level.limit(1).count():
             break
         out = out.unionByName(level)
@@ -35,7 +36,7 @@ def closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
 
 def ancestors(closed: DataFrame) -> DataFrame:
     """descendant and its ancestors from leaf to root."""
-    return closed.where("depth > 0").groupBy("descendant").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor"))), lambda x: x["ancestor"]).alias("path"))
+    return closed.where("depth > 0").groupBy("descendant").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "ancestor"))), lambda x: x["ancestor"]).alias("path"))
 
 
 def at_root_depth(closed: DataFrame, depth: int) -> DataFrame:
@@ -48,13 +49,13 @@ def term_paths(terms: DataFrame, closed: DataFrame, id_col: str = "id", title: s
     """id and the titles from the root to the term, joined by a comma and a blank."""
     titles = terms.select(F.col(id_col).alias("ancestor"), F.col(title).alias("_t"))
     rows = closed.join(titles, "ancestor")
-    return rows.groupBy(F.col("descendant").alias(id_col)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "_t"))), lambda x: x["_t"]), ", ").alias("path"))
+    return rows.groupBy(F.col("descendant").alias(id_col)).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "_t"))), lambda x: x["_t"]), ", ").alias("path"))
 
 
 def leaves(closed: DataFrame, nodes: DataFrame, id_col: str = "id", assignable: str = "assignable") -> DataFrame:
     """ancestor and its assignable descendants, sorted."""
     good = nodes.where(F.col(assignable)).select(F.col(id_col).alias("descendant"))
-    return closed.where("depth > 0").join(good, "descendant").groupBy("ancestor").agg(F.array_sort(F.collect_set("descendant")).alias("leaves"))
+    return closed.where("depth > 0").join(good, "descendant").groupBy("ancestor").agg(F.sort_array(F.collect_set("descendant")).alias("leaves"))
 
 
 def group_by_ancestor(codes: DataFrame, code_col: str, closed: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
@@ -62,7 +63,7 @@ def group_by_ancestor(codes: DataFrame, code_col: str, closed: DataFrame, nodes:
     tops = nodes.where(F.col("kind") == kind).select(F.col("id").alias("ancestor"))
     near = codes.select(F.col(code_col).alias("descendant")).distinct().join(closed.where("depth > 0"), "descendant").join(tops, "ancestor")
     nearest = near.groupBy("descendant").agg(F.min_by("ancestor", "depth").alias("ancestor"))
-    return nearest.groupBy("ancestor").agg(F.array_sort(F.collect_list("descendant")).alias("codes"))
+    return nearest.groupBy("ancestor").agg(F.sort_array(F.collect_list("descendant")).alias("codes"))
 
 
 def term_codes(terms: DataFrame, nodes: DataFrame, closed: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def instructional_notes(rows: DataFrame, id_col: str, codes_col: str, nodes: Dat
     items = rows.select(id_col, F.posexplode(codes_col).alias("pos", "descendant"))
     hits = items.join(closed_self, "descendant").join(noted, "ancestor")
     firsts = hits.groupBy(id_col, "ancestor").agg(F.min(F.struct("pos", (-F.col("depth")).alias("up"))).alias("first"), F.first("name").alias("name"), *(F.first(f).alias(f) for f in fields))
-    return firsts.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "ancestor", "name", *fields))), lambda x: F.struct(x["ancestor"].alias("id"), x["name"].alias("name"), *(x[f].alias(f) for f in fields))).alias("notes"))
+    return firsts.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "ancestor", "name", *fields))), lambda x: F.struct(x["ancestor"].alias("id"), x["name"].alias("name"), *(x[f].alias(f) for f in fields))).alias("notes"))
 
 
 def seventh_characters(nodes: DataFrame, closed_self: DataFrame, extensions: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def axis_product(rows: DataFrame, axes: Sequence[str], declared: str | None = No
 def full_description(nodes: DataFrame, closed_self: DataFrame, sep: str = ", ") -> DataFrame:
     """id and the descriptions from the root down."""
     texts = nodes.select(F.col("id").alias("ancestor"), "description")
-    return closed_self.join(texts, "ancestor").groupBy(F.col("descendant").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "description"))), lambda x: x["description"]), sep).alias("full_description"))
+    return closed_self.join(texts, "ancestor").groupBy(F.col("descendant").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "description"))), lambda x: x["description"]), sep).alias("full_description"))
 
 
 def check_tree(nodes: DataFrame) -> DataFrame:
@@ -143,9 +144,9 @@ def guidelines_for(rows: DataFrame, id_col: str, codes_col: str, closed: DataFra
     wanted = rows.select(id_col, F.explode(codes_col).alias("_code")).join(chapters, "_code").select(id_col, "_chapter").distinct()
     found = wanted.join(guidelines.withColumnRenamed("id", "_chapter"), "_chapter", "left")
     title = F.when(F.col("title").isNull(), F.raise_error(F.concat(F.lit("no guideline for "), "_chapter"))).otherwise(F.col("title"))
-    return found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col("_chapter").alias("id"), "number", title.alias("title"), "content"))).alias("guidelines"))
+    return found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col("_chapter").alias("id"), "number", title.alias("title"), "content"))).alias("guidelines"))
 
 
 def by_lead_term(terms: DataFrame, id_col: str = "id") -> DataFrame:
     """lead_id and the sorted ids of its terms."""
-    return terms.groupBy(F.split_part(F.col(id_col), F.lit("."), F.lit(1)).alias("lead_id")).agg(F.array_sort(F.collect_list(id_col)).alias("terms"))
+    return terms.groupBy(F.split_part(F.col(id_col), F.lit("."), F.lit(1)).alias("lead_id")).agg(F.sort_array(F.collect_list(id_col)).alias("terms"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import overlaps
 
+#: Leading characters by which short passages are joined.
+SHORT_KEY = 4
+
 
 def segment_targets(segments: DataFrame, spans: DataFrame, doc: str, seg: str, code: str = "code") -> DataFrame:
     """Every segment with the sorted distinct codes of the spans that overlap it; none gives an empty list.
@@ -15,7 +18,7 @@ def segment_targets(segments: DataFrame, spans: DataFrame, doc: str, seg: str, c
     """
     s, t = segments.alias("s"), spans.alias("t")
     hits = s.join(t, (F.col(f"s.{doc}") == F.col(f"t.{doc}")) & overlaps(F.col("s.start"), F.col("s.end"), F.col("t.start"), F.col("t.end")))
-    grouped = hits.groupBy(F.col(f"s.{doc}").alias(doc), F.col(f"s.{seg}").alias(seg)).agg(F.array_sort(F.collect_set(F.col(f"t.{code}"))).alias("targets"))
+    grouped = hits.groupBy(F.col(f"s.{doc}").alias(doc), F.col(f"s.{seg}").alias(seg)).agg(F.sort_array(F.collect_set(F.col(f"t.{code}"))).alias("targets"))
     return segments.join(grouped, [doc, seg], "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
 
 
@@ -26,7 +29,7 @@ def feature_segments(features: DataFrame, segments: DataFrame, doc: str, feature
     """
     f, s = features.alias("f"), segments.alias("s")
     hits = f.join(s, (F.col(f"f.{doc}") == F.col(f"s.{doc}")) & overlaps(F.col("f.start"), F.col("f.end"), F.col("s.start"), F.col("s.end")), "left")
-    out = hits.groupBy(F.col(f"f.{doc}").alias(doc), F.col(f"f.{feature}").alias(feature)).agg(F.array_sort(F.collect_set(F.col(f"s.{seg}"))).alias("found"), F.max(F.col("f.start")).alias("_start"))
+    out = hits.groupBy(F.col(f"f.{doc}").alias(doc), F.col(f"f.{feature}").alias(feature)).agg(F.sort_array(F.collect_set(F.col(f"s.{seg}"))).alias("found"), F.max(F.col("f.start")).alias("_start"))
     lost = F.raise_error(F.concat(F.lit("no segment covers feature "), F.col(feature).cast("string")))
     return out.select(doc, feature, F.when(F.col("_start").isNull(), F.array(F.lit(0))).when(F.size("found") == 0, lost).otherwise(F.col("found")).alias("segments"))
 
@@ -39,22 +42,24 @@ def locate_spans(docs: DataFrame, pieces: DataFrame, text: str = "text", piece:
 
 
 def shared_passages(docs: DataFrame, passages: DataFrame, doc_id: str, text: str, passage_id: str, passage: str, words: int = 6) -> DataFrame:
-    """Passages that occur verbatim in texts, with the first place: an equality join on hashes of ``words``
-    words at the passage's first whole word, then the containment test, instead of a theta join.
+    """Passages that occur verbatim in texts, with the first place: an equality join, then the containment test.
 
-    Passages of fewer words are joined on their first word.
+    Passages of at least ``words`` + 2 words are joined on a hash of their first ``words`` whole words (their first
+    word may be the tail of a word of the text, the last one its head); shorter ones on their first characters.
     """
     tokens = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    # the first word of a passage may be the tail of a word of the text, the last one its head
+    gram = lambda ws, at: F.xxhash64(*(F.element_at(ws, at + i) for i in range(words)))
     p = passages.select(passage_id, F.col(passage).alias("_p"), tokens(F.col(passage)).alias("_w")).where("_p <> ''")
-    inner = F.slice("_w", 2, F.lit(words))
-    long = p.where(F.size("_w") >= words + 2).withColumn("_h", F.xxhash64(F.array_join(inner, " ")))
-    short = p.where(F.size("_w") < words + 2)
+    long = p.where(F.size("_w") >= words + 2).select(passage_id, "_p", F.transform(F.array(F.transform("_w", lambda w: F.xxhash64(w))), lambda ws: gram(ws, F.lit(2)))[0].alias("_h"))
+    short = p.where(F.size("_w") < words + 2).select(passage_id, "_p")
     d = docs.select(doc_id, F.col(text).alias("_t"))
-    grams = d.select(doc_id, tokens(F.col("_t")).alias("_w")).where(F.size("_w") >= words)
-    at = F.sequence(F.lit(1), F.size("_w") - words + 1)
-    hashed = grams.select(doc_id, F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " "))))).alias("_h"))
-    hits = hashed.join(long.select(passage_id, "_p", "_h"), "_h").select(doc_id, passage_id, "_p").join(d, doc_id)
-    few = d.join(short.select(passage_id, "_p"), F.col("_t").contains(F.col("_p")))
-    found = hits.select(doc_id, passage_id, "_p", "_t").unionByName(few.select(doc_id, passage_id, "_p", "_t")).where(F.col("_t").contains(F.col("_p")))
+    # a word is hashed once; a one-item array binds the hashes, so that they are made once
+    hashes = F.transform(F.array(F.transform(tokens(F.col("_t")), lambda w: F.xxhash64(w))), lambda ws: F.when(F.size(ws) >= words, F.transform(F.sequence(F.lit(1), F.size(ws) - words + 1), lambda i: gram(ws, i))))[0]
+    hits = d.select(doc_id, F.explode(F.array_distinct(hashes)).alias("_h")).join(long, "_h").select(doc_id, passage_id, "_p").distinct()
+    found = hits.join(d, doc_id).where(F.col("_t").contains(F.col("_p")))
+    for n in [r["n"] for r in short.select(F.least(F.lit(SHORT_KEY), F.length("_p")).alias("n")).distinct().collect()]:  # at most SHORT_KEY lengths
+        keyed = short.where(F.least(F.lit(SHORT_KEY), F.length("_p")) == n).select(passage_id, "_p", F.substring("_p", 1, n).alias("_h"))
+        wide = F.array(F.encode("_t", "UTF-32"))
+        places = F.transform(wide, lambda b: F.when(F.length(b) >= 4 * n, F.transform(F.sequence(F.lit(0), F.length(b) / 4 - n), lambda i: F.decode(F.substring(b, (i * 4 + 1).cast("int"), F.lit(4 * n)), "UTF-32"))))[0]  # noqa: B023
+        found = found.unionByName(d.select(doc_id, F.explode(F.array_distinct(places)).alias("_h")).join(keyed, "_h").select(doc_id, passage_id, "_p").join(d, doc_id).where(F.col("_t").contains(F.col("_p"))))
     return found.select(doc_id, passage_id, (F.position("_p", "_t") - 1).alias("start"), (F.position("_p", "_t") - 1 + F.length("_p")).alias("end"))

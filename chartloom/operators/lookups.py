@@ -13,7 +13,7 @@ def lookup_list(df: DataFrame, id_col: str, list_col: str, names: DataFrame, key
     """``out``: the values of the list's items in order, ``default`` where the dictionary lacks one; empty stays empty."""
     items = df.select(id_col, F.posexplode(list_col).alias("pos", "_k"))
     found = items.join(names.select(F.col(key).alias("_k"), F.col(value).alias("_v")), "_k", "left").withColumn("_v", F.coalesce("_v", F.lit(default)))
-    regrouped = found.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_v"))), lambda x: x["_v"]).alias(out))
+    regrouped = found.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_v"))), lambda x: x["_v"]).alias(out))
     return df.join(regrouped, id_col, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 

@@ -21,7 +21,7 @@ def signed_labels(df: DataFrame, row: str, col: str, size: int) -> DataFrame:
 
 def labels_to_lists(long: DataFrame, rows: DataFrame, row: str, cls: str = "class") -> DataFrame:
     """Sorted lists per row, [0] for rows without a label."""
-    lists = long.groupBy(row).agg(F.array_sort(F.collect_set(cls)).alias("labels"))
+    lists = long.groupBy(row).agg(F.sort_array(F.collect_set(cls)).alias("labels"))
     return rows.select(row).distinct().join(lists, row, "left").withColumn("labels", F.coalesce("labels", F.array(F.lit(0).cast(dict(long.dtypes)[cls]))))
 
 
@@ -37,7 +37,6 @@ def confusion(targets: DataFrame, preds: DataFrame, n_rows: Column | int, row: s
     """class, tp, fp, fn, tn. Predictions outside ``known`` do not count."""
     n_rows = F.lit(n_rows) if isinstance(n_rows, int) else n_rows
     j = _joined(targets, preds, row, cls, known)
-    tp, fp, fn = F.count_if("t = 1 and p = 1"), F.count_if("t = 0 and p = 1"), F.count_if("t = 1 and p = 0")
     tp, fp, fn = (F.sum(F.expr(e).cast("long")) for e in ("t * p", "(1 - t) * p", "t * (1 - p)"))
     return j.groupBy(cls).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).withColumn("tn", n_rows - F.col("tp") - F.col("fp") - F.col("fn"))
 
@@ -151,11 +150,44 @@ def rouge_l(pred: Column, ref: Column) -> Column:
 
 
 def _lcs_f1(a: list[str], b: list[str]) -> float:
+    """By the bit-parallel form: a set bit of ``row`` is a place of b that does not lengthen the sequence."""
     if not a or not b:
         return float(a == b)
-    row = [0] * (len(b) + 1)
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    row = full = (1 << len(b)) - 1
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+        met = row & places.get(x, 0)
+        row = ((row + met) | (row - met)) & full
+    return 2 * (len(b) - row.bit_count()) / (len(a) + len(b))
+
+
+def seen_classes_scores(targets: DataFrame, preds: DataFrame, row: str = "row_id", cls: str = "class") -> DataFrame:
+    """Micro precision and recall over the classes that occur in the targets; 0 where nothing is divided by."""
+    j = _joined(targets, preds, row, cls, targets)
+    s = j.agg(F.sum(F.expr("t * p")).alias("tp"), F.sum("p").alias("n_pred"), F.sum("t").alias("n_gold"))
+    ratio = lambda n: F.when(F.col(n) > 0, F.col("tp") / F.col(n)).otherwise(0.0)
+    return s.select(ratio("n_pred").alias("precision"), ratio("n_gold").alias("recall"))
+
+
+def listed_labels(df: DataFrame, row: str, ids: str, classes: str, cls: str = "class") -> DataFrame:
+    """(row, class) of 1-based ids into the row's own class list, given as text of integers between commas.
+
+    What is no integer, 0 and ids beyond the list are left out.
+    """
+    number = F.explode(F.transform(F.split(F.coalesce(ids, F.lit("")), ","), lambda x: F.trim(x).try_cast("int"))).alias("_i")
+    return df.select(row, classes, number).where((F.col("_i") > 0) & (F.col("_i") <= F.size(classes))).select(row, F.element_at(classes, F.col("_i")).alias(cls)).distinct()
+
+
+def split_by_outcome(df: DataFrame, row: str, probs: str, labels: str, gold: str) -> DataFrame:
+    """row, pos, prob, correct: the probabilities of parallel lists, by whether the label is one of the gold ones."""
+    z = df.select(row, gold, F.posexplode(F.arrays_zip(F.col(probs).alias("p"), F.col(labels).alias("l"))).alias("pos", "z"))
+    return z.select(row, "pos", F.col("z.p").alias("prob"), F.array_contains(gold, F.col("z.l")).alias("correct"))
+
+
+def class_balance(df: DataFrame, targets: str) -> DataFrame:
+    """size, n, percent: rows by their number of labels; size 0 is the negative class."""
+    n = df.groupBy(F.size(F.coalesce(targets, F.array().cast("array<string>"))).alias("size")).agg(F.count("*").alias("n"))
+    total = df.agg(F.count("*").alias("_t"))
+    return n.crossJoin(F.broadcast(total)).select("size", "n", (100.0 * F.col("n") / F.col("_t")).alias("percent"))  # one row

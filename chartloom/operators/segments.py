@@ -6,6 +6,7 @@ A segment is (seg_no, text, start, end): its text is stripped, its offsets are o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,9 +18,12 @@ Segment = tuple[str, int, int]
 Segmenter = Callable[[str], Iterator[Segment]]
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
-TITLE = re.compile(r"\b(?:Dr|Mr|Mrs|Ms|Prof|St)\.\s*$")
-HEADER = re.compile(r"^#{1,6}\s.*$", re.M)
-COLON_HEADER = re.compile(r"^[A-Z][^\n:]{0,60}:\s*$", re.M)
+TITLE, TITLE_CHARS = re.compile(r"\b(?:Dr|Mr|Mrs|Ms|Prof|St)\.$"), 8
+# Fixed patterns of clinical notes: header lines, line and sentence ends, a title with a name, the start of a labelled block.
+HEADER = re.compile(r"\s*#+\s*[a-zA-Z0-9\-'\"_* ]{1,32}:?\s*|[a-zA-Z0-9\-'\"_* ]{1,32}:\s*")
+NOTE_END = re.compile(r"(?<=[.!?])\s+|\r\n|\n")
+NAMED = re.compile(r"\b[A-Z][a-z]+\.\s[A-Z][a-zA-Z]*\b")
+BLOCK, BLOCK_LINE = re.compile(r"\b[A-Z]+\b:"), re.compile(r"\r\n[A-Z]+\b:")
 BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+", re.M)
 
 
@@ -30,7 +34,9 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     n = F.length(text)
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    parts = F.transform(starts, lambda s: F.struct(F.trim(F.substring(text, s + 1, F.lit(size))).alias("text"), s.alias("start"), F.least(s + size, n).alias("end")))
+    # four bytes a character, so that a window is found at once; a one-item array binds them, so that they are made once
+    cut = lambda wide, s: F.trim(F.decode(F.substring(wide, s * 4 + 1, F.lit(4 * size)), "UTF-32"))
+    parts = F.transform(F.array(F.encode(text, "UTF-32")), lambda wide: F.transform(starts, lambda s: F.struct(cut(wide, s).alias("text"), s.alias("start"), F.least(s + size, n).alias("end"))))[0]
     return F.filter(parts, lambda p: p["text"] != "")
 
 
@@ -58,7 +64,7 @@ def sentences(least: int = 6) -> Segmenter:
     """Cut after sentence ends (not after titles), before bullets; the last part must be longer than ``least``."""
 
     def segment(text: str) -> Iterator[Segment]:
-        places = {m.end() for m in SENTENCE_END.finditer(text) if not TITLE.search(text[: m.start()])} | {m.start() for m in BULLET.finditer(text)}
+        places = {m.end() for m in SENTENCE_END.finditer(text) if not TITLE.search(text, max(0, m.start() - TITLE_CHARS), m.start())} | {m.start() for m in BULLET.finditer(text)}
         start = 0
         for place in [*sorted(places), len(text)]:
             part = text[start:place].strip()
@@ -69,6 +75,47 @@ def sentences(least: int = 6) -> Segmenter:
     return segment
 
 
+def is_header(text: str) -> bool:
+    """A Markdown header, or a short line that ends in a colon."""
+    return HEADER.fullmatch(text) is not None
+
+
+def note_sentences(least: int = 6) -> Segmenter:
+    """Sentences and lines of a patient note; labelled blocks (``XX: ...``, up to a line that begins another)
+    are cut at each end once their whole text is read, names after a title are not split.
+
+    Short parts join what follows; the last part must be longer than ``least``.
+    """
+
+    def segment(text: str) -> Iterator[Segment]:
+        blocks, at = [], 0
+        while m := BLOCK.search(text, at):
+            following = BLOCK_LINE.search(text, m.end())
+            at = following.start() if following else len(text)
+            blocks.append((m.start(), at))
+        starts, names = [s for s, _ in blocks], [m.span() for m in NAMED.finditer(text)]
+        start, n = 0, 0
+        for place in sorted({m.start() for m in NOTE_END.finditer(text)}):
+            while n < len(names) and names[n][1] < place:
+                n += 1
+            named = n < len(names) and names[n][0] <= place
+            part = text[start:place].strip()
+            here = bisect_right(starts, place) - 1
+            whole = False
+            if here >= 0 and place <= blocks[here][1]:  # inside a block, or at its end
+                left = start + len(text[start:place]) - len(text[start:place].lstrip())
+                first = bisect_left(starts, left)
+                whole = first < len(blocks) and blocks[first][1] <= left + len(part)
+            if whole or (not named and len(part) >= least):
+                yield part, start, place
+                start = place
+        part = text[start:].strip()
+        if len(part) > least:
+            yield part, start, len(text)
+
+    return segment
+
+
 def gate(test: Callable[[str], bool], inner: Segmenter) -> Segmenter:
     """``inner`` where the test holds, else the text as it is."""
     return lambda text: inner(text) if test(text) else document(text)
@@ -98,7 +145,7 @@ def chain(*steps: Segmenter) -> Segmenter:
 
 def factory(kind: str) -> Segmenter:
     """document, sentence, or raw_ variants that first cut at blank lines and rules."""
-    base = {"document": document, "sentence": sentences(), "nbme": sentences()}[kind.removeprefix("raw_")]
+    base = {"document": document, "sentence": sentences(), "nbme": note_sentences()}[kind.removeprefix("raw_")]
     first = by_pattern(r"\n\s*\n|\n-{3,}") if kind.startswith("raw_") else stripped()
     long = gate(lambda t: len(t) > 120, by_pattern(r"[,;]\s"))
     return chain(first, base, stripped(), long)

@@ -39,7 +39,7 @@ def per_group(df: DataFrame, row: str, groups: str, prompt: Callable[[Column], C
     """One request for each item of an array column; parsed replies come back as an array in the items' order."""
     items = df.select(row, F.posexplode(groups).alias("_pos", "_item")).withColumn("_prompt", prompt(F.col("_item")))
     replies = complete(items.select(row, "_pos", "_prompt"), "_prompt", completer, "_reply")
-    lists = replies.select(row, "_pos", parse(F.col("_reply")).alias("_v")).groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda x: x["_v"]).alias(out))
+    lists = replies.select(row, "_pos", parse(F.col("_reply")).alias("_v")).groupBy(row).agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_v"))), lambda x: x["_v"]).alias(out))
     return df.join(lists, row, "left")
 
 

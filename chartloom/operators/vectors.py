@@ -51,26 +51,29 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str, query_vec:
     looks = sketch[0](matrix) if sketch and len(ids) else None
 
     def search(batches):
-        best: dict[int, list[tuple[float, int]]] = {}
+        # the best so far by query, item and score, sorted by query, then score, then item
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
             item = batch.column(0).to_numpy()
-            vecs = np.array(batch.column(1).to_pylist(), np.float64)
+            vecs = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             scores = np.round(vecs @ matrix.T, digits) + 0.0
             if sketch:
                 scores[~sketch[1](looks, vecs, len(ids))] = -np.inf
-            for j, qid in enumerate(ids.tolist()):
-                pairs = best.get(qid, [])
-                keep = np.argsort(-scores[:, j], kind="stable")[: 4 * k] if len(item) > 8 * k else range(len(item))
-                if len(item) > 8 * k:  # all ties of the last kept score
-                    keep = np.flatnonzero(scores[:, j] >= scores[keep[-1], j])
-                pairs += [(-float(scores[i, j]), int(item[i])) for i in keep if scores[i, j] > -np.inf and not (exclude_same and int(item[i]) == qid)]
-                pairs.sort()
-                best[qid] = pairs[:k]
-        out = [(qid, i, -s) for qid, pairs in best.items() for s, i in pairs]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=schema.fieldNames())
+            if exclude_same:
+                scores[item[:, None] == ids[None, :]] = -np.inf
+            least = np.full(len(ids), -np.inf)
+            if len(item) > k:  # with all ties of the k-th score
+                least = np.partition(scores, len(item) - k, axis=0)[len(item) - k]
+            at, q = np.nonzero((scores >= least) & (scores > -np.inf))
+            q, i, s = (np.concatenate(x) for x in zip(held, (q, item[at], scores[at, q]), strict=True))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if q.size else np.zeros(0, np.int64)
+            place = np.arange(q.size) - np.repeat(first, np.diff(np.append(first, q.size)))
+            held = tuple(x[place < k] for x in (q, i, s))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.float64())], names=schema.fieldNames())
 
     found = index.select(F.col(item_id).cast("long").alias(item_id), F.col(item_vec).alias("v")).where("v is not null").mapInArrow(search, schema)
     return _ranked(found, query_id, item_id, k)
@@ -119,7 +122,7 @@ def mean_vector(df: DataFrame, vec: str, key: str | None = None) -> DataFrame:
     """The mean of vectors (per key)."""
     keys = [key] if key else []
     parts = df.select(*keys, F.posexplode(vec).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias(vec))
+    return parts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias(vec))
 
 
 def recommend_vector(positives: DataFrame, negatives: DataFrame, vec: str) -> DataFrame:
@@ -128,9 +131,34 @@ def recommend_vector(positives: DataFrame, negatives: DataFrame, vec: str) -> Da
     return p.crossJoin(F.broadcast(n)).select(F.zip_with("p", "n", lambda a, b: 2 * a - b).alias(vec))  # one row each
 
 
+def discover(pairs: DataFrame, index: DataFrame, item_id: str, item_vec: str, k: int, target: DataFrame | None = None) -> DataFrame:
+    """item_id, score of the k best items by context pairs: the number of pairs whose positive is nearer than the
+    negative less the others, plus the sigmoid of the similarity to ``target`` (one row, column ``v``).
+
+    ``pairs``: one row each, vectors ``p`` and ``n``; a few rows, checked.
+    """
+    if pairs.limit(MAX_QUERY_ROWS + 1).count() > MAX_QUERY_ROWS:
+        raise ValueError(f"more than {MAX_QUERY_ROWS} context pairs")
+    items = index.select(F.col(item_id), F.col(item_vec).alias("_v"))
+    met = items.crossJoin(F.broadcast(pairs.select("p", "n")))  # a stated, checked set
+    score = F.signum(F.round(dot(F.col("_v"), F.col("p")) - dot(F.col("_v"), F.col("n")), 9))
+    ranked = met.groupBy(item_id).agg(F.sum(score).alias("score"))
+    if target is not None:
+        near = items.crossJoin(F.broadcast(target.select("v").limit(1))).select(item_id, (1 / (1 + F.exp(-dot(F.col("_v"), F.col("v"))))).alias("_s"))
+        ranked = ranked.join(near, item_id).select(item_id, (F.col("score") + F.col("_s")).alias("score"))
+    return ranked.select(item_id, F.round("score", 6).alias("score")).orderBy(F.desc("score"), item_id).limit(k)
+
+
+def padded_hits(hits: DataFrame, query: str, item: str, width: int) -> DataFrame:
+    """query, items, scores: a batch's hits by rank as lists of one length, padded with -1 and minus infinity."""
+    rows = hits.where(F.col("rank") <= width).groupBy(query).agg(F.sort_array(F.collect_list(F.struct("rank", item, "score"))).alias("_h"))
+    fill = lambda x: F.array_repeat(F.lit(x), F.lit(width) - F.size("_h"))
+    return rows.select(query, F.concat(F.transform("_h", lambda h: h[item]), fill(-1).cast("array<long>")).alias("items"), F.concat(F.transform("_h", lambda h: h["score"]), fill(float("-inf"))).alias("scores"))
+
+
 def index_fingerprint(df: DataFrame, id_col: str, *parts: str) -> DataFrame:
-    """Order-insensitive digest of an id set and a configuration: ids are digested in 4096 sorted shards first."""
-    shard = F.substring(F.md5(F.col(id_col).cast("string")), 1, 3)
-    shards = df.groupBy(shard.alias("s")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), ","), 256).alias("d"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "d"))), lambda x: x["d"]), ",")
-    return shards.agg(F.sha2(F.concat_ws("|", *map(F.lit, parts), whole), 256).alias("fingerprint"))
+    """Order-insensitive digest of an id set and a configuration: the number of ids and four sums of 32 bits of their
+    digests, so that tasks send a few numbers."""
+    piece = lambda i: F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = df.agg(F.count(id_col).cast("string").alias("n"), *(F.coalesce(F.sum(piece(i)), F.lit(0).cast("decimal(30,0)")).cast("string").alias(f"s{i}") for i in range(4)))
+    return sums.select(F.md5(F.concat_ws("|", *map(F.lit, parts), "n", "s0", "s1", "s2", "s3")).alias("fingerprint"))

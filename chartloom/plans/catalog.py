@@ -130,11 +130,9 @@ def note_merge(spark, d):
     return cohort.merge_notes(conv, ["conv_id"], "text", [rank, F.col("turn")], "turns")
 
 
-@query("SELECT count(*) AS n_rows, count(DISTINCT (lang, text)) AS n_kept FROM documents")
+@query("SELECT DISTINCT lang, md5(text) AS text_md5 FROM documents")
 def dedupe_notes(spark, d):
-    docs = table(spark, d, "documents")
-    kept = cohort.distinct_texts(docs, "lang", "text").agg(F.count("*").alias("n_kept"))
-    return docs.agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(kept))  # one row each
+    return cohort.distinct_texts(table(spark, d, "documents"), "lang", "text").select("lang", F.md5("text").alias("text_md5"))
 
 
 @query("SELECT md5(text) AS text_md5, count(DISTINCT source) AS n_authors, count(*) AS n_rows FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
@@ -234,12 +232,12 @@ def decode_ids(spark, d):
     return code_list_table(spark, d).select("hadm_id", joined(lists.decode_ids(ids, F.col("codes"))).alias("decoded"))
 
 
-@query("""WITH a AS (SELECT conv_id, turn, 'so <answer>' || replace(substr(text, 1, 60), ' ', ', ') || '</answer> end' AS reply FROM conversations),
+@query("""WITH a AS (SELECT conv_id, turn, 'so <answer>' || replace(text, ' ', ', ') || '</answer> end' AS reply FROM conversations),
 b AS (SELECT conv_id, turn, string_split(trim(regexp_extract(reply, '(?s)<answer>(.*?)</answer>', 1)), ',') AS raw FROM a),
 c AS (SELECT conv_id, turn, list_transform(raw, lambda x: regexp_replace(regexp_replace(x, '^[\\s"''\\[\\]]+', ''), '[\\s"''\\[\\]]+$', '')) AS t FROM b)
 SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(t, lambda x: x <> ''))), '|') AS terms FROM c""")
 def answer_list_parse(spark, d):
-    reply = F.concat(F.lit("so <answer>"), F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit(", ")), F.lit("</answer> end"))
+    reply = F.concat(F.lit("so <answer>"), F.replace("text", F.lit(" "), F.lit(", ")), F.lit("</answer> end"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(answers.answer_terms(reply), "|").alias("terms"))
 
 
@@ -329,10 +327,10 @@ def segment_overlap(spark, d):
     return intervals.segment_targets(segs, spans, "doc_id", "seg").select("doc_id", "seg", joined("targets").alias("targets"))
 
 
-@query(f"WITH {SPANS} SELECT doc_id, item_id, substr(text, (s + 1)::INT, 30) AS evidence FROM spans JOIN documents USING (doc_id)")
+@query(f"WITH {SPANS} SELECT doc_id, item_id, substr(text, (s + 1)::INT, (e - s)::INT) AS evidence FROM spans JOIN documents USING (doc_id)")
 def evidence_text(spark, d):
     s = passage_spans(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    span = F.array(F.struct(F.col("start"), (F.col("start") + 29).alias("end")))
+    span = F.array(F.struct(F.col("start"), (F.col("end") - 1).alias("end")))
     return s.select("doc_id", "item_id", text.evidence_text(F.col("text"), span).alias("evidence"))
 
 
@@ -377,13 +375,14 @@ def axis_product(spark, d):
 
 
 @query(f"""WITH RECURSIVE {TREE}, rows AS (SELECT o_orderkey % 500 AS row_id, 'C' || o_custkey AS code FROM orders),
-hits AS (SELECT DISTINCT row_id, ancestor FROM rows JOIN closed ON descendant = code)
-SELECT row_id, array_to_string(list_sort(list(ancestor)), ',') AS noted FROM hits GROUP BY row_id""")
+items AS (SELECT row_id, code, row_number() OVER (PARTITION BY row_id ORDER BY code) - 1 AS pos FROM (SELECT DISTINCT row_id, code FROM rows)),
+hits AS (SELECT row_id, ancestor, min(pos * 100 - depth) AS place FROM items JOIN closed ON descendant = code GROUP BY 1, 2)
+SELECT row_id, string_agg(ancestor, ',' ORDER BY place, ancestor) AS noted FROM hits GROUP BY row_id""")
 def instructional_notes(spark, d):
     t = tree(spark, d).withColumn("includes", F.when(F.col("kind") == "code", F.array().cast("array<string>")).otherwise(F.array("name"))).withColumn("parent_id", F.coalesce("parent_id", F.lit("")))
     rows = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 500).alias("row_id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("C"), "o_custkey"))).alias("codes"))
     notes = hierarchy.instructional_notes(rows, "row_id", "codes", t, hierarchy.closure(t, include_self=True), ["includes"])
-    return notes.select("row_id", joined(F.array_sort(F.transform("notes", lambda n: n["id"]))).alias("noted"))
+    return notes.select("row_id", joined(F.transform("notes", lambda n: n["id"])).alias("noted"))
 
 
 @query(f"""WITH RECURSIVE {TREE} SELECT 'T' || id AS term_id, id AS code FROM nodes WHERE assignable UNION ALL SELECT 'T' || ancestor, descendant FROM closed JOIN nodes ON id = descendant WHERE assignable""")
@@ -555,7 +554,9 @@ def knn_selfjoin_negatives(spark, d):
 
 @query(f"WITH {V} SELECT q_id, x_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, x_id) AS rank FROM s) WHERE rank <= 20 AND score >= 0.2")
 def score_threshold_search(spark, d):
-    return nearest(spark, d, 20).where("score >= 0.2").select("q_id", "x_id", "score")
+    e = table(spark, d, "embeddings")
+    found = vectors.above_threshold(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("x_id"), "embedding"), 20, 0.2, query_id="q_id", query_vec="qv", item_id="x_id", item_vec="embedding")
+    return found.select("q_id", "x_id", "score")
 
 
 @query(f"""WITH {V}, r1 AS (SELECT q_id, x_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, x_id) AS rank FROM s),
@@ -576,14 +577,13 @@ def recommend(spark, d):
     return v.select(F.posexplode("embedding").alias("i", "x")).select((F.col("i") + 1).alias("i"), F.round("x", 5).alias("x"))
 
 
-@query("SELECT count(*) AS n_rows, md5(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) IS NOT NULL AS ok FROM embeddings")
+@query("""WITH h AS (SELECT md5(vec_id::VARCHAR) AS h FROM embeddings), p AS (SELECT count(*) AS n, """ + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::VARCHAR AS s{i}" for i in range(4)) + """ FROM h)
+SELECT md5('dense|dot|' || n || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) AS fingerprint FROM p""")
 def fingerprint(spark, d):
-    e = table(spark, d, "embeddings")
-    f = vectors.index_fingerprint(e, "vec_id", "dense", "dot")
-    return e.agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(f)).select("n_rows", F.col("fingerprint").isNotNull().alias("ok"))  # one row each
+    return vectors.index_fingerprint(table(spark, d, "embeddings"), "vec_id", "dense", "dot")
 
 
-# ---- without SQL: rows only, tested against brute force -------------------------------------------------------
+# ---- without SQL: tested against brute force in tests/test_without_sql.py -------------------------------------------------------
 @query()
 def regex_segments(spark, d):
     from ..operators.segments import by_pattern, segment_table
@@ -628,20 +628,20 @@ def staged_answers(spark, d):
     return replies.select("conv_id", "turn", F.array_join(answers.answer_terms(F.col("reply")), "|").alias("terms"))
 
 
-@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS high FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS high, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     """The stream's windowed aggregate over the table of all its events."""
     from ..streaming.monitors import windowed_means
 
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windowed_means(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "high")
+    return windowed_means(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "high", F.round("total", 4).alias("total"))
 
 
-@query("""WITH k AS (SELECT lower(l_linestatus || l_returnflag) AS phrase FROM lineitem WHERE l_linenumber > 5)
-SELECT phrase, count(*) AS n FROM k GROUP BY phrase""")
+@query(f"""WITH {LABELS}, m AS (SELECT class FROM j WHERE t = 1 AND p = 0)
+SELECT lower(replace(p_name, chr(10), ' ')) AS phrase, count(*) AS n FROM m JOIN part ON 'P' || lpad(p_partkey::VARCHAR, 5, '0') = class GROUP BY 1""")
 def fn_phrases(spark, d):
-    missed = table(spark, d, "lineitem").where("l_linenumber > 5")
-    return missed.groupBy(F.lower(F.concat("l_linestatus", "l_returnflag")).alias("phrase")).agg(F.count("*").alias("n"))
+    names = table(spark, d, "part").select(code_of("p_partkey").alias("class"), F.col("p_name").alias("evidence"))
+    return cohort.missed_phrases(targets(spark, d).join(names, "class"), predictions(spark, d), ["row_id", "class"], "evidence")
 
 
 @query("""WITH j AS (SELECT n_regionkey AS chapter, o_orderkey % 3 = 0 AS hit FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
@@ -652,10 +652,10 @@ def chapter_recall(spark, d):
     return t.join(chapters, "class").groupBy("chapter").agg(F.count("*").alias("freq"), F.sum("hit").alias("tp"), F.round(F.avg("hit"), 6).alias("recall"))
 
 
-@query("SELECT source FROM documents GROUP BY source HAVING avg((contains(lower(text), 'the'))::INT) > 0.5")
+@query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING avg((contains(lower(text), 'the'))::INT) > 0.5")
 def keyword_majority(spark, d):
-    per = table(spark, d, "documents").groupBy("source").agg(F.avg(F.lower("text").contains("the").cast("int")).alias("share"))
-    return per.where("share > 0.5").select("source")
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("texts"))
+    return turns.where(lists.majority(F.col("texts"), lambda t: F.lower(t).contains("the"), 0.5)).select("conv_id")
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, (length(html) - length(replace(html, '<li>', ''))) // 4 AS n_items FROM pages")
