@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Whitespace as the operators' contracts define it: space and bytes 9 to 13.
@@ -13,14 +14,22 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one only where none is configured (tests)."""
+    """The folder that all machines share, as ``spark.checkpoint.dir`` names it.
+
+    A temporary folder serves a local session without that setting; on a cluster each machine would write to
+    its own disk, so there its lack is an error.
+    """
     conf = spark.sparkContext.getConf()
     root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="chartloom-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -45,6 +54,61 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(hconf).delete(p, True)
 
 
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for long texts: a session's batches are held to BATCH_ROWS rows and BATCH_BYTES bytes from here on
+    (results do not depend on it), and a Python worker returns Arrow's memory at the end of a task."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def lean(batches):
+        import pyarrow as pa
+
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(lean, schema)
+
+
+class Scratch:
+    """Work tables in the shared folder, deleted when no later plan reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def spill(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        out = spill(df, name, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        drop_path(self.spark, *(self.paths.pop(id(t))[1] for t in tables))
+
+
+def keep_rows(docs: DataFrame, fates: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns. ``fates``: id, key, kept of every row of ``docs``.
+
+    A row is named by its id and a key of its text, so a text that only shares its id with a dropped one
+    stays; of rows that are equal in both one stays.
+    """
+    id_, key_, whole = scratch_names(docs, "row_id", "row_key", "row_whole")
+    of_id, of_key, stays = scratch_names(docs, "fate_id", "fate_key", "fate_stays")
+    news = fates.groupBy(F.col("id").alias(of_id), F.col("key").alias(of_key)).agg(F.max("kept").alias(stays), F.count("*").alias("n"))
+    news = spill(news.where(f"not {stays} or n > 1").drop("n"), "fates")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(whole), F.col(id_col).alias(id_), key.alias(key_))
+    same = F.col(id_).eqNullSafe(F.col(of_id)) & (F.col(key_) == F.col(of_key))
+    kept = rows.join(news, same, "left_anti").select(f"{whole}.*")
+    twins = news.where(stays)
+    if not twins.limit(1).count():
+        return kept
+    folded = rows.join(twins, same, "left_semi").groupBy(id_, key_).agg(F.first(whole).alias(whole))
+    return kept.unionByName(folded.select(f"{whole}.*"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
