@@ -2,20 +2,27 @@
 
 The vocabulary file's pre-tokeniser never matches across white space and its normaliser never
 composes across it, so a text's ids are the concatenation of its chunks' ids. Each distinct chunk
-goes through the ``tokenizers`` library once per Python worker; a bounded memo holds the results.
+goes through the ``tokenizers`` library once while a memo, bounded in bytes, holds it.
 
 Prefix counts come from dynamic programming. Let ``open[i]`` be the last token of the encoding of a
 piece's first i bytes without its word end, and ``close[i]`` the last token when the word ends
 there. A BPE encoding is valid exactly when each neighbouring token pair is, so ``open[i]`` is the
 one vocabulary token t ending at i whose pair (open[i-|t|], t) re-encodes to itself, and the count
 at i is the count at i-|t| plus one.
+
+Chunks that normalising reshapes, that hold a special string or a very long piece are walked
+character by character (``_Walk``): the state is the last piece's end, as far back as a token can
+reach, so time is linear in the chunk and memory is a few numbers per character. Only a base
+character with very many combining marks costs the square of the number of its marks.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -24,12 +31,51 @@ from .common import worker_memo
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Fixed values of the vocabulary file: its pre-tokeniser pattern and its word-end mark.
+# Fixed values of the vocabulary file: its pre-tokeniser pattern, its contractions and its word-end mark.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+SHORT_CONTRACTIONS, LONG_CONTRACTIONS = "stmd", {"'r": "e", "'v": "e", "'l": "l"}
 WORD_END = "</w>"
+#: Unicode white space besides blank and line feed.
+ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+#: Bytes that the memos of a Python worker may hold (ids; or steps of chunks and of pieces), and token pairs remembered.
+IDS_BYTES, STEPS_BYTES, PIECES_BYTES, PAIRS_MEMO = 80 << 20, 64 << 20, 32 << 20, 300_000
+#: Characters that are worked on at a time, and of a piece that is still worked on in whole.
+SLICE_CHARS, LONG_PIECE = 1 << 20, 4096
+
+
+class Memo:
+    """Two generations of entries: a full one becomes the old one, and what is asked for again moves on."""
+
+    def __init__(self, limit: int):
+        self.new, self.old, self.size, self.limit = {"": b""}, {}, 0, limit // 2
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that have to be put; all others can be read from ``new`` until the next call."""
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {"": b""}, 0
+        keys = keys.difference(self.new)
+        for key in keys.intersection(self.old):
+            self.put(key, self.old[key])
+            keys.discard(key)
+        return keys
 
-#: Entries of each memo of a Python worker: about 400 MB of ids, or 500 MB for all memos of prefix counts.
-IDS_MEMO, STEPS_MEMO, PIECES_MEMO, PAIRS_MEMO = 2_000_000, 1_600_000, 700_000, 500_000
+    def put(self, key: str, value) -> None:
+        self.new[key] = value
+        self.size += 190 + len(key) + (len(value) if value else 0)
+
+
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about SLICE_CHARS characters."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size > SLICE_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _byte_alphabet() -> list[str]:
@@ -50,119 +96,149 @@ class ChunkBpe:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.vocab = frozenset(spec["model"]["vocab"])
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        vocab = spec["model"]["vocab"]
+        #: Numbers of tokens by their symbols: those that end a word, and the others.
+        self.final = {t.removesuffix(WORD_END): i for t, i in vocab.items() if t.endswith(WORD_END)}
+        self.inner = {t: i for t, i in vocab.items() if not t.endswith(WORD_END)}
+        self.tokens = {i: t for t, i in vocab.items()}
+        self.start = (max(self.tokens) + 1) << 16  # what stands before the first token
+        self.tokens[self.start >> 16] = ""
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
-        self.longest = max(len(t.removesuffix(WORD_END)) for t in self.vocab)
+        self.longest = max(map(len, [*self.final, *self.inner]))
         self.alphabet = _byte_alphabet()
-        self.ids: dict[str, bytes] = {"": b""}
-        self.counts: dict[str, int] = {"": 0}
-        self.deltas: dict[str, bytes | None] = {"": b""}
-        self.pieces: dict[str, bytes | None] = {}
-        self.open_pairs: dict[tuple[str, str], bool] = {}
-        self.close_pairs: dict[tuple[str, str], bool] = {}
+        self.ids, self.steps, self.pieces = Memo(IDS_BYTES), Memo(STEPS_BYTES), Memo(PIECES_BYTES)
+        self.pairs: dict[int, bool] = {}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
+        if ODD_SPACE.search(text):
+            text = ODD_SPACE.sub(" ", text)
         return text.replace("\n", " ").split(" ")
 
+    def _encoded(self, strings: list[str]):
+        return self.lib.encode_batch_fast(strings, add_special_tokens=False)
+
     # ---- ids -----------------------------------------------------------------
     def text_ids(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        parts = self.chunks(text)
-        try:
-            return b"".join(map(self.ids.__getitem__, parts))
-        except KeyError:
-            self._learn_ids(parts)
-            return b"".join(map(self.ids.__getitem__, parts))
-
-    def _learn_ids(self, parts: list[str]) -> None:
-        if len(self.ids) > IDS_MEMO:
-            self.ids = {"": b""}
-        new = list({p for p in parts if p not in self.ids})
-        for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.ids[p] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def text_count(self, text: str) -> int:
-        """The number of a whole text's ids."""
-        parts = self.chunks(text)
-        try:
-            return sum(map(self.counts.__getitem__, parts))
-        except KeyError:
-            if len(self.counts) > IDS_MEMO:
-                self.counts = {"": 0}
-            new = list({p for p in parts if p not in self.counts})
-            self.counts.update(zip(new, map(len, self.lib.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            return sum(map(self.counts.__getitem__, parts))
+        return next(self.all_ids([text]))
+
+    def all_ids(self, texts: list[str]) -> Iterator[bytes]:
+        for part in slices(texts):
+            chunks = [self.chunks(t) for t in part]
+            new = list(self.ids.missing(set().union(*chunks)))
+            for chunk, e in zip(new, self._encoded(new), strict=True):
+                self.ids.put(chunk, np.array(e.ids, dtype="<u4").tobytes())
+            known = self.ids.new.__getitem__
+            for own in chunks:
+                yield b"".join(map(known, own))
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of ids of each whole text."""
+        return [len(ids) // 4 for ids in self.all_ids(texts)]
 
     # ---- prefix counts ---------------------------------------------------------
     def prefix_table(self, text: str) -> tuple[int, bytes]:
-        return self.prefix_tables([text])[0]
+        return next(self.prefix_tables([text]))
 
-    def prefix_tables(self, texts: list[str]) -> list[tuple[int, bytes]]:
+    def prefix_tables(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
         """(width, table) of each text: one signed step per character; a running sum gives the count at every prefix."""
-        parts = [self.chunks(t) for t in texts]
-        if len(self.deltas) > STEPS_MEMO:
-            self.deltas = {"": b""}
-        new = set().union(*parts).difference(self.deltas)
-        if new:
-            self._learn_deltas(new)
-        out = []
-        for own in parts:
-            steps = list(map(self.deltas.__getitem__, own))
-            if None in steps:
-                out.append((4, b"\0\0\0\0".join(np.diff(self._library_counts(p), prepend=0).astype("<i4").tobytes() for p in own)))
-            else:
-                out.append((1, b"\0".join(steps)))
-        return out
-
-    def _learn_deltas(self, chunks: set[str]) -> None:
-        if len(self.pieces) > PIECES_MEMO:
-            self.pieces = {}
-        if len(self.open_pairs) + len(self.close_pairs) > PAIRS_MEMO:
-            self.open_pairs, self.close_pairs = {}, {}
+        for part in slices(texts):
+            chunks = [self.chunks(t) for t in part]
+            new = self.steps.missing(set().union(*chunks))
+            wide = self._learn_steps(new) if new else {}
+            known = self.steps.new.__getitem__
+            for own in chunks:
+                if wide and not wide.keys().isdisjoint(own):
+                    steps = [wide[c] if c in wide else np.frombuffer(known(c), "i1") for c in own]
+                    yield 4, b"\0\0\0\0".join(s.astype("<i4").tobytes() for s in steps)
+                else:
+                    yield 1, b"\0".join(map(known, own))
+
+    def _learn_steps(self, chunks: set[str]) -> dict[str, np.ndarray]:
+        """Put the steps of these chunks into the memo; those that are no signed bytes come back instead."""
         split = [(chunk, self._split(chunk)) for chunk in chunks]
-        new = list({piece for _, own in split if own for piece in own}.difference(self.pieces))
+        new = list(self.pieces.missing({piece for _, own in split if own for piece in own}))
         counts = self._piece_counts(new)
-        for piece, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        for piece, e in zip(new, self._encoded(new), strict=True):
             own = counts[piece]
-            self.pieces[piece] = _steps(own if own[-1] == len(e.ids) else self._library_counts(piece))
+            self.pieces.put(piece, _steps(own if own[-1] == len(e.ids) else self._library_counts(piece)))
+        wide, known = {}, self.pieces.new.__getitem__
         for chunk, own in split:
-            if own is None:
-                self.deltas[chunk] = _steps(self._library_counts(chunk))
-            elif len(own) == 1:
-                self.deltas[chunk] = self.pieces[own[0]]
+            got = own and list(map(known, own))
+            if got and None not in got:
+                self.steps.put(chunk, b"".join(got))
+                continue
+            steps = np.diff(self._walked_counts(chunk), prepend=0)
+            if -128 <= steps.min() and steps.max() < 128:
+                self.steps.put(chunk, steps.astype("i1").tobytes())
             else:
-                got = [self.pieces[piece] for piece in own]
-                self.deltas[chunk] = None if None in got else b"".join(got)
+                wide[chunk] = steps
+        return wide
 
     def _split(self, chunk: str) -> list[str] | None:
-        """Pieces that tile a chunk; None if normalising reshapes it, or it holds other white space or a special string."""
-        low = chunk.lower()
-        if not chunk.isascii() and (len(low) != len(chunk) or not unicodedata.is_normalized("NFC", chunk) or any(c.isspace() or len(c.lower()) != 1 for c in chunk)):
+        """Pieces that tile a chunk; None if normalising reshapes it, or it holds a special string or a very long piece."""
+        if chunk.isascii():
+            low = chunk.lower()
+        elif not unicodedata.is_normalized("NFC", chunk):
             return None
-        if "<|" in chunk and any(s in chunk for s in self.special):
+        else:
+            low = "".join([c.lower() for c in chunk])  # a final sigma is no case of its own
+            if len(low) != len(chunk):
+                return None
+        if "<|" in chunk and self.special and self.special.search(chunk):
             return None
         own = PIECES.findall(low)
-        return own if sum(map(len, own)) == len(chunk) else None
-
-    def _library_counts(self, chunk: str) -> list[int]:
-        return [len(e.ids) for e in self.lib.encode_batch_fast([chunk[:k] for k in range(1, len(chunk) + 1)], add_special_tokens=False)]
+        return own if sum(map(len, own)) == len(chunk) and max(map(len, own)) <= LONG_PIECE else None
+
+    def _library_counts(self, piece: str) -> list[int]:
+        return [len(e.ids) for at in range(1, len(piece) + 1, 64) for e in self._encoded([piece[:k] for k in range(at, min(at + 64, len(piece) + 1))])]
+
+    def _walked_counts(self, chunk: str) -> np.ndarray:
+        """Tokens of chunk[:k] for k = 1..len(chunk), one character after the other."""
+        out, total, at = [], 0, 0
+        for m in self.special.finditer(chunk) if self.special else ():
+            # up to its last character, a special string is ordinary text
+            own = self._plain_counts(chunk[at : m.end() - 1])
+            out += [total + c for c in own]
+            total += (own[m.start() - at - 1] if m.start() > at else 0) + 1
+            out.append(total)
+            at = m.end()
+        out += [total + c for c in self._plain_counts(chunk[at:])]
+        return np.array(out, np.int64)
+
+    def _plain_counts(self, text: str) -> list[int]:
+        out, walk, at = [], _Walk(self), 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and _joins(text[end]):
+                end += 1
+            for k in range(at + 1, end):  # what comes next may change the last characters
+                trial = walk.copy()
+                trial.feed(text[at:k])
+                out.append(trial.count())
+            walk.feed(text[at:end])
+            out.append(walk.count())
+            at = end
+        return out
 
     def _piece_counts(self, pieces: list[str]) -> dict[str, list[int]]:
         """Tokens of piece[:k] for k = 1..len(piece). In sorted order, neighbours share their common prefix's states."""
         jobs = []
         for piece in pieces:
-            if piece.isascii():
+            if piece.isascii() and piece.isprintable():
                 jobs.append((piece, None, piece))
             else:
                 marks = ["".join(self.alphabet[b] for b in c.encode()) for c in piece]
                 jobs.append(("".join(marks), np.cumsum([len(m) for m in marks]).tolist(), piece))
         jobs.sort(key=lambda j: j[0])
-        vocab, longest, opened, closed, fits = self.vocab, self.longest, self.open_pairs, self.close_pairs, self._fits
+        inner, final, longest, known, fits = self.inner.get, self.final.get, self.longest, self.pairs.get, self._fits
         out, before = {}, ""
-        last, count, close = [""], [0], [0]  # by bytes of the prefix; filled up to len(before), open states to one less
+        last, count, close = [self.start], [0], [0]  # by bytes of the prefix; filled up to len(before), open states to one less
         for sym, ends, piece in jobs:
             n, same = len(sym), 0
             top = min(n, len(before))
@@ -172,30 +248,29 @@ class ChunkBpe:
             del last[ready + 1 :], count[ready + 1 :], close[same + 1 :]
             stops = ends and set(ends)
             for i in range(ready + 1, n + 1):
-                low = i - longest if i > longest else 0
-                if i > same:
+                going, ending = i < n, i > same
+                if ending:
                     close.append(0)
-                    if stops is None or i in stops:
-                        for j in range(low, i):
-                            t = sym[j:i] + WORD_END
-                            if t in vocab:
-                                ok = closed.get((last[j], t))
-                                if ok is None:
-                                    ok = closed[last[j], t] = fits(last[j], sym[j:i], True)
-                                if ok:
-                                    close[i] = count[j] + 1
-                                    break
-                if i < n:
-                    for j in range(low, i):
-                        t = sym[j:i]
-                        if t in vocab:
-                            ok = opened.get((last[j], t))
-                            if ok is None:
-                                ok = opened[last[j], t] = fits(last[j], t, False)
-                            if ok:
-                                last.append(t)
+                    ending = stops is None or i in stops
+                for j in range(i - longest if i > longest else 0, i):
+                    part = sym[j:i]
+                    if going:
+                        t = inner(part)
+                        if t is not None:
+                            ok = known(last[j] + t)
+                            if fits(last[j], t) if ok is None else ok:
+                                last.append(t << 16)
                                 count.append(count[j] + 1)
-                                break
+                                going = False
+                    if ending:
+                        t = final(part)
+                        if t is not None:
+                            ok = known(last[j] + t)
+                            if fits(last[j], t) if ok is None else ok:
+                                close[i] = count[j] + 1
+                                ending = False
+                    if not going and not ending:
+                        break
             before = sym
             out[piece] = close[1:] if ends is None else [close[e] for e in ends]
         for cut in ("'re", "'ve", "'ll"):  # a cut contraction falls apart: "'r" of "'re" is two pieces
@@ -203,17 +278,26 @@ class ChunkBpe:
                 out[cut] = [1, 2, out[cut][-1]]
         return out
 
-    def _fits(self, a: str, b: str, ended: bool) -> bool:
-        end = b + WORD_END if ended else b
-        return self._merge(a + b, ended) == ([a, end] if a else [end])
+    def _fits(self, left: int, t: int) -> bool:
+        """Whether token ``t`` may follow the token whose number, 16 bits up, is ``left``; remembered."""
+        if len(self.pairs) > PAIRS_MEMO:
+            self.pairs.clear()
+        a, b = self.tokens[left >> 16], self.tokens[t]
+        ended = b.endswith(WORD_END)
+        ok = self.pairs[left + t] = self._merge(a + b.removesuffix(WORD_END), ended) == ([a, b] if a else [b])
+        return ok
 
     def _merge(self, sym: str, ended: bool) -> list[str]:
         parts = list(sym)
         if ended:
             parts[-1] += WORD_END
-        rank, none = self.rank, len(self.rank)
+        rank, none = self.rank.get, len(self.rank)
         while len(parts) > 1:
-            best, at = min((rank.get((parts[k], parts[k + 1]), none), k) for k in range(len(parts) - 1))
+            best = none
+            for k, pair in enumerate(zip(parts, parts[1:])):
+                r = rank(pair, none)
+                if r < best:
+                    best, at = r, k
             if best == none:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
@@ -226,6 +310,90 @@ def _steps(counts: list[int]) -> bytes | None:
     return bytes([s & 255 for s in steps]) if min(steps) >= -128 and max(steps) < 128 else None
 
 
+def _joins(c: str) -> bool:
+    """Whether a character may compose or change places with those before it."""
+    return c > "\u02ff" and (unicodedata.category(c) in ("Mn", "Mc") or unicodedata.combining(c) != 0 or "\u1160" <= c <= "\u11ff")
+
+
+class _Walk:
+    """A text read so far: tokens of its closed pieces, and the end of its last piece.
+
+    ``sym`` holds the last piece's byte symbols as far back as a token reaches; ``last`` and ``held`` the last
+    token and the number of tokens at each place between them. ``mark``: an apostrophe that began a piece,
+    with the letter after it, while both may still be a contraction; ``before``: the tokens before it.
+    """
+
+    def __init__(self, bpe: ChunkBpe):
+        self.bpe, self.closed, self.kind, self.mark, self.before = bpe, 0, "", "", 0
+        self._begin("")
+
+    def copy(self) -> _Walk:
+        out = object.__new__(_Walk)
+        out.__dict__.update(self.__dict__)
+        out.last, out.held = list(self.last), list(self.held)
+        return out
+
+    def _begin(self, kind: str) -> None:
+        self.kind, self.sym, self.last, self.held = kind, "", [self.bpe.start], [0]
+
+    def count(self) -> int:
+        return self.closed + (self._ended() if self.sym else 0)
+
+    def _ended(self) -> int:
+        """Tokens of the last piece if it ends here."""
+        return self.held[self._place(self.bpe.final.get)[0]] + 1
+
+    def _place(self, number) -> tuple[int, int]:
+        """(start, token) of the last token up to here."""
+        bpe, sym, n = self.bpe, self.sym, len(self.sym)
+        for j in range(max(0, n - bpe.longest), n):
+            t = number(sym[j:])
+            if t is not None:
+                ok = bpe.pairs.get(self.last[j] + t)
+                if bpe._fits(self.last[j], t) if ok is None else ok:
+                    return j, t
+        raise ValueError("the vocabulary lacks a byte")
+
+    def feed(self, text: str) -> None:
+        for c in unicodedata.normalize("NFC", text):
+            for low in c.lower():
+                self._feed(low)
+
+    def _feed(self, c: str) -> None:
+        if self.mark == "'" and c in SHORT_CONTRACTIONS or LONG_CONTRACTIONS.get(self.mark) == c:
+            whole = self.mark + c
+            self._begin("")
+            for x in whole:
+                self._extend(x)
+            self.closed, self.mark = self.before + self._ended(), ""
+            self._begin("")
+            return
+        kind = unicodedata.category(c)[0]
+        kind = kind if kind in "LN" else "O"
+        mark = ""
+        if kind != self.kind or kind == "N":
+            if c == "'":
+                mark = c
+            elif self.mark == "'" and "'" + c in LONG_CONTRACTIONS:
+                mark = "'" + c
+            self.closed = self.count()
+            self._begin(kind)
+        if mark == "'":
+            self.before = self.closed
+        self.mark = mark
+        self._extend(c)
+
+    def _extend(self, c: str) -> None:
+        for b in c.encode():
+            self.sym += self.bpe.alphabet[b]
+            j, t = self._place(self.bpe.inner.get)
+            self.last.append(t << 16)
+            self.held.append(self.held[j] + 1)
+        back = self.bpe.longest
+        if len(self.sym) > 4 * back:
+            self.sym, self.last, self.held = self.sym[-back:], self.last[-back - 1 :], self.held[-back - 1 :]
+
+
 def count_at(width: int, table: bytes, prefix: int) -> int:
     """Exact token count of the text's first ``prefix`` characters, from its stored table."""
     return int(np.frombuffer(table, "i1" if width == 1 else "<i4")[:prefix].sum())

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunk_bpe
-from .common import n_slices, text_or_empty
+from .common import map_arrow, n_slices, text_or_empty
 
 #: Input partitions whose pieces one packing task takes; at 128 MB each, about 1 GB of text.
 SLICES_PER_PACK = 8
@@ -41,8 +41,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, i
         bpe = chunk_bpe.loaded(vocabulary)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = memoryview(bpe.text_ids(text.as_py()) + end)
+            for i, own in enumerate(bpe.all_ids(map(str, batch.column(1)))):
+                ids = memoryview(own + end)
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append(i)
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, i
                 names=schema.fieldNames(),
             )
 
-    return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(cut, schema)
+    return map_arrow(docs.select(id_col, text_or_empty(text_col).alias("text")), cut, schema)
 
 
 class OpenBins:
@@ -113,7 +113,7 @@ def pack_best_fit(pieces: DataFrame, capacity: int, open_bins: int = 512, id_col
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seqs, pa.int64()), pa.array(offsets, pa.int64())], names=schema.fieldNames())
 
     dealt = pieces.repartition(packs, F.xxhash64(F.col(id_col), F.lit(7))).sortWithinPartitions(F.xxhash64(F.col(id_col)), "piece", "start")
-    return dealt.mapInArrow(pack, schema)
+    return map_arrow(dealt, pack, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, open_bins: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

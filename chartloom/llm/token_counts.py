@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunk_bpe
-from .common import text_or_empty
+from .common import map_arrow, text_or_empty
 
 
 def prefix_token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,7 +52,7 @@ def prefix_token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id"
                     names=[id_col, "n_bytes", "n_tokens", "prefix_width", "prefix_table"],
                 )
 
-    return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(count, schema)
+    return map_arrow(docs.select(id_col, text_or_empty(text_col).alias("text")), count, schema)
 
 
 def longest_prefix(budget: int, width: str = "prefix_width", table: str = "prefix_table") -> Column:
