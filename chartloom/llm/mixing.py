@@ -13,7 +13,8 @@ Tokens are those of the byte pair encoding that operators 1 and 6 count and pack
 Null and empty texts have no tokens; they get a rate but move no total. Rows of the labelled table
 without a domain are ignored, repeated ones count as often as they occur, ids that ``docs`` lacks do
 nothing. Targets of domains the sample lacks are left out and the others rescaled. Without any
-domain every rate is 1. An empty frame gives an empty frame.
+domain every rate is 1. An empty frame gives an empty frame. ``MixingModel.off`` says how far each domain's total is
+from its target at the end, as a share of all tokens.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunk_bpe
-from .common import scratch_names, spill, text_or_empty
+from .common import drop_path, map_arrow, new_path, scratch_names, spill, text_or_empty
 
 MAX_LABELLED = 4_000
 PAIRS = 512
+STORED_STEPS = 8
 WIDTH = PAIRS + 256
 
 
@@ -69,12 +71,12 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str, text_col:
 
     def profile(batches):
         for batch in batches:
-            rows = [byte_profile(t) for t in batch.column(1).to_pylist()]
+            rows = [byte_profile(t.as_py()) for t in batch.column(1)]
             flat = pa.array(np.concatenate(rows) if rows else np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * WIDTH, pa.int32()), flat)], names=["domain", "profile"])
 
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(some), "id")  # at most max_rows
-    sample = spill(texts.select("domain", "text").mapInArrow(profile, schema).coalesce(4), "mixing-sample")
+    sample = spill(map_arrow(texts.select("domain", "text"), profile, schema), "mixing-sample").coalesce(4)  # at most max_rows
     domains = sorted(r["domain"] for r in sample.select("domain").distinct().collect())  # at most max_rows
     if len(domains) < 2:
         return DomainClassifier(domains, np.zeros((WIDTH, len(domains))), np.zeros(len(domains)))
@@ -92,6 +94,12 @@ class MixingModel:
     steps: list[np.ndarray] = field(default_factory=list)
     vocabulary: str = ""
 
+    @property
+    def off(self) -> dict[str, float]:
+        """(total reached - target) / all targeted tokens, by domain."""
+        total = self.targets.sum() if self.totals is not None else 0.0
+        return {d: float((a - b) / total) if total else 0.0 for d, a, b in zip(self.classifier.domains, self.totals if total else self.targets, self.targets, strict=True)}
+
     def rates(self, p: np.ndarray) -> np.ndarray:
         return _replay(p, self.steps, self.floor)
 
@@ -110,29 +118,29 @@ class MixingModel:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     texts = part.column(part.num_columns - 1).to_pylist()
-                    n = [pa.array(list(map(bpe.text_count, texts)), pa.int64())] if tokens else []
+                    n = [pa.array(bpe.counts(texts), pa.int64())] if tokens else []
                     p = _posteriors(classifier, texts)
                     names_ = [classifier.domains[k] for k in p.argmax(axis=1)] if p.size else [None] * len(texts)
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns[:-1], *n, pa.array(_replay(p, steps, floor)), pa.array(names_, pa.string()), pa.array(p.tolist(), pa.list_(pa.float64()))], names=schema.fieldNames()
                     )
 
-        return docs.withColumn(text, text_or_empty(text_col)).mapInArrow(run, schema)
+        return map_arrow(docs.withColumn(text, text_or_empty(text_col)), run, schema)
 
 
 def _posteriors(classifier: DomainClassifier, texts: list[str]) -> np.ndarray:
     return classifier.posteriors(texts) if classifier.domains and texts else np.zeros((len(texts), len(classifier.domains)))
 
 
-def _replay(p: np.ndarray, steps: list[np.ndarray], floor: float) -> np.ndarray:
-    r = np.ones(len(p))
+def _replay(p: np.ndarray, steps: list[np.ndarray], floor: float, rate: np.ndarray | None = None) -> np.ndarray:
+    r = np.ones(len(p)) if rate is None else rate
     for y in steps:
         r = np.maximum(floor, r - p @ y)
     return r
 
 
 def _sums(members: DataFrame, what, size: int) -> np.ndarray:
-    """``what(tokens, posteriors)`` -> vector of ``size``, summed over all rows; partial sums per batch."""
+    """``what(tokens, posteriors, rates)`` -> vector of ``size``, summed over all rows; partial sums per task."""
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.DoubleType())])
 
     def run(batches):
@@ -141,11 +149,11 @@ def _sums(members: DataFrame, what, size: int) -> np.ndarray:
             if batch.num_rows:
                 n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
                 p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                total += what(n, p)
+                total += what(n, p, batch.column(2).to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["k", "v"])
 
     out = np.zeros(size)
-    for row in members.select("n_tokens", "posterior").mapInArrow(run, schema).groupBy("k").agg(F.sum("v").alias("v")).collect():  # size rows
+    for row in map_arrow(members.select("n_tokens", "posterior", "rate" if "rate" in members.columns else F.lit(1.0).alias("rate")), run, schema).groupBy("k").agg(F.sum("v").alias("v")).collect():  # size rows
         out[row["k"]] = row["v"]
     return out
 
@@ -177,23 +185,40 @@ def fit_mixing(
     members = spill(plain.apply(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text", "rate"), "mixing-members")
     if not k:
         return plain, members
-    got = _sums(members, lambda n, p: np.append(((p * n[:, None]).T @ p).ravel(), n.sum()), k * k + 1)
+    got = _sums(members, lambda n, p, r: np.append(((p * n[:, None]).T @ p).ravel(), n.sum()), k * k + 1)
     gram, tokens = got[:-1].reshape(k, k), got[-1]
     weights = np.array([max(0.0, targets.get(d, 0.0)) for d in classifier.domains])
     if not tokens or not weights.sum():
         return plain, members
     model = MixingModel(classifier, floor, weights / weights.sum() * budget * tokens, gram.sum(axis=1), vocabulary=vocabulary)
     inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+    rated, since, paths = members, [], []  # rates are stored every few steps, so that a step replays few
     for _ in range(iterations):
         off = model.totals - model.targets
         if np.abs(off).max() <= tolerance * tokens:
             break
         model.steps.append(inverse @ off)
-        steps, low = list(model.steps), floor
-        model.totals = _sums(members, lambda n, p: (_replay(p, steps, low) * n) @ p, k)
+        since.append(model.steps[-1])
+        if len(since) == STORED_STEPS:
+            paths.append(new_path(docs.sparkSession, "mixing-rates"))
+            rated, since = spill(_rated(rated, since, floor, k), "mixing-rates", paths[-1]), []
+        model.totals = _sums(rated, lambda n, p, r, steps=list(since): (_replay(p, steps, floor, r) * n) @ p, k)
+    drop_path(docs.sparkSession, *paths)
     return model, members
 
 
+def _rated(members: DataFrame, steps: list[np.ndarray], floor: float, k: int) -> DataFrame:
+    """n_tokens, posterior and the rate after these further steps."""
+    rows = members.select("n_tokens", "posterior", "rate" if "rate" in members.columns else F.lit(1.0).alias("rate"))
+
+    def run(batches):
+        for batch in batches:
+            p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_replay(p, steps, floor, batch.column(2).to_numpy()))], names=["n_tokens", "posterior", "rate"])
+
+    return map_arrow(rows, run, rows.schema)
+
+
 def with_rates(model: MixingModel, members: DataFrame) -> DataFrame:
     """The members table with each row's rate."""
     schema = T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())])
@@ -204,7 +229,7 @@ def with_rates(model: MixingModel, members: DataFrame) -> DataFrame:
             p = batch.column(at).flatten().to_numpy().reshape(batch.num_rows, k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_replay(p, steps, floor))], names=schema.fieldNames())
 
-    return members.mapInArrow(run, schema)
+    return map_arrow(members, run, schema)
 
 
 def copies(rate, id_col, salt: int = 31):
