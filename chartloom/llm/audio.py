@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 RATE = 16_000
 TARGET_RATE = 10_000
 FRAME, HOP, MELS, PATCH = 256, 160, 32, 32
@@ -66,21 +68,21 @@ def read_wav(media: bytes) -> tuple[int, bytes]:
 def phase_filters(up: int, down: int) -> np.ndarray:
     """Kaiser-windowed low-pass filter dealt to ``up`` phases; each row is reversed for a dot product."""
     n = up * TAPS
-    t = np.arange(n) - (n - 1) / 2
+    t = np.arange(n) - n // 2
     cut = 1.0 / max(up, down)
-    h = np.sinc(t * cut) * cut * np.kaiser(n, 8.0) * up
+    h = np.sinc(t * cut) * cut * np.kaiser(n + 1, 8.0)[:-1] * up
     return np.ascontiguousarray(h.reshape(TAPS, up).T[:, ::-1]).astype(np.float32)
 
 
 def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Polyphase rational resampling: output n uses phase n*down mod up at input n*down // up."""
+    """Polyphase rational resampling: output n uses phase n*down mod up at input n*down // up, the filter centred there."""
     g = int(np.gcd(rate, target))
     up, down = target // g, rate // g
     if up == down or not x.size:
         return x
     filters = phase_filters(up, down)
     n_out = -(-x.size * up // down)
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(TAPS - 1, np.float32), x]), TAPS)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(TAPS - 1 - TAPS // 2, np.float32), x, np.zeros(TAPS // 2, np.float32)]), TAPS)
     y = np.empty(n_out, np.float32)
     for first in range(min(up, n_out)):  # outputs first, first + up, ... share one phase
         start = first * down
@@ -182,7 +184,7 @@ def encode_media(clips: DataFrame, id_col: str, payload_col: str = "payload") ->
                 media = [None if p is None else wav_bytes(p) for p in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=[id_col, "media"])
 
-    return clips.select(id_col, payload_col).mapInArrow(encode, schema)
+    return map_arrow(clips.select(id_col, payload_col), encode, schema)
 
 
 def audio_features(clips: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
@@ -199,4 +201,4 @@ def audio_features(clips: DataFrame, id_col: str, media_col: str = "media") -> D
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.fieldNames())
 
-    return clips.select(id_col, F.col(media_col).alias("media")).mapInArrow(read, schema)
+    return map_arrow(clips.select(id_col, F.col(media_col).alias("media")), read, schema)
