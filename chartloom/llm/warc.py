@@ -5,6 +5,7 @@ skippable frame (the public seekable format's footer), and an index maps record
 frame and the offset within that frame, so one record is read by decompressing one frame.
 
 Records with equal payloads: the smallest id is the response, the others are revisits that name it.
+A block is an HTTP message whose body is the payload; reading checks both digests.
 Payloads are compared in whole (digest and length); those shorter than ``min_payload`` are always
 responses. Null payloads count as empty; repeated ids each get a record; records without an id are
 responses; an empty frame gives no bundles. Bundles are rows of a table in shared storage; a bundle closes at ``bundle_bytes``, so
@@ -16,15 +17,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 # Fixed values of the seekable format: the skippable frame's magic, the footer's magic.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
+#: The pages have no time of their own.
+DATE = "1970-01-01T00:00:00Z"
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 8 << 20
 
@@ -55,23 +61,37 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(record_id: int, uri: str, kind: str, payload: bytes, digest: str, length: int, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit keeps the payload's digest and length but not its bytes."""
+def record_urn(record_id: int | None) -> str:
+    """A record's URI: a version 8 UUID whose free bits hold the 64-bit id; the lowest of the middle bits says that there is one."""
+    n = 0 if record_id is None else record_id & (1 << 64) - 1
+    bits = (0x77617263 << 96) | (8 << 76) | ((n >> 62) << 65) | (int(record_id is not None) << 64) | (2 << 62) | (n & (1 << 62) - 1)
+    return f"<urn:uuid:{uuid.UUID(int=bits)}>"
+
+
+def record_number(urn: str) -> int | None:
+    bits = uuid.UUID(urn.strip("<>").removeprefix("urn:uuid:")).int
+    n = ((bits >> 65 & 3) << 62) | (bits & (1 << 62) - 1)
+    return None if not bits >> 64 & 1 else n - (1 << 64) if n >> 63 else n
+
+
+def record_bytes(record_id: int | None, uri: str, kind: str, payload: bytes, digest: str, length: int, refers_to: int | None, refers_uri: str | None = None) -> bytes:
+    """One WARC/1.1 record whose block is an HTTP message; a revisit keeps its head, the payload's digest and length but not its bytes."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+    block = http if kind == "revisit" else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:record:{record_id}>",
+        f"WARC-Record-ID: {record_urn(record_id)}",
         f"WARC-Target-URI: {uri}",
-        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {length}",
-        "Content-Type: text/html; charset=utf-8",
+        f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
+        "Content-Type: application/http; msgtype=response",
     ]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:record:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-        payload = b""
-    head.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        head += [f"WARC-Refers-To: {record_urn(refers_to)}", f"WARC-Refers-To-Target-URI: {refers_uri or uri}", f"WARC-Refers-To-Date: {DATE}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    head.append(f"Content-Length: {len(block)}")
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -139,20 +159,18 @@ def read_frame(content: bytes, frame: tuple[int, int, int]) -> bytes:
 
 
 def _row(headers: dict[str, str], block: bytes) -> tuple:
-    def number(x: str) -> int | None:
-        digits = x.removeprefix("<urn:record:").removesuffix(">")
-        return None if digits == "None" else int(digits)
-
+    """A record's columns; the digests of what was read are checked against the headers."""
+    if sha1_base32(block) != headers["WARC-Block-Digest"].removeprefix("sha1:"):
+        raise ValueError("a block differs from its digest")
+    end = block.index(b"\r\n\r\n") + 4
+    http, payload = block[:end].decode(), block[end:]
+    length, digest = int(http.split("Content-Length: ", 1)[1].split("\r\n", 1)[0]), headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    if headers["WARC-Type"] == "response":
+        if len(payload) != length or sha1_base32(payload) != digest:
+            raise ValueError("a payload differs from its digest")
+        length, digest = len(payload), sha1_base32(payload)
     refers = headers.get("WARC-Refers-To")
-    return (
-        number(headers["WARC-Record-ID"]),
-        headers["WARC-Target-URI"],
-        headers["WARC-Type"],
-        block,
-        int(headers["X-Payload-Length"]),
-        headers["WARC-Payload-Digest"].removeprefix("sha1:"),
-        None if refers is None else number(refers),
-    )
+    return record_number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], headers["WARC-Type"], payload, length, digest, None if refers is None else record_number(refers)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -163,7 +181,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 # ---- operators ----------------------------------------------------------------------
 def mark_revisits(pages: DataFrame, id_col: str, uri_col: str, payload_col: str, min_payload: int = 0) -> DataFrame:
-    """record_id, uri, payload, kind, refers_to. Only digests and ids are shuffled for the grouping."""
+    """record_id, uri, payload, kind, refers_to, refers_uri. Only digests, ids and addresses are shuffled for the grouping."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(id_col).cast("long").alias("record_id"),
@@ -171,10 +189,10 @@ def mark_revisits(pages: DataFrame, id_col: str, uri_col: str, payload_col: str,
         payload.alias("payload"),
         F.struct(F.sha2(payload, 256).alias("sha"), F.length(payload).alias("n")).alias("same"),
     )
-    firsts = rows.where(F.length("payload") >= min_payload).groupBy(F.col("same").alias("first_same")).agg(F.min("record_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = rows.where(F.length("payload") >= min_payload).groupBy(F.col("same").alias("first_same")).agg(F.min("record_id").alias("first"), F.min_by("uri", "record_id").alias("first_uri"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = rows.join(firsts, F.col("same") == F.col("first_same"), "left")
     revisit = F.col("first").isNotNull() & (F.col("first") != F.col("record_id"))
-    return joined.select("record_id", "uri", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
+    return joined.select("record_id", "uri", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_uri")).alias("refers_uri"))
 
 
 def write_bundles(records: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -190,16 +208,16 @@ def write_bundles(records: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_byt
         part, made, w = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                record_id, uri, payload, kind, refers_to = row
+                record_id, uri, payload, kind, refers_to, refers_uri = row
                 w = w or BundleWriter(frame_bytes)
-                w.add(record_id, record_bytes(record_id, uri, kind, payload, sha1_base32(payload), len(payload), refers_to))
+                w.add(record_id, record_bytes(record_id, uri, kind, payload, sha1_base32(payload), len(payload), refers_to, refers_uri))
                 if w.size() >= bundle_bytes:
                     yield emit(f"{part:06d}-{made:06d}.warc.zst", w)
                     made, w = made + 1, None
         if w:
             yield emit(f"{part:06d}-{made:06d}.warc.zst", w)
 
-    return records.select("record_id", "uri", "payload", "kind", "refers_to").mapInArrow(write, BUNDLE_SCHEMA)
+    return map_arrow(records.select("record_id", "uri", "payload", "kind", "refers_to", "refers_uri"), write, BUNDLE_SCHEMA)
 
 
 def record_index(bundles: DataFrame) -> DataFrame:
@@ -220,7 +238,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                         rows.append(_row(headers, block))
                     yield _batch(rows)
 
-    return bundles.select("content").mapInArrow(read, RECORD_SCHEMA)
+    return map_arrow(bundles.select("content"), read, RECORD_SCHEMA)
 
 
 def lookup_records(bundles: DataFrame, ids: DataFrame, id_col: str = "record_id") -> DataFrame:
@@ -240,4 +258,4 @@ def lookup_records(bundles: DataFrame, ids: DataFrame, id_col: str = "record_id"
                     rows += [_row(*parse_record(plain, at)[:2]) for at in offsets]
                 yield _batch(rows)
 
-    return bundles.join(places, "bundle").select("content", "places").mapInArrow(seek, RECORD_SCHEMA)
+    return map_arrow(bundles.join(places, "bundle").select("content", "places"), seek, RECORD_SCHEMA)
