@@ -3,13 +3,16 @@
 A window is ``window`` consecutive words. Each window is represented by one of its word grams, the one
 with the least hash (winnowing), so equal windows are represented by equal grams and a gram stands for
 a run of neighbouring windows. Per run the index keeps the gram's fingerprint, a hash of all the run's
-words (its context) and how often both occurred.
+words (its context), how often both occurred and a text that holds them.
 
-The index is a set of immutable runs, bucketed and sorted by fingerprint. A batch becomes a new run and
-is merge-joined with the historical runs; compaction merges runs into one. Contexts seen twice settle
+The index is a set of immutable runs, bucketed and sorted by fingerprint, that a manifest in its home
+folder names. A batch becomes a new run and is merge-joined with the historical runs: fingerprints that
+they hold too, or that the batch repeats, are its hits. Then runs are compacted by size tiers. Hits are
+verified: contexts seen twice settle
 their windows at once; where a fingerprint repeats in differing contexts, the windows themselves are
-compared by two independent 64-bit hashes of their 35 words (the verification), one member for each
-context that repeats, so copies are never expanded.
+compared by two independent 64-bit hashes of their 35 words, one member for each
+context that repeats, so copies are never expanded. With a ``home`` the index and the texts stay, and a later call
+finds the passages that its rows share with those of earlier calls.
 
 Null and empty texts have no words; texts under ``window`` words keep all of them. Rows that repeat an
 id and its text are separate rows (their windows repeat); rows that share only the id do not mix. Only
@@ -28,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_path, n_slices, new_path, spill, text_or_empty
+from .common import Scratch, drop_path, map_arrow, n_slices, new_path, text_or_empty
 from .word_hashes import U, Sequences, mix, word_hashes
 
 WINDOW, GRAM = 35, 12
-#: Input partitions to a bucket of the index.
-SLICES_PER_BUCKET = 2
+#: Input partitions to a bucket of the index; runs merge when one is under so many times the sum of the later ones.
+SLICES_PER_BUCKET, TIER = 2, 4
+ENTRY = "fp long, ctx long, c int, src long"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -70,101 +74,133 @@ class Runs:
 
 
 def index_rows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """fp, ctx, c: the index entries of (id, tid, text) rows, counted batch by batch before any shuffle."""
-    schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("ctx", T.LongType()), T.StructField("c", T.IntegerType())])
+    """fp, ctx, c, src: the index entries of (key, text) rows, counted slice by slice before any shuffle."""
 
     def run(batches):
         for batch in batches:
-            runs = [Runs(t.as_py(), window, gram) for t in batch.column(0)]
-            both = np.stack([np.concatenate([r.fp for r in runs]), np.concatenate([r.ctx for r in runs])], axis=1) if runs else np.zeros((0, 2), np.uint64)
-            if both.size:
-                order = np.lexsort((both[:, 1], both[:, 0]))
-                both = both[order]
-                new = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1)]))
-                count = np.diff(np.append(new, len(both)))
-                both = both[new]
-            else:
-                count = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64)), pa.array(count.astype(np.int32))], names=["fp", "ctx", "c"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                runs = [Runs(t.as_py(), window, gram) for t in part.column(1)]
+                fp, ctx = (np.concatenate([getattr(r, x) for r in runs]) for x in ("fp", "ctx"))
+                src = np.repeat(part.column(0).to_numpy(), [r.fp.size for r in runs])
+                order = np.lexsort((ctx, fp))
+                fp, ctx, src = fp[order], ctx[order], src[order]
+                new = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])])) if fp.size else np.zeros(0, np.int64)
+                count = np.diff(np.append(new, fp.size))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(ctx[new].view(np.int64)), pa.array(count.astype(np.int32)), pa.array(src[new])], names=["fp", "ctx", "c", "src"])
 
-    return docs.select("text").mapInArrow(run, schema)
+    return map_arrow(docs.select("key", "text"), run, ENTRY)
 
 
 def occurrences(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """id, tid, fp, ctx, first, last of every run of (id, tid, text) rows."""
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("tid", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("ctx", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+    """key, fp, ctx, first, last of every run of (key, text) rows."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                runs = [Runs(t.as_py(), window, gram) for t in part.column(2)]
+                runs = [Runs(t.as_py(), window, gram) for t in part.column(1)]
                 rows = pa.array(np.repeat(np.arange(len(runs)), [r.fp.size for r in runs]))
                 join = lambda name, kind: pa.array(np.concatenate([getattr(r, name) for r in runs]).astype(kind, copy=False))
                 ints = [pa.array(np.concatenate([getattr(r, name) for r in runs]).view(np.int64)) for name in ("fp", "ctx")]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *ints, join("first", np.int32), join("last", np.int32)], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), *ints, join("first", np.int32), join("last", np.int32)], names=["key", "fp", "ctx", "first", "last"])
 
-    return docs.select("id", "tid", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("key", "text"), run, "key long, fp long, ctx long, first int, last int")
 
 
 class FingerprintIndex:
-    """Immutable runs of (fp, ctx, c), bucketed and sorted by fp, as tables over the shared folder."""
+    """Immutable runs of (fp, ctx, c, src), bucketed and sorted by fp, as tables over the shared folder.
+
+    The manifest's latest version in ``home`` lists the runs, the oldest first, so an index can be opened again.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int, home: str | None = None):
         self.spark, self.buckets = spark, buckets
         self.home = home or new_path(spark, "fingerprints")
-        self.runs: list[tuple[str, str]] = []
-
-    def _write(self, rows: DataFrame) -> tuple[str, str]:
+        self.runs: list[tuple[str, str, int]] = []  # table, path, entries
+        self.version = 0
+        if home and self._exists(f"{home}/manifest"):
+            held = spark.read.parquet(f"{home}/manifest")
+            self.version = held.agg(F.max("version").alias("v")).first()["v"]
+            for r in held.where(F.col("version") == self.version).orderBy("place").collect():  # a few rows: runs grow by tiers
+                self.buckets = r["buckets"]
+                if r["name"]:
+                    self.runs.append((r["name"], r["path"], r["entries"]))
+                    spark.sql(f"CREATE TABLE IF NOT EXISTS {r['name']} ({ENTRY}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, ctx) INTO {self.buckets} BUCKETS LOCATION '{r['path']}'")
+
+    def _exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def _publish(self, gone: list[tuple[str, str, int]] = ()) -> None:
+        """A new version of the manifest; only then the runs that it no longer lists go."""
+        self.version += 1
+        rows = [(i, *run, self.buckets) for i, run in enumerate(self.runs)] or [(0, None, None, 0, self.buckets)]
+        self.spark.createDataFrame(rows, "place int, name string, path string, entries long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.home}/manifest/version={self.version}")
+        for name, path, _ in gone:
+            self._drop(name, path)
+
+    def _drop(self, name: str, path: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(self.spark, path)
+
+    def _write(self, rows: DataFrame) -> tuple[str, str, int]:
         name = f"fingerprints_{uuid.uuid4().hex}"
         path = f"{self.home}/{name}"
         rows.sortWithinPartitions("fp", "ctx").write.bucketBy(self.buckets, "fp").sortBy("fp", "ctx").option("path", path).option("compression", "zstd").saveAsTable(name)
-        return name, path
+        return name, path, self.spark.table(name).count()
 
-    def add(self, entries: DataFrame) -> None:
-        """A batch's entries become a new run; one shuffle deals them to their buckets."""
-        dealt = entries.repartition(self.buckets, "fp").groupBy("fp", "ctx").agg(F.sum("c").cast("int").alias("c"))
+    def add(self, entries: DataFrame) -> DataFrame:
+        """A batch's entries become a new run; one shuffle deals them to their buckets. Returns the batch's hits (fp)."""
+        dealt = entries.repartition(self.buckets, "fp").groupBy("fp", "ctx").agg(F.sum("c").cast("int").alias("c"), F.min("src").alias("src"))
         self.runs.append(self._write(dealt))
-
-    def known(self, run: int) -> DataFrame:
-        """Fingerprints of a run that earlier runs hold too: a merge join of sorted buckets."""
-        new = self.spark.table(self.runs[run][0]).select("fp").distinct()
-        old = [self.spark.table(name).select("fp").distinct() for name, _ in self.runs[:run]]
-        hits = [new.hint("merge").join(o.hint("merge"), "fp") for o in old]
-        return reduce(DataFrame.unionByName, hits).distinct() if hits else new.limit(0)  # joins are row-wise plans
-
-    def compact(self) -> None:
-        """Merge all runs into one; the old ones go once the new one is complete."""
-        if len(self.runs) > 1:
+        return self.hits(len(self.runs) - 1)
+
+    def hits(self, run: int) -> DataFrame:
+        """Fingerprints of a run that it repeats or that earlier runs hold too: merge joins of sorted buckets."""
+        new = self.spark.table(self.runs[run][0])
+        own = new.groupBy("fp").agg(F.sum("c").alias("n"))
+        old = [own.hint("merge").join(self.spark.table(name).select("fp").distinct().hint("merge"), "fp").select("fp") for name, _, _ in self.runs[:run]]
+        return reduce(DataFrame.unionByName, [own.where("n > 1").select("fp"), *old]).repartition(self.buckets, "fp").distinct()
+
+    def compact(self, every: bool = False) -> None:
+        """Merge the latest runs while the one before them is not TIER times as large (or all); then publish."""
+        at = len(self.runs) - 1
+        while at > 0 and (every or self.runs[at - 1][2] < TIER * sum(n for _, _, n in self.runs[at:])):
+            at -= 1
+        gone = self.runs[at:] if len(self.runs) - at > 1 else []
+        if gone:
             # the cast makes each side a row-wise plan: Spark 4.1 takes a union of columnar bucketed scans for
             # bucketed although it only strings their partitions together
-            rows = [self.spark.table(name).select("fp", "ctx", F.col("c").cast("long").alias("c")) for name, _ in self.runs]
-            merged = self._write(reduce(DataFrame.unionByName, rows).groupBy("fp", "ctx").agg(F.sum("c").cast("int").alias("c")))
-            self.close()
-            self.runs = [merged]
+            rows = [self.spark.table(name).select("fp", "ctx", F.col("c").cast("long").alias("c"), "src") for name, _, _ in gone]
+            merged = reduce(DataFrame.unionByName, rows).groupBy("fp", "ctx").agg(F.sum("c").cast("int").alias("c"), F.min("src").alias("src"))
+            self.runs = [*self.runs[:at], self._write(merged)]
+        self._publish(gone)
 
     def entries(self) -> DataFrame:
-        self.compact()
-        return self.spark.table(self.runs[0][0])
+        """All entries; contexts that several runs hold are summed."""
+        rows = [self.spark.table(name).select("fp", "ctx", F.col("c").cast("long").alias("c"), "src") for name, _, _ in self.runs]
+        return rows[0] if len(rows) == 1 else reduce(DataFrame.unionByName, rows).groupBy("fp", "ctx").agg(F.sum("c").alias("c"), F.min("src").alias("src"))
 
     def close(self) -> None:
-        for name, path in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            drop_path(self.spark, path)
+        """Delete the index."""
+        for name, path, _ in self.runs:
+            self._drop(name, path)
+        drop_path(self.spark, self.home)
 
-    def repeated(self) -> DataFrame:
-        """fp, ctx, full, rival of fingerprints seen twice or more. full: the context itself repeats;
+    def status(self, hits: DataFrame) -> DataFrame:
+        """fp, ctx, src, full, rival of the contexts of hits. full: the context itself repeats;
         rival: another context of the fingerprint does not, so windows have to be compared."""
-        held = self.entries()
-        per = held.groupBy("fp").agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("single"))
-        return held.join(per.where("n > 1"), "fp").select("fp", "ctx", (F.col("c") > 1).alias("full"), (F.col("single") > 0).alias("rival"))
+        held = self.entries().join(hits, "fp", "left_semi")
+        per = held.groupBy("fp").agg(F.count_if(F.col("c") == 1).alias("single"))
+        return held.join(per, "fp").select("fp", "ctx", "src", (F.col("c") > 1).alias("full"), (F.col("single") > 0).alias("rival"))
 
 
 def _first_pass(joined: DataFrame, window: int, gram: int) -> DataFrame:
     """Results of texts without open runs; for the others their windows' hashes, settled runs and text."""
     spans = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
     wins = T.ArrayType(T.StructType([T.StructField("h0", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("w", T.IntegerType())]))
-    schema = T.StructType([joined.schema["id"], joined.schema["tid"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("windows", wins), T.StructField("settled", spans), T.StructField("text", T.StringType())])
+    schema = T.StructType([joined.schema["id"], joined.schema["key"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("windows", wins), T.StructField("settled", spans), T.StructField("text", T.StringType()), T.StructField("here", T.BooleanType())])
     spans_pa = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     wins_pa = pa.list_(pa.struct([("h0", pa.int64()), ("h1", pa.int64()), ("s", pa.int32()), ("w", pa.int32())]))
 
@@ -191,9 +227,9 @@ def _first_pass(joined: DataFrame, window: int, gram: int) -> DataFrame:
                     for col, v in zip(out, row, strict=True):
                         col.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.string(), wins_pa, spans_pa, pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), part.column(4)], names=schema.fieldNames())
 
-    return joined.select("id", "tid", "text", "marks").mapInArrow(run, schema)
+    return map_arrow(joined.select("id", "key", "text", "marks", "here"), run, schema)
 
 
 def kept_digest(words: list[bytes], spans: list[tuple[int, int]], window: int) -> tuple[int, str]:
@@ -223,33 +259,57 @@ def _second_pass(joined: DataFrame, window: int) -> DataFrame:
                 sha.append(h)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha)], names=schema.fieldNames())
 
-    return joined.select("id", "n_words", "text", "settled", "starts").mapInArrow(run, schema)
+    return map_arrow(joined.select("id", "n_words", "text", "settled", "starts"), run, schema)
+
 
+def remove_repeats(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", home: str | None = None) -> DataFrame:
+    """Per row: id, n_words, n_removed, kept_sha256, after taking ``docs`` into the index in ``batches``.
 
-def remove_repeats(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, n_removed, kept_sha256, after taking ``docs`` into the index in ``batches``."""
+    With a ``home`` that earlier calls used, passages repeat also where those calls' rows hold them.
+    """
     spark = docs.sparkSession
-    text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("tid"), text.alias("text"))
-    index = FingerprintIndex(spark, buckets=max(8, n_slices(docs) // SLICES_PER_BUCKET))
+    work, text = Scratch(spark), text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
+    index = FingerprintIndex(spark, max(8, n_slices(docs) // SLICES_PER_BUCKET), home)
+    earlier = None
+    if home:
+        if index._exists(f"{home}/contents"):
+            earlier = spark.read.schema("key long, text string").parquet(f"{home}/contents")
+        rows.select("key", "text").write.mode("append").option("compression", "zstd").parquet(f"{home}/contents")
+    name = f"hits_{uuid.uuid4().hex}"  # bucketed like the runs, so that no join with them moves these
+    path = new_path(spark, "repeat-hits")
     for i in range(batches):
-        index.add(index_rows(rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(batches)) == i), window, gram))
-    index.compact()
-    status = spill(index.repeated(), "repeated")
-    index.close()
-
-    marks = spill(occurrences(rows, window, gram).join(status, ["fp", "ctx"]), "repeat-marks")
-    # kinds: 0 settled, 1 to be compared, 2 stands for a repeated context in the comparison
-    settled = marks.where("full").select("id", "tid", "first", "last", F.lit(0).alias("kind"))
-    compare = marks.where("not full").select("id", "tid", "first", "last", F.lit(1).alias("kind"))
-    stand = marks.where("full and rival").groupBy("fp", "ctx").agg(F.min(F.struct("id", "tid", "first", "last")).alias("m")).select("m.*", F.lit(2).alias("kind"))
-    lists = settled.unionByName(compare).unionByName(stand).groupBy(F.col("id").alias("m_id"), F.col("tid").alias("m_tid")).agg(F.collect_list(F.struct("first", "last", "kind")).alias("marks"))
-    joined = rows.join(lists, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("tid") == F.col("m_tid")), "left")
-    done = spill(_first_pass(joined, window, gram), "repeat-first-pass")
-
-    wins = done.select("id", "tid", F.explode("windows").alias("x")).select("id", "tid", "x.*")
+        hits = index.add(index_rows(rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(batches)) == i), window, gram))
+        hits.write.mode("append").bucketBy(index.buckets, "fp").option("path", path).saveAsTable(name)
+        index.compact(every=i == batches - 1 and not home)
+    status = work.spill(index.status(spark.table(name)), "repeated")
+    spark.sql(f"DROP TABLE {name}")
+    drop_path(spark, path)
+    if not home:
+        index.close()
+
+    # kinds: 0 settled, 1 to be compared, 2 stands for a context in the comparison
+    marks = work.spill(occurrences(rows, window, gram).join(status.drop("src"), ["fp", "ctx"]), "repeat-marks")
+    settled = marks.where("full").select("key", "first", "last", F.lit(0).alias("kind"))
+    compare = marks.where("not full").select("key", "first", "last", F.lit(1).alias("kind"))
+    stand = marks.where("full and rival").groupBy("fp", "ctx").agg(F.min(F.struct("key", "first", "last")).alias("m")).select("m.*", F.lit(2).alias("kind"))
+    parts, every = [settled, compare, stand], rows.withColumn("here", F.lit(True))
+    if earlier is not None:
+        # the contexts that only earlier rows hold: one text for each, read again
+        asked = marks.where("not full").select("fp").distinct()
+        only = status.join(asked, "fp", "left_semi").join(marks.select("fp", "ctx"), ["fp", "ctx"], "left_anti")
+        past = work.spill(earlier.join(only.select(F.col("src").alias("key")).distinct(), "key", "left_semi").distinct(), "repeat-past")
+        held = occurrences(past, window, gram).join(only.select("fp", "ctx"), ["fp", "ctx"])
+        parts.append(held.select("key", "first", "last", F.lit(2).alias("kind")))
+        every = every.unionByName(past.select(F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "key", "text", F.lit(False).alias("here")))
+    lists = reduce(DataFrame.unionByName, parts).groupBy(F.col("key").alias("m_key")).agg(F.collect_set(F.struct("first", "last", "kind")).alias("marks"))  # at most a text's runs
+    joined = every.join(lists, F.col("key") == F.col("m_key"), "left")
+    done = work.spill(_first_pass(joined, window, gram), "repeat-first-pass")
+    work.free(marks, status)
+
+    wins = done.select("key", F.explode("windows").alias("x")).select("key", "x.*")
     twice = wins.groupBy("h0", "h1").agg(F.sum("w").alias("n")).where("n > 1").drop("n")
-    starts = wins.where("w = 1").join(twice, ["h0", "h1"]).groupBy(F.col("id").alias("s_id"), F.col("tid").alias("s_tid")).agg(F.collect_list("s").alias("starts"))
-    rest = done.where("text is not null").join(starts, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("tid") == F.col("s_tid")), "left")
-    final = done.where("text is null").select("id", "n_words", "n_removed", "kept_sha256").unionByName(_second_pass(rest, window))
+    starts = wins.where("w = 1").join(twice, ["h0", "h1"]).groupBy(F.col("key").alias("s_key")).agg(F.collect_set("s").alias("starts"))  # at most a text's windows
+    rest = done.where("here and text is not null").join(starts, F.col("key") == F.col("s_key"), "left")
+    final = done.where("here and text is null").select("id", "n_words", "n_removed", "kept_sha256").unionByName(_second_pass(rest, window))
     return final.withColumnRenamed("id", id_col)
