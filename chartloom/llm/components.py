@@ -1,9 +1,11 @@
 """Connected components of a link table, as DataFrame joins.
 
-Hash-to-min with shortcutting: each node keeps the least label it knows; a round takes the least
-label among its neighbours' and then replaces each label by its own label, which halves depths, so
-the number of rounds grows with the logarithm of a component's diameter. Labels and links stay
-distributed; the driver sees one count per round. Every round is written to the shared folder.
+Random-mate contraction: in a round every node points to the neighbour with the least random
+priority (to itself if its own is less) and from there once more; links are renamed to what their ends
+point to, and those that become loops or repeat others are gone. So the links shrink by a factor in each
+round, whatever the order of the ids, a star takes one round, and a chain a number of rounds that grows
+with the logarithm of its length. At the end the rounds' pointers are followed back, the latest first.
+Everything stays distributed and each round is written to the shared folder; the driver only learns whether links are left.
 """
 
 from __future__ import annotations
@@ -11,33 +13,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path, spill
+from .common import Scratch
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", work: Scratch | None = None) -> DataFrame:
     """node, component (the least node of its component) for every node that a link names.
 
     Null ends and loops are ignored; repeated links do no harm; no links give no rows.
     """
-    spark = links.sparkSession
+    work = work or Scratch(links.sparkSession)
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    paths = [new_path(spark, "links")]
-    both = spill(ends.union(ends.select("v", "u")).distinct(), "links", paths[0])
-    labels = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("component"))
-    paths.append(new_path(spark, "labels"))
-    labels = spill(labels, "labels", paths[-1])
-    while True:
-        # the least label among neighbours
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("near"))
-        low = labels.join(near, F.col("node") == F.col("u"), "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
-        # shortcut: the label's label
-        up = labels.select(F.col("node").alias("mid"), F.col("component").alias("top"))
-        new = low.join(up, F.col("next") == F.col("mid"), "left").select("node", F.coalesce(F.least("next", "top"), "next").alias("component"), (F.coalesce(F.least("next", "top"), "next") != F.col("component")).alias("moved"))
-        paths.append(new_path(spark, "labels"))
-        written = spill(new, "labels", paths[-1])
-        moved = written.where("moved").limit(1).count()
-        drop_path(spark, paths.pop(-2))
-        labels = written.select("node", "component")
-        if not moved:
-            drop_path(spark, paths[0])
-            return labels
+    left, pointers = work.spill(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links"), []
+    while left.limit(1).count() or not pointers:
+        rank = lambda x, salt=len(pointers): F.xxhash64(x, F.lit(salt))
+        best = left.union(left.select("v", "u")).groupBy("u").agg(F.min_by("v", rank("v")).alias("v"))
+        to = work.spill(best.select(F.col("u").alias("node"), F.when(rank("v") < rank("u"), F.col("v")).otherwise(F.col("u")).alias("to")), "mates")
+        # what a node points to is a node, too
+        further = to.select(F.col("node").alias("mid"), F.col("to").alias("further"))
+        jumped = work.spill(to.join(further, F.col("to") == F.col("mid")).select("node", F.col("further").alias("to")), "pointers")
+        work.free(to)
+        pu, pv = jumped.select(F.col("node").alias("u"), F.col("to").alias("pu")), jumped.select(F.col("node").alias("v"), F.col("to").alias("pv"))
+        renamed = left.join(pu, "u").join(pv, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
+        pointers.append(jumped)
+        before, left = left, work.spill(renamed, "links")
+        work.free(before)
+    found = pointers[-1]
+    for earlier in reversed(pointers[:-1]):
+        on = found.select(F.col("node").alias("mid"), F.col("to").alias("root"))
+        merged = work.spill(earlier.join(on, F.col("to") == F.col("mid"), "left").select("node", F.coalesce("root", "to").alias("to")), "pointers")
+        work.free(earlier, found)
+        found = merged
+    names = found.groupBy(F.col("to").alias("root")).agg(F.min("node").alias("component"))
+    named = work.spill(found.join(names, F.col("to") == F.col("root")).select("node", "component"), "components")
+    work.free(found, left)
+    return named

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, new_path, spill, text_or_empty
+from .common import SPACE_CLASS, keep_rows, new_path, spill, text_or_empty
 
 #: State on disk; its changes are checkpointed as a log; no file is allocated ahead, as many small stores would fill disks.
 STATE_CONF = {
@@ -99,10 +99,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     checked = bodies.join(keepers, "digest", "left")
     # rows that fail the check are classed by their own bytes
     odd = F.when(F.col("body") == F.col("kept_body"), F.lit(None)).otherwise(F.col("body"))
-    classed = checked.select("digest", "id", "here", odd.alias("odd"))
+    # written, so that a hot digest's part of the join is split and its rows are counted before they meet
+    classed = spill(checked.select("digest", "id", "here", odd.alias("odd")), "dedup-classed")
     groups = classed.groupBy(F.col("digest").alias("g_digest"), F.col("odd").alias("g_odd")).agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     many = classed.where("here").join(groups, (F.col("digest") == F.col("g_digest")) & F.col("odd").eqNullSafe(F.col("g_odd"))).select("digest", "id", "keep_id", "group_size")
     ones = arrivals.join(state.where("n = 1").select("digest"), "digest").select("digest", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return ones.unionByName(many).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts: that with the smallest id (no id: the last choice)."""
+    found = exact_dedup(docs, id_col, text_col)
+    fates = found.select(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("key"), "kept")
+    return keep_rows(docs, fates, F.unhex(F.sha2(normalised(text_col), 256)), id_col)

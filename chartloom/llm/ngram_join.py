@@ -23,10 +23,11 @@ No group of equal sections is expanded into all its pairs:
 
 So every link between different components is verified or ruled out, none is capped away.
 
-Null and empty texts have an empty set and link with nothing. Rows that repeat an id and its text get
-the same class; if the texts differ, links are judged on the id's least text. A row without an id gets
-the class of an equal set, if there is one. Only the id and text columns are read. An empty frame gives an empty frame. Shingles are
-told apart by 64-bit hashes: two of a pair's n shingles coincide with probability n**2 / 2**65.
+Null and empty texts have an empty set and link with nothing. Each row is judged on its own text, also if
+ids repeat. A row without an id gets the class of an equal set, if there is one. Ids may be of any type
+that can be compared. Only the id and text columns are read. An empty frame gives an empty frame. Shingles are
+told apart by 64-bit hashes: two of a pair's n shingles coincide with probability n**2 / 2**65; so are rows,
+by a hash of id and text.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_path, new_path, spill, text_or_empty, worker_memo
+from .common import drop_path, keep_rows, map_arrow, new_path, spill, text_or_empty, worker_memo
 from .components import connected_components
 from .word_hashes import U, mix, shingle_set
 
@@ -137,10 +138,11 @@ def section_keys(h: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """id, n, two 64-bit fingerprints of the set, and its section keys."""
+    """id, node (the row's name in the join), n, two 64-bit fingerprints of the set, and its section keys."""
     schema = T.StructType(
         [
-            T.StructField("id", T.LongType()),
+            T.StructField("id", docs.schema[id_col].dataType),
+            T.StructField("node", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("f1", T.LongType()),
             T.StructField("f2", T.LongType()),
@@ -156,7 +158,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 n, f1, f2, spare, sketch, keys = [], [], [], [], [], []
-                for text in part.column(1):
+                for text in part.column(2):
                     h = shingle_set(text.as_py(), k)
                     n.append(h.size)
                     f1.append(int(h.sum().view(np.int64)) if h.size else 0)
@@ -167,9 +169,14 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den
                     sketch.append(parity_sketch(h))
                 ends = pa.array(np.cumsum([0, *(x.size for x in keys)]), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(spare, pa.int32()), pa.array(sketch, pa.list_(pa.int64())), lists], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(spare, pa.int32()), pa.array(sketch, pa.list_(pa.int64())), lists], names=schema.fieldNames())
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("node"), text_or_empty(text_col).alias("text")), run, schema)
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's name in the join: a hash of its id and text."""
+    return F.xxhash64(F.col(id_col), text_or_empty(text_col))
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -183,7 +190,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                 sets = [shingle_set(t.as_py(), k).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=schema.fieldNames())
 
-    return texts.mapInArrow(run, schema)
+    return map_arrow(texts, run, schema)
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -205,7 +212,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 total.append(p.size + q.size - same)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], names=schema.fieldNames())
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, schema)
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, schema)
 
 
 def _rarest_shingles(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -223,7 +230,7 @@ def _rarest_shingles(sets: DataFrame, num: int, den: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:])], names=schema.fieldNames())
 
-    spaces = sets.select("id", F.size("shingles").cast("long").alias("n")).mapInArrow(classes, schema)
+    spaces = map_arrow(sets.select("id", F.size("shingles").cast("long").alias("n")), classes, schema)
     tokens = sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("gram"))
     counts = tokens.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("c"))
     order = Window.partitionBy("id").orderBy("c", "gram")  # a set's own shingles
@@ -356,15 +363,32 @@ def jaccard_links(reps: DataFrame, texts: DataFrame, k: int, num: int, den: int)
     return verify.links()
 
 
-def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id; sets link when den * intersection >= num * union."""
-    sketches = spill(_sketches(docs, id_col, text_col, k, num, den), "ngram-sketches")
+def ngram_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, row_key, n_shingles, component_id; sets link when den * intersection >= num * union."""
+    paths = [new_path(docs.sparkSession, f"ngram-{name}") for name in ("sketches", "reps")]
+    sketches = spill(_sketches(docs, id_col, text_col, k, num, den), "ngram-sketches", paths[0])
     held = sketches.where("n > 0 and id is not null")
-    reps = held.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "spare", "sketch", "keys")).alias("r")).select("n", "f1", "f2", "r.*")
-    reps = spill(reps, "ngram-reps")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    links = jaccard_links(reps, texts, k, num, den)
-    labels = connected_components(links)
-    named = reps.select("n", "f1", "f2", F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    found = sketches.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
-    return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    firsts = held.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "node", "spare", "sketch", "keys")).alias("r"))
+    reps = spill(firsts.select("n", "f1", "f2", F.col("r.id").alias("least"), F.col("r.node").alias("id"), "r.spare", "r.sketch", "r.keys"), "ngram-reps", paths[1])
+    texts = docs.select(row_key(id_col, text_col).alias("id"), text_or_empty(text_col).alias("text"))
+    labels = connected_components(jaccard_links(reps, texts, k, num, den))
+    # components are named by their least id
+    linked = reps.select("n", "f1", "f2", "id", "least").join(labels, F.col("id") == F.col("node")).select("n", "f1", "f2", "least", "component")
+    names = linked.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("name"))
+    named = linked.join(names, F.col("component") == F.col("c")).select("n", "f1", "f2", "name")
+    every = reps.select("n", "f1", "f2", "least").join(named, ["n", "f1", "f2"], "left").select("n", "f1", "f2", F.coalesce("name", "least").alias("name"))
+    found = sketches.select("id", "node", "n", "f1", "f2").join(every, ["n", "f1", "f2"], "left")
+    return found.select(F.col("id").alias(id_col), F.col("node").alias("row_key"), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
+
+
+def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id."""
+    return ngram_classes(docs, k, num, den, id_col, text_col).drop("row_key")
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id. Rows with an empty set stay, as they
+    link with nothing (of equal rows one does); a row without an id goes if an equal set has one."""
+    found = ngram_classes(docs, k, num, den, id_col, text_col)
+    fates = found.select(F.col(id_col).alias("id"), F.col("row_key").alias("key"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+    return keep_rows(docs, fates, row_key(id_col, text_col), id_col)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spill, text_or_empty, worker_memo
+from .common import map_arrow, spill, text_or_empty, worker_memo
 
 MAX_ROWS = 8_000
 MAX_TERMS = 2_000
@@ -38,12 +38,13 @@ FEATURES = ["words", "lexicon", "lexicon_hits", "beginnings", "beginning_hits",
 # Bits of a chunk's code.
 LEX, BEG, HID, SEC, CAP, OBF, STR = (1 << k for k in range(7))
 NEAR = 5
+MEMO_CHUNK = 64
 
 
 class ChunkCodes:
-    """White-space chunk -> bit code, memoised per Python worker."""
+    """White-space chunk -> bit code, memoised per Python worker; long chunks are not kept."""
 
-    def __init__(self, terms: frozenset[str], memo: int = 400_000):
+    def __init__(self, terms: frozenset[str], memo: int = 250_000):
         self.words = frozenset(t for t in terms if not t.startswith("^"))
         self.begins = frozenset(t[1:] for t in terms if t.startswith("^"))
         self.memo, self.limit = {"": 0}, memo
@@ -75,7 +76,8 @@ class ChunkCodes:
                 out |= HID
         if any(a == b == c for a, b, c in zip(core, core[1:], core[2:])):
             out |= STR
-        self.memo[chunk] = out
+        if len(chunk) <= MEMO_CHUNK:
+            self.memo[chunk] = out
         return out
 
     def features(self, text: str) -> list[float]:
@@ -116,17 +118,25 @@ class ChunkCodes:
 
 
 def dense_features(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and one array column ``features`` (doubles, in the order of FEATURES)."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("features", T.ArrayType(T.DoubleType()))])
-    held = frozenset(terms)
+    """id and one array column ``features`` (doubles, in the order of FEATURES).
+
+    ``id_col`` may name a struct that holds the text as a field, so that a row's text goes to Python once.
+    """
+    kind = docs.schema[id_col].dataType
+    held, inside = frozenset(terms), isinstance(kind, T.StructType) and text_col not in docs.columns
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("features", T.ArrayType(T.DoubleType()))])
+    field_no = kind.fieldNames().index(text_col) if inside else None
 
     def run(batches):
         codes = worker_memo(("toxicity", held), lambda: ChunkCodes(held))
         for batch in batches:
-            rows = [codes.features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[id_col, "features"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(1) if field_no is None else part.column(0).flatten()[field_no]
+                rows = [codes.features(t.as_py() or "") for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[id_col, "features"])
 
-    return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, *([] if inside else [text_col])), run, schema)
 
 
 def mine_terms(sample: DataFrame, text_col: str, label_col: str, max_terms: int = MAX_TERMS) -> list[str]:
