@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.llm.common import scratch_names, spill, table
-from chartloom.llm.exact_dedup import exact_dedup
+from chartloom.llm.exact_dedup import without_copies
 from chartloom.llm.mixing import copies, fit_mixing
-from chartloom.llm.ngram_join import ngram_components
+from chartloom.llm.ngram_join import without_near_copies
 from chartloom.llm.packing import pack_documents
 from chartloom.llm.queries import TARGET_WEIGHTS, held_out, labelled_domains, vocabulary
 from chartloom.llm.toxicity import fit_toxicity
@@ -28,22 +28,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2. A score belongs to a text, so the decision is taken where the text is read."""
     columns = docs.columns
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), usable=~held_out())
-    (row,) = scratch_names(docs, "toxicity_row")
-    scored = model.score(docs.select(F.struct(*columns).alias(row), F.col("text")), id_col=row)
-    return scored.where(F.col("score") < REJECT_SCORE).select(*(F.col(row)[c].alias(c) for c in columns))
+    scored = model.score(docs.select(F.struct(*columns).alias("whole_row")), id_col="whole_row")
+    return scored.where(F.col("score") < REJECT_SCORE).select(*(F.col("whole_row")[c].alias(c) for c in columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9. The smallest doc_id of equal texts stays."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Operator 9. The row with the smallest doc_id of equal texts stays."""
+    return without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8. Five-word shingles, similarity 0.8; the smallest doc_id of each group stays."""
-    found = ngram_components(docs, k=5, num=80, den=100)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Operator 8. Five-word shingles, similarity 0.8; the row with the smallest doc_id of each group stays."""
+    return without_near_copies(docs, k=5, num=80, den=100)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
