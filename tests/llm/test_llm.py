@@ -172,7 +172,14 @@ def test_warc(spark):
     bundles = warc.write_bundles(marked.coalesce(1), frame_bytes=500, bundle_bytes=2000).cache()
     got = {r["record_id"]: r for r in warc.read_bundles(bundles).collect()}
     assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {5: ("revisit", 2), 2: ("response", None), 7: ("revisit", 2), 9: ("revisit", 1), 1: ("response", None), 3: ("response", None)}
-    assert bytes(got[3]["payload"]).decode() == "é" * 300_000 and got[5]["payload_bytes"] == 4
+    assert bytes(got[3]["payload"]).decode() == "é" * 300_000 and got[5]["payload_bytes"] == 4 and bytes(got[5]["payload"]) == b""
+    for i in (0, 5, -1, None, 2**63 - 1, -(2**63)):
+        assert warc.record_number(warc.record_urn(i)) == i
+    record = warc.record_bytes(7, "http://x/", "response", b"<p>", warc.sha1_base32(b"<p>"), 3, None)
+    headers, block, _ = warc.parse_record(record)
+    assert headers["Content-Type"] == "application/http; msgtype=response" and block.startswith(b"HTTP/1.1 200 OK\r\n") and block.endswith(b"\r\n\r\n<p>")
+    with pytest.raises(ValueError):
+        warc._row(headers, block[:-1] + b"?")
     found = warc.lookup_records(bundles, spark.createDataFrame([(3,), (7,), (77,)], "record_id long")).collect()
     assert sorted(r["record_id"] for r in found) == [3, 7]
     import zstandard
@@ -218,35 +225,53 @@ def test_mixing(spark):
 # ---- 7 -------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("batches", [1, 3])
 def test_substring_dedup(spark, texts, batches):
+    got = substring_dedup.remove_repeats(make(spark, texts), batches=batches)
+    assert sorted(tuple(r) for r in got.collect()) == brute_repeats([], texts)
+    assert substring_dedup.remove_repeats(make(spark, [])).count() == 0
+
+
+def brute_repeats(history, rows):
     from collections import Counter
 
-    windows, words = Counter(), [(i, WORD.findall(t or "")) for i, t in texts]
-    for _, ws in words:
+    windows, words = Counter(), [(i, WORD.findall(t or "")) for i, t in rows]
+    for ws in [WORD.findall(t or "") for _, t in history] + [ws for _, ws in words]:
         windows.update(tuple(ws[k : k + 35]) for k in range(len(ws) - 34))
-    want = []
+    out = []
     for i, ws in words:
         gone = {k + j for k in range(len(ws) - 34) if windows[tuple(ws[k : k + 35])] > 1 for j in range(35)}
-        kept = [w for k, w in enumerate(ws) if k not in gone]
-        want.append((i, len(ws), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
-    got = substring_dedup.remove_repeats(make(spark, texts), batches=batches)
-    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
-    assert substring_dedup.remove_repeats(make(spark, [])).count() == 0
+        out.append((i, len(ws), len(gone), hashlib.sha256(" ".join(w for k, w in enumerate(ws) if k not in gone).encode()).hexdigest()))
+    return sorted(out)
 
 
 def test_index_is_incremental(spark, texts):
-    rows = make(spark, texts).select("text").where("text is not null")
+    rows = make(spark, texts).select(F.xxhash64("doc_id", "text").alias("key"), "text").where("text is not null")
     index = substring_dedup.FingerprintIndex(spark, 4)
-    index.add(substring_dedup.index_rows(rows))
-    index.add(substring_dedup.index_rows(rows.limit(0)))
-    index.add(substring_dedup.index_rows(rows))
+    first = index.add(substring_dedup.index_rows(rows)).count()
+    assert index.add(substring_dedup.index_rows(rows.limit(0))).count() == 0
+    hits = index.add(substring_dedup.index_rows(rows))
     alone = spark.table(index.runs[0][0])
     distinct, n = alone.select("fp").distinct().count(), alone.count()
-    assert index.known(2).count() == distinct and index.known(0).count() == 0
+    assert hits.count() == distinct > first
     index.compact()
-    assert len(index.runs) == 1 and index.entries().count() == n and index.entries().where("c < 2").count() == 0
+    again = substring_dedup.FingerprintIndex(spark, 99, index.home)
+    assert again.runs == index.runs and again.buckets == 4 and len(index.runs) == 1
+    assert again.entries().count() == n and again.entries().where("c < 2").count() == 0
     index.close()
 
 
+def test_repeats_over_calls_with_one_home(spark, texts, tmp_path):
+    """The index and texts of earlier calls are found again, with tables dropped in between as by a new session."""
+    home, seen = f"file://{tmp_path}/index", []
+    parts = [texts[:20], texts[20:45], [*texts[45:], (700, " ".join((dict(texts)[10] or "").split()[:60])), (701, dict(texts)[93])]]
+    for part in parts:
+        got = substring_dedup.remove_repeats(make(spark, part), home=home).collect()
+        assert sorted(tuple(r) for r in got) == brute_repeats(seen, part)
+        seen += part
+        for t in spark.catalog.listTables():
+            if t.name.startswith("fingerprints_"):
+                spark.sql(f"DROP TABLE {t.name}")
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------
 def brute_components(texts, k, num, den):
     def shingles(t):
@@ -318,6 +343,25 @@ def test_dedup_state_outlives_a_run(spark, tmp_path):
 
 
 # ---- 10 ------------------------------------------------------------------------------------------------------
+def alike(a, b, num=8, den=10):
+    """Similarity by five-character shingles if both lines are under 150 characters, else by nine."""
+    k = 5 if max(len(a), len(b)) < 150 else 9
+    x, y = ({t[i : i + k] for i in range(max(1, len(t) - k + 1))} for t in (a, b))
+    return den * len(x & y) >= num * len(x | y)
+
+
+def test_short_lines_with_an_edit(spark):
+    """One character changed in lines of 50 to 140 characters."""
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in range(50, 140, 2)]
+    pairs = [(t, t[: len(t) // 2] + "#" + t[len(t) // 2 + 1 :]) for t in lines]
+    got = line_dedup.line_classes(make(spark, [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)])).collect()
+    cls = {r["id"]: r["class"] for r in got}
+    same = [alike(*p) for p in pairs]
+    found = sum(cls[2 * i] == cls[2 * i + 1] for i in range(len(pairs)) if same[i])
+    assert all(same) and found >= 0.97 * len(pairs) and sum(r["kept"] for r in got) == 2 * len(pairs) - found
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
@@ -332,13 +376,9 @@ def test_line_dedup(spark):
     rng.shuffle(lines)
     docs = [(i, "\n".join(lines[6 * i : 6 * i + 6] + ["", "short", "  "])) for i in range(len(lines) // 6)] + [(500, None), (501, ""), (502, "short"), (503, "é" * 30_000)]
 
-    def grams(line):
-        return {line[k : k + 9] for k in range(max(1, len(line) - 8))}
-
     every = [(i, n, line) for i, t in docs for n, line in enumerate((t or "").split("\n")) if line.strip()]
     distinct = sorted({line for _, _, line in every})
-    sets = {line: grams(line) for line in distinct}
-    linked = {(a, b) for x, a in enumerate(distinct) for b in distinct[:x] if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    linked = {(a, b) for x, a in enumerate(distinct) for b in distinct[:x] if alike(a, b)}
     got = line_dedup.line_classes(make(spark, docs)).collect()
     assert len(got) == len(every)
     cls = {}
@@ -391,7 +431,6 @@ def test_crowded_lines(spark):
             own[rng.randrange(40)] = word()
         lines.append(" ".join(own[: rng.choice([40, 40, 39, 37])]))
     rows = list(enumerate(lines))
-    sets = [{t[k : k + 9] for k in range(len(t) - 8)} for t in lines]
     up = list(range(150))
 
     def root(x):
@@ -401,12 +440,12 @@ def test_crowded_lines(spark):
 
     for a in range(150):
         for b in range(a):
-            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            if alike(lines[a], lines[b]):
                 r, t = sorted((root(a), root(b)))
                 up[t] = r
     got = {r["id"]: r["class"] for r in line_dedup.line_classes(make(spark, rows)).collect()}
-    alike = [(a, b) for a in range(150) for b in range(a) if root(a) == root(b)]
-    assert sum(got[a] == got[b] for a, b in alike) >= 0.95 * len(alike)
+    near = [(a, b) for a in range(150) for b in range(a) if root(a) == root(b)]
+    assert sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
     assert all(root(a) == root(b) for a in range(150) for b in range(a) if got[a] == got[b])
 
 
