@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from . import audio, warc
 from .common import spill, table
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .fill_middle import fill_in_middle, restored
+from .filter_audit import audit_orders, failure_counts
 from .line_dedup import dedup_lines
 from .mixing import copies, fit_mixing, with_rates
 from .ngram_join import ngram_components
@@ -99,6 +102,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), num=8, den=10)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    counts = failure_counts(table(spark, sf_dir, "documents"), labels, "source")
+    return audit_orders(counts, "ABCDE", ["good", "toxic"])
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"),
+        digest(restored()).alias("restored_sha256"),
+    )
+
+
 OP4_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body FROM pages
@@ -155,8 +182,73 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM t
 """
 
+OP11_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS ord FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT ord, step, 1 << (ascii(substr(ord, step, 1)) - 65) AS bit,
+         (SELECT sum(contains(substr(ord, 1, step - 1), x)::INT << (ascii(x) - 65)) FROM f)::INT AS gone
+  FROM o, range(1, 6) r(step)
+), r AS (
+  SELECT part, ord AS filter_order, step::INT AS step, bit,
+         coalesce(sum(n) FILTER (mask & (gone | bit) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (mask & gone = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (mask & gone <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (mask & gone = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & gone = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark
+), p AS (SELECT item_id, ws, least(len(ws), 10) AS k, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS j FROM b WHERE len(ws) > 0),
+i AS (SELECT DISTINCT item_id, k, array_to_string(ws[j:j + k - 1], ' ') AS g FROM p),
+q AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM i)),
+h AS (SELECT doc_id, j, i.k AS k, item_id FROM q JOIN i ON i.k = q.k AND g = array_to_string(ws[j:j + q.k - 1], ' ')),
+x AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS pos FROM h) GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS us, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d
+), c AS (
+  SELECT doc_id, t, us, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(us[1:a], ''), '') AS p, coalesce(array_to_string(us[a + 1:b], ''), '') AS m, coalesce(array_to_string(us[b + 1:], ''), '') AS s FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_toxicity, op3_audio_columns, op4_warc_bundles, op5_mixing, op6_best_fit_packing, op7_substring_dedup, op8_ngram_join, op9_exact_dedup, op10_line_dedup)
+    for f in (op1_token_counts, op2_toxicity, op3_audio_columns, op4_warc_bundles, op5_mixing, op6_best_fit_packing, op7_substring_dedup, op8_ngram_join, op9_exact_dedup, op10_line_dedup, op11_filter_audit, op12_decontaminate, op13_fill_middle)
 }
-SQL = {"op4_warc_bundles": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op4_warc_bundles": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_decontaminate": OP12_SQL, "op13_fill_middle": OP13_SQL}
