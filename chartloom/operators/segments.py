@@ -19,11 +19,12 @@ Segmenter = Callable[[str], Iterator[Segment]]
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
 TITLE, TITLE_CHARS = re.compile(r"\b(?:Dr|Mr|Mrs|Ms|Prof|St)\.$"), 8
-# Fixed patterns of clinical notes: header lines, line and sentence ends, a title with a name, the start of a labelled block.
-HEADER = re.compile(r"\s*#+\s*[a-zA-Z0-9\-'\"_* ]{1,32}:?\s*|[a-zA-Z0-9\-'\"_* ]{1,32}:\s*")
+# The patterns that say what a header, a title with a name, an end and a labelled block of a note are.
+MARKDOWN_HEADER = re.compile(r"^(\s*#+)\s*+[a-zA-Z0-9\-'\"_\* ]{1,32}:?\s*$")
+COLON_HEADER = re.compile(r"^[a-zA-Z0-9\-'\"_\* ]{1,32}:\s*$")
+NAMED = re.compile(r"\b([A-Z][a-z]+)\.\s([A-Z][a-zA-Z]*)\b")
 NOTE_END = re.compile(r"(?<=[.!?])\s+|\r\n|\n")
-NAMED = re.compile(r"\b[A-Z][a-z]+\.\s[A-Z][a-zA-Z]*\b")
-BLOCK, BLOCK_LINE = re.compile(r"\b[A-Z]+\b:"), re.compile(r"\r\n[A-Z]+\b:")
+BLOCK = re.compile(r"(\b[A-Z]{1,}\b:)([\s\S]*?)(?=\r\n[A-Z]{1,}\b:|\Z)", re.DOTALL)
 BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+", re.M)
 
 
@@ -77,7 +78,7 @@ def sentences(least: int = 6) -> Segmenter:
 
 def is_header(text: str) -> bool:
     """A Markdown header, or a short line that ends in a colon."""
-    return HEADER.fullmatch(text) is not None
+    return bool(MARKDOWN_HEADER.match(text) or COLON_HEADER.match(text))
 
 
 def note_sentences(least: int = 6) -> Segmenter:
@@ -88,11 +89,7 @@ def note_sentences(least: int = 6) -> Segmenter:
     """
 
     def segment(text: str) -> Iterator[Segment]:
-        blocks, at = [], 0
-        while m := BLOCK.search(text, at):
-            following = BLOCK_LINE.search(text, m.end())
-            at = following.start() if following else len(text)
-            blocks.append((m.start(), at))
+        blocks = [m.span() for m in BLOCK.finditer(text)]
         starts, names = [s for s, _ in blocks], [m.span() for m in NAMED.finditer(text)]
         start, n = 0, 0
         for place in sorted({m.start() for m in NOTE_END.finditer(text)}):
