@@ -1,7 +1,7 @@
 """Vector retrieval: exact and LSH top-k, thresholds, fusion, recommendation.
 
 Exact search takes a stated set of queries, sent to the tasks behind a check of its size, against all
-rows block by block; beyond that size the queries are dealt in slices.
+rows block by block; beyond that size blocks of queries and blocks of items meet in one shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_QUERY_ROWS = 4096
+#: Rows of a block of queries and of items, and of the slice of items that is scored at once.
+QUERY_BLOCK, ITEM_BLOCK, ITEM_SLICE = 2048, 32768, 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,52 +35,113 @@ def _ranked(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best items of each query of a block, over items that come in batches."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, digits: int, exclude_same: bool, candidates=None):
+        self.ids, self.matrix, self.k, self.digits, self.exclude_same, self.candidates = ids, matrix, k, digits, exclude_same, candidates
+        # sorted by query, then score, then item
+        self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def add(self, item: np.ndarray, vecs: np.ndarray) -> None:
+        if not len(item) or not len(self.ids):
+            return
+        scores = np.round(vecs @ self.matrix.T, self.digits) + 0.0
+        if self.candidates:
+            scores[~self.candidates(vecs, len(self.ids))] = -np.inf
+        if self.exclude_same:
+            scores[item[:, None] == self.ids[None, :]] = -np.inf
+        least = np.full(len(self.ids), -np.inf)
+        if len(item) > self.k:  # with all ties of the k-th score
+            least = np.partition(scores, len(item) - self.k, axis=0)[len(item) - self.k]
+        at, q = np.nonzero((scores >= least) & (scores > -np.inf))
+        q, i, s = (np.concatenate(x) for x in zip(self.held, (q, item[at], scores[at, q]), strict=True))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if q.size else np.zeros(0, np.int64)
+        place = np.arange(q.size) - np.repeat(first, np.diff(np.append(first, q.size)))
+        self.held = tuple(x[place < self.k] for x in (q, i, s))
+
+    def columns(self) -> list[pa.Array]:
+        return [pa.array(self.ids[self.held[0]], pa.int64()), pa.array(self.held[1], pa.int64()), pa.array(self.held[2], pa.float64())]
+
+
+def _matrix(column) -> np.ndarray:
+    """A column of equally long lists as rows of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _hits_schema(query_id: str, item_id: str) -> T.StructType:
+    return T.StructType([T.StructField(query_id, T.LongType()), T.StructField(item_id, T.LongType()), T.StructField("score", T.DoubleType())])
+
+
 def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str, query_vec: str, item_id: str, item_vec: str, exclude_same: bool = False, digits: int = 6, sketch=None) -> DataFrame:
     """query_id, item_id, score, rank of the k best items by dot product (rounded, ties by item).
 
-    Queries go to the tasks in slices of at most MAX_QUERY_ROWS rows; each task keeps its k best per
-    query, so k rows per query and task are shuffled, never the pairs. Queries with a null vector are
+    Up to MAX_QUERY_ROWS queries go to the tasks, each of which keeps its k best per query, so k rows per query and
+    task are shuffled, never the pairs; more are dealt in blocks by ``knn_join``. Queries with a null vector are
     left out. ``sketch``: what is made of the queries' vectors, and which items it makes candidates, by item and query.
     """
     q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vec).alias("v")).where("v is not null")
     rows = q.limit(MAX_QUERY_ROWS + 1).collect()  # bounded
     if len(rows) > MAX_QUERY_ROWS:
-        n = -(-q.count() // (MAX_QUERY_ROWS // 2))
-        parts = [knn(queries.where(F.pmod(F.xxhash64(F.col(query_id).cast("long")), F.lit(n)) == i), index, k, query_id, query_vec, item_id, item_vec, exclude_same, digits, sketch) for i in range(n)]
-        return reduce(DataFrame.unionByName, parts)
+        return knn_join(queries, index, k, query_id, query_vec, item_id, item_vec, exclude_same, digits, sketch)
     ids, matrix = np.array([r["q"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
-    schema = T.StructType([T.StructField(query_id, T.LongType()), T.StructField(item_id, T.LongType()), T.StructField("score", T.DoubleType())])
+    schema = _hits_schema(query_id, item_id)
     looks = sketch[0](matrix) if sketch and len(ids) else None
 
     def search(batches):
-        # the best so far by query, item and score, sorted by query, then score, then item
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        best = _Best(ids, matrix, k, digits, exclude_same, sketch and (lambda vecs, n: sketch[1](looks, vecs, n)))
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            item = batch.column(0).to_numpy()
-            vecs = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            scores = np.round(vecs @ matrix.T, digits) + 0.0
-            if sketch:
-                scores[~sketch[1](looks, vecs, len(ids))] = -np.inf
-            if exclude_same:
-                scores[item[:, None] == ids[None, :]] = -np.inf
-            least = np.full(len(ids), -np.inf)
-            if len(item) > k:  # with all ties of the k-th score
-                least = np.partition(scores, len(item) - k, axis=0)[len(item) - k]
-            at, q = np.nonzero((scores >= least) & (scores > -np.inf))
-            q, i, s = (np.concatenate(x) for x in zip(held, (q, item[at], scores[at, q]), strict=True))
-            order = np.lexsort((i, -s, q))
-            q, i, s = q[order], i[order], s[order]
-            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if q.size else np.zeros(0, np.int64)
-            place = np.arange(q.size) - np.repeat(first, np.diff(np.append(first, q.size)))
-            held = tuple(x[place < k] for x in (q, i, s))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.float64())], names=schema.fieldNames())
+            if batch.num_rows and len(ids):
+                best.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
+        yield pa.RecordBatch.from_arrays(best.columns(), names=schema.fieldNames())
 
     found = index.select(F.col(item_id).cast("long").alias(item_id), F.col(item_vec).alias("v")).where("v is not null").mapInArrow(search, schema)
     return _ranked(found, query_id, item_id, k)
 
 
+def blocks_topk(queries: DataFrame, items: DataFrame, block: list[str], k: int, schema: T.StructType, exclude_same: bool = False, digits: int = 6, sketch=None) -> DataFrame:
+    """The k best of each block: ``queries`` (block, q, v) against ``items`` (block, x, v) of the same block, which fit a task."""
+
+    def search(_, left, right):
+        matrix = _matrix(left.column("v")) if left.num_rows and right.num_rows else np.zeros((0, 0))
+        looks = sketch[0](matrix) if sketch and len(matrix) else None
+        best = _Best(left.column("q").to_numpy()[: len(matrix)], matrix, k, digits, exclude_same, sketch and (lambda vecs, n: sketch[1](looks, vecs, n)))
+        for batch in right.to_batches(max_chunksize=ITEM_SLICE) if len(matrix) else []:
+            best.add(batch.column("x").to_numpy(), _matrix(batch.column("v")))
+        return pa.Table.from_arrays(best.columns(), names=schema.fieldNames())
+
+    return queries.groupBy(*block).cogroup(items.groupBy(*block)).applyInArrow(search, schema)
+
+
+def knn_join(queries: DataFrame, index: DataFrame, k: int, query_id: str, query_vec: str, item_id: str, item_vec: str, exclude_same: bool = False, digits: int = 6, sketch=None, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """As ``knn``, for any number of queries; nothing passes through the driver but two counts.
+
+    Queries and items are dealt by their ids (which do not repeat) into blocks, and every pair of blocks is a cell
+    of a grid that one task holds: one shuffle on the cell, in which queries are repeated once an item block and items once a query
+    block. Cells give k rows a query, which are merged by key.
+    """
+    q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vec).alias("v")).where("v is not null")
+    x = index.select(F.col(item_id).cast("long").alias("x"), F.col(item_vec).alias("v")).where("v is not null")
+    rows, cols = max(1, -(-q.count() // query_block)), max(1, -(-x.count() // item_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("row", F.pmod(F.xxhash64("q"), F.lit(rows)).cast("int")).withColumn("col", every(cols))
+    x = x.withColumn("col", F.pmod(F.xxhash64("x"), F.lit(cols)).cast("int")).withColumn("row", every(rows))
+    return _ranked(blocks_topk(q, x, ["row", "col"], k, _hits_schema(query_id, item_id), exclude_same, digits, sketch), query_id, item_id, k)
+
+
+def prefetch(models: dict[str, tuple[DataFrame, DataFrame]], limit: int, merge: bool = False, k: int = 60) -> DataFrame:
+    """The ``limit`` best items of every query for each model; merged: fused over the models by reciprocal ranks.
+
+    ``models``: by name a table of queries (q_id, v) and one of items (x_id, v).
+    """
+    found = [knn(q, x, limit, "q_id", "v", "x_id", "v").withColumn("model", F.lit(name)) for name, (q, x) in models.items()]
+    hits = reduce(DataFrame.unionByName, found)
+    return reciprocal_rank_fusion(hits, "q_id", "x_id", limit, k) if merge else hits
+
+
 def above_threshold(queries: DataFrame, index: DataFrame, k: int, least: float, **names: str) -> DataFrame:
     return knn(queries, index, k, **names).where(F.col("score") >= least)
 
