@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import multivector, sparse, vector_index, vectors
+from ..operators import fuzzy, intervals, multivector, sparse, vector_index, vectors
 from ..session import shared_folder, table
 from .catalog import V, query
 
@@ -89,3 +89,28 @@ s AS (SELECT q_id, x_id, round(sum(q.weight * idf * x.weight), 6) AS score FROM
 def sparse_words(spark, d):
     """Benchmark items against all documents by their words, with block maxima."""
     return word_search(spark, d).select(F.col("q").alias("q_id"), F.col("x").alias("x_id"), "score", "rank")
+
+
+# ---- fuzzy names -------------------------------------------------------------------------
+@query()
+def fuzzy_names(spark, d):
+    """Names that differ in a few characters: found by their segments."""
+    c = table(spark, d, "customer")
+    return fuzzy.find_terms(c.where("c_custkey % 20 = 0").select(F.col("c_name").alias("query")), "query", c, "c_custkey", "c_name", 3)
+
+
+# ---- intervals and passages -------------------------------------------------------------------------
+@query("""WITH t AS (SELECT event_id, user_id, event_type, date_diff('second', TIMESTAMP '2024-01-01', ts) AS s FROM events WHERE event_type IN ('click', 'error'))
+SELECT a.user_id, a.event_id AS click, b.event_id AS error FROM t a JOIN t b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'error' AND a.s < b.s + 900 AND b.s < a.s + 3600""")
+def overlapping_events(spark, d):
+    """Clicks' hours and errors' quarters of an hour that overlap, by user, swept in bins of a day."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)").alias("start"))
+    kind = lambda name, long, key: e.where(F.col("event_type") == name).select("user_id", F.col("event_id").alias(key), "start", (F.col("start") + long).alias("end"))
+    return intervals.overlap_pairs(kind("click", 3600, "click"), kind("error", 900, "error"), "user_id", "click", "error", width=86400)
+
+
+@query("""SELECT doc_id, item_id, (i - 1)::INT AS start, (i - 1 + length(b.text))::INT AS "end" FROM documents d JOIN benchmark b ON contains(d.text, b.text), unnest(range(1, length(d.text) - length(b.text) + 2)) r(i)
+WHERE substr(d.text, i, length(b.text)) = b.text""")
+def passages_everywhere(spark, d):
+    """Every place of every passage."""
+    return intervals.passage_places(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
