@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import stemmed_words
+
 EPS = 1e-10
 
 
@@ -140,8 +143,6 @@ def coverage(a: DataFrame, b: DataFrame, col: str) -> tuple[DataFrame, DataFrame
 
 def rouge_l(pred: Column, ref: Column) -> Column:
     """F1 of the longest common word sequence (lower-cased words), in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_lcs_f1((x or "").lower().split(), (y or "").lower().split()) for x, y in zip(a, b, strict=True)])
@@ -149,6 +150,22 @@ def rouge_l(pred: Column, ref: Column) -> Column:
     return score(pred, ref)
 
 
+def rouge_l_stemmed(pred: Column, ref: Column) -> Column:
+    """F1 of the longest common sequence of stemmed words (see ``stem.stemmed_words``); 0 where a side has none."""
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        words = ((stemmed_words(x or ""), stemmed_words(y or "")) for x, y in zip(a, b, strict=True))
+        return pd.Series([_lcs_f1(x, y) if x and y else 0.0 for x, y in words], dtype="float64")
+
+    return score(pred, ref)
+
+
+def mean_rouge(pairs: DataFrame, pred: str, ref: str, by: str | None = None) -> DataFrame:
+    """The mean stemmed Rouge-L over rows (per ``by``) as ``rouge``; no rows give 0 without ``by``, no groups with it."""
+    keys = [by] if by else []
+    return pairs.select(*keys, rouge_l_stemmed(F.col(pred), F.col(ref)).alias("_f")).groupBy(*keys).agg(F.coalesce(F.avg("_f"), F.lit(0.0)).alias("rouge"))
+
+
 def _lcs_f1(a: list[str], b: list[str]) -> float:
     """By the bit-parallel form: a set bit of ``row`` is a place of b that does not lengthen the sequence."""
     if not a or not b:

@@ -28,17 +28,31 @@ BLOCK = re.compile(r"(\b[A-Z]{1,}\b:)([\s\S]*?)(?=\r\n[A-Z]{1,}\b:|\Z)", re.DOTA
 BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+", re.M)
 
 
-def windows(text: Column, size: int, overlap: int) -> Column:
-    """Array of (text, start, end) of windows of ``size`` characters; blank ones go."""
+def by_window(size: int, overlap: int) -> Segmenter:
+    """Windows of ``size`` characters, each starting ``size - overlap`` after the one before; blanks at their ends go, blank ones too."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be less than the size")
-    step = size - overlap
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    # four bytes a character, so that a window is found at once; a one-item array binds them, so that they are made once
-    cut = lambda wide, s: F.trim(F.decode(F.substring(wide, s * 4 + 1, F.lit(4 * size)), "UTF-32"))
-    parts = F.transform(F.array(F.encode(text, "UTF-32")), lambda wide: F.transform(starts, lambda s: F.struct(cut(wide, s).alias("text"), s.alias("start"), F.least(s + size, n).alias("end"))))[0]
-    return F.filter(parts, lambda p: p["text"] != "")
+
+    def segment(text: str) -> Iterator[Segment]:
+        for start in range(0, len(text), size - overlap):
+            part = text[start : start + size].strip(" ")
+            if part:
+                yield part, start, min(start + size, len(text))
+
+    return segment
+
+
+def windows(text: Column, size: int, overlap: int) -> Column:
+    """Array of (text, start, end) of ``by_window``, cut in one Arrow pass; null texts have none."""
+    cut = by_window(size, overlap)
+    kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def parts(texts: pa.Array) -> pa.Array:
+        rows = [list(cut(t or "")) for t in texts.to_pylist()]
+        return pa.array([[{"text": p, "start": s, "end": e} for p, s, e in row] for row in rows], kind)
+
+    # not made again by a filter on the windows
+    return F.arrow_udf(parts, "array<struct<text:string,start:int,end:int>>").asNondeterministic()(text)
 
 
 def document(text: str) -> Iterator[Segment]:
