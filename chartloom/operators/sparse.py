@@ -1,130 +1,287 @@
 """Sparse vectors with idf weights: top-k search over an inverted index with block maxima.
 
-Items are dealt into blocks; a posting list holds one term's items of one block with their weights, and its greatest weight. A
-query's bound in a block is the sum, over its terms, of query weight, idf and that maximum, so it is read without any posting. The k best
-items of each query's most promising blocks give a score that the answer cannot fall below, and only blocks whose bound
-reaches it are read at all. Posting lists travel as arrays: rows are made for a query, term and block, never for a
-query and an item, and a query's part of a block is scored in one Arrow pass.
-
-Weights are positive; other terms and null terms, ids or weights are left out, repeated terms of an id are summed. Queries without a
-known term find nothing, and items that share no term with a query are not found. Empty tables give no rows.
+A vector is a row: id, terms, weights. An index row is a block of items of about the same total weight: its terms, the greatest weight and the
+number of items of each, and their posting lists side by side. A query's bound in a block is the sum, over its
+terms, of query weight, idf and block maximum; it is read without any posting. The k best items of each query's most
+promising blocks give a score that the answer's k-th cannot fall below, and a query's lists are read only in blocks whose bound reaches it.
+
+Queries of at most MAX_QUERY_TERMS terms in all go to the tasks, which stream through the blocks; only a query's bounds and k best items of a task are
+shuffled. Beyond that size queries and lists are joined on block and term. Building takes one shuffle of the vectors.
+
+Weights are positive; other weights, null terms and rows without an id are left out, repeated terms of a row are summed; ids do not
+repeat. Queries without a known term find nothing; items that share no term with a query are not found. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .vectors import _ranked
 
-#: Items of a block, and strata of total weight for each power of two.
-BLOCK_ITEMS, STRATA = 32, 4
+#: Items of a block; terms of all queries that tasks are sent.
+BLOCK_ITEMS, MAX_QUERY_TERMS = 32, 1 << 18
+#: Hits that a task holds before it keeps the best alone.
+HELD_ROWS = 1 << 18
 #: Room for sums that are rounded elsewhere than the bound.
 SLACK = 1e-9
+VECTOR = "id long, terms array<string>, weights array<double>"
+BLOCK = "block long, ids array<long>, terms array<string>, tops array<double>, counts array<int>, items array<int>, weights array<double>"
 
 
 @dataclass
 class SparseIndex:
-    """terms: term, idf. postings: block, term, top (greatest weight), items, weights. n: items of the index."""
+    """blocks: the index's rows (see BLOCK; ``items`` are places in ``ids``, term by term). n: items of the index."""
 
-    terms: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
     n: int
 
-    def stored(self, home: str) -> SparseIndex:
-        """The index written below ``home`` (shared storage), terms side by side in its files, and read back."""
-        spark, folder = self.terms.sparkSession, f"{home}/{uuid.uuid4().hex}"
-        self.postings.repartition("block").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
-        postings = spark.read.schema(self.postings.schema).parquet(f"{folder}/postings")
-        inverse_frequencies(postings, self.n).write.parquet(f"{folder}/terms")
-        return SparseIndex(spark.read.schema("term string, idf double").parquet(f"{folder}/terms"), postings, self.n)
+    def postings(self) -> DataFrame:
+        """block, term, top, n, items (ids), weights: a row for each list."""
+
+        def lists(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    block, ids, terms, tops, counts, items, weights = (batch.column(c)[i] for c in range(7))
+                    ends = pa.array(np.append(0, np.cumsum(counts.values.to_numpy())), pa.int32())
+                    of = lambda values: pa.ListArray.from_arrays(ends, values)  # noqa: B023, E731
+                    columns = [pa.array(np.full(len(terms), block.as_py(), np.int64)), terms.values, tops.values, counts.values, of(ids.values.take(items.values)), of(weights.values)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["block", "term", "top", "n", "items", "weights"])
+
+        return self.blocks.mapInArrow(lists, "block long, term string, top double, n int, items array<long>, weights array<double>")
+
 
+def word_vectors(df: DataFrame, id_col: str, text_col: str, pattern: str = "[A-Za-z]+") -> DataFrame:
+    """Vectors of the matches of ``pattern`` in texts: a word's weight is 1 + ln of its count."""
+    words = re.compile(pattern)
 
-def inverse_frequencies(postings: DataFrame, n: int) -> DataFrame:
-    """term, idf: ln(1 + (N - n + 0.5) / (n + 0.5)) for a term of n of N items."""
-    met = postings.groupBy("term").agg(F.sum(F.size("items")).alias("df"))
-    return met.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    def count(batches):
+        for batch in batches:
+            found = [Counter(words.findall(t or "")) for t in batch.column(1).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            terms, counts = pa.array(list(chain.from_iterable(found)), pa.string()), np.fromiter(chain.from_iterable(c.values() for c in found), np.int64)
+            lists = [pa.ListArray.from_arrays(ends, v) for v in (terms, pa.array(1 + np.log(counts)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "terms", "weights"])
 
+    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(count, VECTOR)
 
-def term_weights(df: DataFrame, id_col: str, words) -> DataFrame:
-    """id, term, weight: a word's weight is 1 + ln of its count in the row's array ``words``."""
-    each = df.select(F.col(id_col).alias("id"), F.explode(words).alias("term"))
-    return each.groupBy("id", "term").agg((1 + F.log(F.count("*").cast("double"))).alias("weight"))
 
+def _merged(terms, weights) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for t, w in zip(terms or (), weights or (), strict=True):
+        if t is not None and w is not None and w > 0:
+            out[t] = out.get(t, 0.0) + w
+    return out
 
-def _clean(vectors: DataFrame, key: str) -> DataFrame:
-    known = vectors.where("id is not null and term is not null and weight > 0")
-    return known.groupBy(F.col("id").cast("long").alias(key), "term").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
 
+def _block(no: int, rows: list[tuple[int, dict[str, float]]]) -> dict:
+    lists: dict[str, list[tuple[int, float]]] = {}
+    for place, (_, terms) in enumerate(rows):
+        for t, w in terms.items():
+            lists.setdefault(t, []).append((place, w))
+    return {
+        "block": no, "ids": [i for i, _ in rows], "terms": list(lists), "tops": [max(w for _, w in p) for p in lists.values()], "counts": [len(p) for p in lists.values()],
+        "items": [i for p in lists.values() for i, _ in p], "weights": [w for p in lists.values() for _, w in p],
+    }
 
-def sparse_index(vectors: DataFrame, block_items: int = BLOCK_ITEMS) -> SparseIndex:
-    """``vectors``: id, term, weight. Blocks hold items of about the same total weight, dealt by the hash of their ids.
 
-    The tables are lazy; ``stored`` writes them once for many searches.
+def sparse_index(vectors: DataFrame, home: str, block_items: int = BLOCK_ITEMS) -> SparseIndex:
+    """An index of the vectors, written below ``home`` (shared storage).
+
+    Items are dealt by the hash of their ids; a task cuts its items, sorted by total weight, into blocks.
     """
-    x = _clean(vectors, "x")
-    # strata of items of like total weight: a maximum is then near the weights that it stands for
-    stratum = F.floor(STRATA * F.log2(F.sum("weight"))).cast("int")
-    items = x.groupBy("x").agg(stratum.alias("stratum"))
-    counts = {r["stratum"]: r["n"] for r in items.groupBy("stratum").agg(F.count("*").alias("n")).collect()}  # a few for each power of two
-    n, start, plan = sum(counts.values()), 0, []
-    for level, count in sorted(counts.items()):
-        plan.append((level, start, -(-count // block_items)))
-        start += plan[-1][2]
-    blocks = F.broadcast(x.sparkSession.createDataFrame(plan, "stratum int, first long, blocks long"))
-    items = items.join(blocks, "stratum").select("x", (F.col("first") + F.pmod(F.xxhash64("x"), F.col("blocks"))).alias("block"))
-    x = x.join(items, "x")
-    # in order of weight within a list: the greatest is the list's maximum
-    lists = x.groupBy("block", "term").agg(F.sort_array(F.collect_list(F.struct("weight", "x")), asc=False).alias("p"))
-    postings = lists.select("block", "term", F.col("p")[0]["weight"].alias("top"), F.col("p.x").alias("items"), F.col("p.weight").alias("weights"))
-    return SparseIndex(inverse_frequencies(postings, n), postings, n)
-
-
-def block_bounds(index: SparseIndex, queries: DataFrame) -> DataFrame:
-    """q, block, bound and terms (term, weight with idf) of every block in which a query has a term; no posting is read."""
-    q = _clean(queries, "q").join(index.terms, "term").select("q", "term", (F.col("weight") * F.col("idf")).alias("w"))
-    tops = index.postings.select("block", "term", "top")
-    return q.join(tops, "term").groupBy("q", "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound"), F.collect_list(F.struct("term", "w")).alias("terms"))
-
-
-def _read(index: SparseIndex, looks: DataFrame, k: int, digits: int) -> DataFrame:
-    """q, x, score, read (postings looked at, on a block's first row): the k best items of each query and block of ``looks``."""
-    wanted = looks.select("q", "block", F.explode("terms").alias("t")).select("q", "block", "t.term", "t.w")
-    lists = wanted.join(index.postings.select("block", "term", "items", "weights"), ["block", "term"])
+    spark, folder = vectors.sparkSession, f"{home}/{uuid.uuid4().hex}"
+    arrow = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("tops", pa.list_(pa.float64())), ("counts", pa.list_(pa.int32())), ("items", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))])
+
+    def cut(batches):
+        no, rows = TaskContext.get().partitionId() << 32, []
+        for batch in batches:
+            for item, terms, weights in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                merged = _merged(terms, weights)
+                if merged:
+                    rows.append((item, merged))
+                if len(rows) == block_items:
+                    yield pa.RecordBatch.from_pylist([_block(no, rows)], schema=arrow)
+                    no, rows = no + 1, []
+        if rows:
+            yield pa.RecordBatch.from_pylist([_block(no, rows)], schema=arrow)
+
+    total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + F.coalesce(w, F.lit(0.0)))
+    dealt = vectors.select("id", "terms", "weights").where("id is not null").withColumn("total", total).repartition(F.xxhash64("id")).sortWithinPartitions("total")
+    dealt.select("id", "terms", "weights").mapInArrow(cut, BLOCK).write.option("compression", "zstd").parquet(folder)
+    blocks = spark.read.schema(BLOCK).parquet(folder)
+    return SparseIndex(blocks, blocks.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0])
+
+
+class _Queries:
+    """A stated set of queries for the tasks: by term the queries that have it, with their weights times idf."""
+
+    def __init__(self, ids: list[int], terms: list[str], entries: list[tuple[int, int, float]]):
+        self.ids, self.terms = np.array(ids, np.int64), pa.array(terms, pa.string())
+        entries = sorted(entries)  # term, query, weight
+        t, self.q, self.w = (np.array([e[i] for e in entries], k) for i, k in ((0, np.int64), (1, np.int64), (2, np.float64)))
+        self.first = np.searchsorted(t, np.arange(len(terms) + 1))
+
+    def met(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, places in ``terms``) of all entries whose term is in the list."""
+        at = pc.index_in(terms, self.terms).to_numpy(zero_copy_only=False)
+        place = np.flatnonzero(~np.isnan(at)) if at.dtype.kind == "f" else np.arange(len(at))
+        t = at[place].astype(np.int64)
+        n = self.first[t + 1] - self.first[t]
+        ends = np.cumsum(n)
+        entry = np.arange(n.sum()) - np.repeat(ends - n, n) + np.repeat(self.first[t], n)
+        return entry, np.repeat(place, n)
+
+    def bounds(self, terms: pa.Array, tops: np.ndarray) -> np.ndarray:
+        entry, place = self.met(terms)
+        return np.bincount(self.q[entry], self.w[entry] * tops[place], len(self.ids))
+
+
+def _query_terms(index: SparseIndex, queries: DataFrame) -> DataFrame:
+    """q, term, w (weight times idf) of the queries' known terms. idf is ln(1 + (N - n + 0.5) / (n + 0.5)) for a term of n of N items."""
+    each = queries.where("id is not null").select(F.col("id").alias("q"), F.explode(F.arrays_zip("terms", "weights")).alias("t")).select("q", F.col("t.terms").alias("term"), F.col("t.weights").alias("w"))
+    own = each.where("term is not null and w > 0").groupBy("q", "term").agg(F.sum("w").alias("w"))
+    # an index's counts are read for the queries' terms alone
+    held = index.blocks.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+    df = held.join(own.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    return own.join(df, "term").select("q", "term", (F.col("w") * F.log(1 + (F.lit(index.n) - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("w"))
+
+
+def _best(q: np.ndarray, x: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, by query, score and item."""
+    order = np.lexsort((x, -s, q))
+    q, x, s = q[order], x[order], s[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if q.size else np.zeros(0, np.int64)
+    keep = np.arange(q.size) - np.repeat(first, np.diff(np.append(first, q.size))) < k
+    return q[keep], x[keep], s[keep]
+
+
+def _scores(index: SparseIndex, q: _Queries, k: int, digits: int, chosen, floor: np.ndarray | None = None) -> DataFrame:
+    """q, x, score, read: each task's k best items of each query, over the queries that ``chosen`` picks in a block by their
+    bounds; scores below a query's floor go. ``read``, on a query's first row, is the number of postings looked at."""
+
+    def search(batches) -> Iterator[pa.RecordBatch]:
+        held, size, read = [], 0, np.zeros(len(q.ids), np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms, tops, counts, items, weights = (batch.column(c)[i].values for c in ("terms", "tops", "counts", "items", "weights"))
+                entry, place = q.met(terms)
+                bound = np.bincount(q.q[entry], q.w[entry] * tops.to_numpy()[place], len(q.ids))
+                keep = chosen(batch.column("block")[i].as_py(), bound)[q.q[entry]]
+                entry, place = entry[keep], place[keep]
+                if not entry.size:
+                    continue
+                own, n, start = q.q[entry], counts.to_numpy()[place], np.cumsum(counts.to_numpy()) - counts.to_numpy()
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[place], n)
+                ids = batch.column("ids")[i].values.to_numpy()
+                # a place for every chosen query and item of the block
+                asked, row = np.unique(own, return_inverse=True)
+                cell = np.repeat(row, n) * len(ids) + items.to_numpy()[at]
+                met = np.bincount(cell, minlength=len(asked) * len(ids)) > 0
+                total = np.round(np.bincount(cell, np.repeat(q.w[entry], n) * weights.to_numpy()[at], len(met)), digits)
+                read += np.bincount(own, n, len(q.ids)).astype(np.int64)
+                cells = np.flatnonzero(met if floor is None else met & (total >= np.repeat(floor[asked], len(ids))))
+                held.append((asked[cells // len(ids)], ids[cells % len(ids)], total[cells]))
+                size += len(cells)
+                if size > HELD_ROWS:
+                    held = [_best(*map(np.concatenate, zip(*held, strict=True)), k)]
+                    size = len(held[0][0]) // 2  # what stays is not gone through again at once
+        own, x, s = _best(*map(np.concatenate, zip(*held, strict=True)), k) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        first = np.concatenate([[True], own[1:] != own[:-1]]) if own.size else np.zeros(0, bool)
+        columns = [pa.array(q.ids[own]), pa.array(x), pa.array(s), pa.array(np.where(first, read[own], 0))]
+        yield pa.RecordBatch.from_arrays(columns, names=["q", "x", "score", "read"])
+
+    return index.blocks.mapInArrow(search, "q long, x long, score double, read long")
+
+
+def _floors(hits: DataFrame, k: int) -> DataFrame:
+    return _ranked(hits, "q", "x", k).where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
+
+
+def _reach(bound, digits: int):
+    return bound * (1 + SLACK) + 0.5 * 10.0**-digits
+
+
+def _search_in_tasks(index: SparseIndex, rows: list, k: int, digits: int, seeds: int, prune: bool) -> DataFrame:
+    terms, ids = sorted({r["term"] for r in rows}), sorted({r["q"] for r in rows})
+    of_term, of_id = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
+    q = _Queries(ids, terms, [(of_term[r["term"]], of_id[r["q"]], r["w"]) for r in rows])
+    if not prune:
+        return _scores(index, q, k, digits, lambda block, bound: bound > 0)
+
+    def bounds(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bound = q.bounds(batch.column("terms")[i].values, batch.column("tops")[i].values.to_numpy())
+                own = np.flatnonzero(bound)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), batch.column("block")[i].as_py(), np.int64)), pa.array(bound[own])], names=["q", "block", "score"])
+
+    # ``seeds`` blocks and one score a query come back
+    first = _ranked(index.blocks.select("block", "terms", "tops").mapInArrow(bounds, "q long, block long, score double"), "q", "block", seeds).collect()
+    picked: dict[int, list[int]] = {}
+    for r in first:
+        picked.setdefault(r["block"], []).append(r["q"])
+
+    def seeded(block, bound):
+        use = np.zeros(len(ids), bool)
+        use[picked.get(block, [])] = True
+        return use
+
+    some = SparseIndex(index.blocks.where(F.col("block").isin(list(picked))), index.n)
+    floor = np.full(len(ids), -np.inf)
+    for r in _floors(_scores(some, q, k, digits, seeded), k).collect():
+        floor[of_id[r["q"]]] = r["floor"]
+    return _scores(index, q, k, digits, lambda block, bound: (bound > 0) & (_reach(bound, digits) >= floor), floor)
+
+
+def _search_by_joins(index: SparseIndex, terms: DataFrame, k: int, digits: int, seeds: int, prune: bool) -> DataFrame:
+    lists = index.postings()
+    bounds = terms.join(lists.select("block", "term", "top"), "term").groupBy("q", "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+
+    def read(looks: DataFrame) -> DataFrame:
+        met = looks.select("q", "block").join(terms, "q").join(lists.select("block", "term", "items", "weights"), ["block", "term"])
+        return met.groupBy("q", "block").applyInArrow(score, "q long, x long, score double, read long")
 
     def score(table: pa.Table) -> pa.Table:
         items = table.column("items").combine_chunks()
         sizes = np.diff(items.offsets.to_numpy())
         x, w = items.flatten().to_numpy(), table.column("weights").combine_chunks().flatten().to_numpy()
-        ids, at = np.unique(x, return_inverse=True)
-        total = np.round(np.bincount(at, w * np.repeat(table.column("w").to_numpy(), sizes), len(ids)), digits)
-        first = np.lexsort((ids, -total))[:k]
-        read = np.zeros(len(first), np.int64)
-        read[:1] = len(x)
-        return pa.table({"q": pa.array(np.full(len(first), table.column("q")[0].as_py(), np.int64)), "x": pa.array(ids[first]), "score": pa.array(total[first]), "read": pa.array(read)})
+        found, at = np.unique(x, return_inverse=True)
+        total = np.round(np.bincount(at, w * np.repeat(table.column("w").to_numpy(), sizes), len(found)), digits)
+        first = np.lexsort((found, -total))[:k]
+        n = np.zeros(len(first), np.int64)
+        n[:1] = len(x)
+        return pa.table({"q": pa.array(np.full(len(first), table.column("q")[0].as_py(), np.int64)), "x": pa.array(found[first]), "score": pa.array(total[first]), "read": pa.array(n)})
 
-    return lists.groupBy("q", "block").applyInArrow(score, "q long, x long, score double, read long")
+    if not prune:
+        return read(bounds)
+    blocks = _ranked(bounds.withColumnRenamed("bound", "score"), "q", "block", 1 << 30).withColumnRenamed("score", "bound")
+    first = read(blocks.where(F.col("rank") <= seeds))
+    rest = blocks.where(F.col("rank") > seeds).join(_floors(first, k), "q", "left").where(F.col("floor").isNull() | (_reach(F.col("bound"), digits) >= F.col("floor")))
+    return first.unionByName(read(rest))
 
 
-def blocks_to_read(index: SparseIndex, queries: DataFrame, k: int, digits: int = 6, seeds: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(the hits of the ``seeds`` most promising blocks of each query, the other blocks that may hold one of its k best)."""
-    blocks = _ranked(block_bounds(index, queries).withColumnRenamed("bound", "score"), "q", "block", 1 << 30).withColumnRenamed("score", "bound")
-    first = _read(index, blocks.where(F.col("rank") <= seeds), k, digits)
-    # their k-th best score is one that the answer's k-th cannot fall below
-    floor = _ranked(first, "q", "x", k).where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
-    reach = F.col("bound") * (1 + SLACK) + 0.5 * 10.0**-digits
-    return first, blocks.where(F.col("rank") > seeds).join(floor, "q", "left").where(F.col("floor").isNull() | (reach >= F.col("floor")))
+def sparse_hits(index: SparseIndex, queries: DataFrame, k: int, digits: int = 6, seeds: int = 4, prune: bool = True, most: int = MAX_QUERY_TERMS) -> DataFrame:
+    """q, x, score, read: hits that hold the k best items of each query; ``read`` sums to the postings looked at."""
+    terms = _query_terms(index, queries)
+    rows = terms.limit(most + 1).collect()  # bounded
+    if len(rows) > most:
+        return _search_by_joins(index, terms, k, digits, seeds, prune)
+    return _search_in_tasks(index, rows, k, digits, seeds, prune)
 
 
-def sparse_search(index: SparseIndex, queries: DataFrame, k: int, digits: int = 6, seeds: int = 4, prune: bool = True) -> DataFrame:
-    """q, x, score, rank, read: the k best items of each query (id, term, weight) by the sum over shared terms of
-    query weight, item weight and idf (rounded, ties by item); ``read`` sums to the number of postings looked at."""
-    if not prune:
-        return _ranked(_read(index, block_bounds(index, queries), k, digits), "q", "x", k)
-    first, rest = blocks_to_read(index, queries, k, digits, seeds)
-    return _ranked(first.unionByName(_read(index, rest, k, digits)), "q", "x", k)
+def sparse_search(index: SparseIndex, queries: DataFrame, k: int, **options) -> DataFrame:
+    """q, x, score, rank: the k best items of each query vector by the sum over shared terms of query weight, item weight and
+    idf (rounded, ties by item)."""
+    return _ranked(sparse_hits(index, queries, k, **options).drop("read"), "q", "x", k)

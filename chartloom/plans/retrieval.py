@@ -73,22 +73,15 @@ def late_interaction_pruned(spark, d):
 
 
 # ---- sparse vectors -------------------------------------------------------------------------
-def word_vectors(spark, d, name, key):
-    return sparse.term_weights(table(spark, d, name).select(key, "text"), key, F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
-
-
-def word_search(spark, d, prune=True):
-    index = sparse.sparse_index(word_vectors(spark, d, "documents", "doc_id")).stored(shared_folder(spark, "sparse-index"))
-    return sparse.sparse_search(index, word_vectors(spark, d, "benchmark", "item_id"), 10, prune=prune)
-
-
 @query(f"""WITH w AS (SELECT doc_id AS x_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM documents), x AS (SELECT x_id, term, 1 + ln(count(*)) AS weight FROM w GROUP BY ALL),
 u AS (SELECT item_id AS q_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM benchmark), q AS (SELECT q_id, term, 1 + ln(count(*)) AS weight FROM u GROUP BY ALL),
 n AS (SELECT count(DISTINCT x_id) AS n FROM x), i AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM x, n GROUP BY term),
 s AS (SELECT q_id, x_id, round(sum(q.weight * idf * x.weight), 6) AS score FROM q JOIN i USING (term) JOIN x USING (term) GROUP BY ALL) {RANKED} 10""")
 def sparse_words(spark, d):
     """Benchmark items against all documents by their words, with block maxima."""
-    return word_search(spark, d).select(F.col("q").alias("q_id"), F.col("x").alias("x_id"), "score", "rank")
+    index = sparse.sparse_index(sparse.word_vectors(table(spark, d, "documents"), "doc_id", "text"), shared_folder(spark, "sparse-index"))
+    found = sparse.sparse_search(index, sparse.word_vectors(table(spark, d, "benchmark"), "item_id", "text"), 10)
+    return found.select(F.col("q").alias("q_id"), F.col("x").alias("x_id"), "score", "rank")
 
 
 # ---- fuzzy names -------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartloom.operators import multivector, sparse, vector_index, vectors
-from chartloom.plans import catalog, retrieval
+from chartloom.plans import catalog, retrieval  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
@@ -173,27 +173,31 @@ def plain_sparse(items, queries, k):
     return out
 
 
-@pytest.mark.parametrize("block", [1, 4, 1000])
-def test_sparse_search(spark, block):
+@pytest.mark.parametrize("block, most", [(1, 10**6), (4, 10**6), (1000, 10**6), (4, 0), (1000, 0)])
+def test_sparse_search(spark, tmp_path, block, most):
+    """In the tasks and by joins; repeated and null terms, weights that do not count, unknown terms, empty vectors."""
     rng = random.Random(block)
-    vec = lambda n, m: [(i, f"t{int(rng.paretovariate(0.7)) % 25}", rng.choice([0.5, 1.0, 2.5, 9.0])) for i in range(n) for _ in range(rng.randint(1, m))]
-    items, queries = [(i, t, w * (1 + i % 7)) for i, t, w in vec(80, 9)], vec(20, 6)
-    odd = [(None, "t1", 1.0), (1, None, 1.0), (1, "t1", None), (1, "t1", 0.0), (1, "t2", -3.0), (999, "nowhere", 1.0)]
-    df = lambda rows: spark.createDataFrame(rows, "id long, term string, weight double").repartition(3)
-    index = sparse.sparse_index(df(items + odd[:-1]), block)
-    got = {(r["q"], r["x"]): (r["score"], r["rank"]) for r in sparse.sparse_search(index, df(queries + odd), 5).collect()}
-    assert got == plain_sparse(items, queries, 5)
-    assert sparse.sparse_search(sparse.sparse_index(df([])), df(queries), 5).count() == 0
+    vec = lambda n, m: {i: [(f"t{int(rng.paretovariate(0.7)) % 25}", rng.choice([0.5, 1.0, 2.5, 9.0]) * (1 + i % 7)) for _ in range(rng.randint(1, m))] for i in range(n)}
+    items, queries = vec(80, 9), vec(20, 6)
+    odd = [(None, ["t1"], [1.0]), (900, [], []), (901, None, None), (902, [None, "t1"], [1.0, 0.0]), (903, ["t2"], [-3.0])]
+    rows = lambda vs: [(i, [t for t, _ in v] + [None, "t3"], [w for _, w in v] + [1.0, -1.0]) for i, v in vs.items()] + odd
+    df = lambda r: spark.createDataFrame(r, sparse.VECTOR).repartition(3)
+    long = lambda vs: [(i, t, w) for i, v in vs.items() for t, w in v]
+    index = sparse.sparse_index(df(rows(items)), f"file://{tmp_path}/sparse", block)
+    assert index.n == 80
+    found = sparse.sparse_search(index, df([*rows(queries), (999, ["nowhere"], [1.0])]), 5, most=most)
+    assert {(r["q"], r["x"]): (r["score"], r["rank"]) for r in found.collect()} == plain_sparse(long(items), long(queries), 5)
+    assert sparse.sparse_search(sparse.sparse_index(df([]), f"file://{tmp_path}/none"), df(rows(queries)), 5, most=most).count() == 0
+    assert sparse.sparse_search(index, df([]), 5, most=most).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 def test_blocks_below_the_floor_are_not_read(spark, tmp_path):
-    data = DATA.replace("0.001", "0.01")
-    index = sparse.sparse_index(retrieval.word_vectors(spark, data, "documents", "doc_id")).stored(f"file://{tmp_path}/sparse")
-    queries = retrieval.word_vectors(spark, data, "benchmark", "item_id")
-    bounds = sparse.block_bounds(index, queries)
-    every = sparse._read(index, bounds, 1000, 6).agg(F.sum("read")).first()[0]
-    first, kept = sparse.blocks_to_read(index, queries, 10)
-    assert first.agg(F.sum("read")).first()[0] + sparse._read(index, kept, 1000, 6).agg(F.sum("read")).first()[0] < 0.7 * every
-    same = [sorted(map(tuple, sparse.sparse_search(index, queries, 10, prune=p).select("q", "x", "score", "rank").collect())) for p in (True, False)]
-    assert same[0] == same[1]
+    tables = [spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{n}.parquet") for n in ("documents", "benchmark")]
+    index = sparse.sparse_index(sparse.word_vectors(tables[0], "doc_id", "text"), f"file://{tmp_path}/sparse")
+    queries = sparse.word_vectors(tables[1], "item_id", "text")
+    every = sparse.sparse_hits(index, queries, 10, prune=False).agg(F.sum("read")).first()[0]
+    assert sparse.sparse_hits(index, queries, 10).agg(F.sum("read")).first()[0] < 0.7 * every
+    assert sparse.sparse_hits(index, queries, 10, most=0).agg(F.sum("read")).first()[0] < 0.7 * every
+    same = [sorted(map(tuple, sparse.sparse_search(index, queries, 10, **o).collect())) for o in ({}, {"prune": False}, {"most": 0}, {"most": 0, "prune": False})]
+    assert all(s == same[0] for s in same)
