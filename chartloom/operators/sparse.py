@@ -32,6 +32,8 @@ from .vectors import _ranked
 
 #: Items of a block; terms of all queries that tasks are sent.
 BLOCK_ITEMS, MAX_QUERY_TERMS = 32, 1 << 18
+#: Texts whose words are counted at once.
+TEXT_ROWS = 256
 #: Hits that a task holds before it keeps the best alone.
 HELD_ROWS = 1 << 18
 #: Room for sums that are rounded elsewhere than the bound.
@@ -68,32 +70,37 @@ def word_vectors(df: DataFrame, id_col: str, text_col: str, pattern: str = "[A-Z
 
     def count(batches):
         for batch in batches:
-            found = [Counter(words.findall(t or "")) for t in batch.column(1).to_pylist()]
-            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            terms, counts = pa.array(list(chain.from_iterable(found)), pa.string()), np.fromiter(chain.from_iterable(c.values() for c in found), np.int64)
-            lists = [pa.ListArray.from_arrays(ends, v) for v in (terms, pa.array(1 + np.log(counts)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "terms", "weights"])
+            for at in range(0, batch.num_rows, TEXT_ROWS):
+                part = batch.slice(at, TEXT_ROWS)
+                found = [Counter(words.findall(t or "")) for t in part.column(1).to_pylist()]
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                terms, counts = pa.array(list(chain.from_iterable(found)), pa.string()), np.fromiter(chain.from_iterable(c.values() for c in found), np.int64)
+                lists = [pa.ListArray.from_arrays(ends, v) for v in (terms, pa.array(1 + np.log(counts)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "terms", "weights"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(count, VECTOR)
 
 
-def _merged(terms, weights) -> dict[str, float]:
-    out: dict[str, float] = {}
-    for t, w in zip(terms or (), weights or (), strict=True):
-        if t is not None and w is not None and w > 0:
-            out[t] = out.get(t, 0.0) + w
-    return out
-
-
-def _block(no: int, rows: list[tuple[int, dict[str, float]]]) -> dict:
-    lists: dict[str, list[tuple[int, float]]] = {}
-    for place, (_, terms) in enumerate(rows):
-        for t, w in terms.items():
-            lists.setdefault(t, []).append((place, w))
-    return {
-        "block": no, "ids": [i for i, _ in rows], "terms": list(lists), "tops": [max(w for _, w in p) for p in lists.values()], "counts": [len(p) for p in lists.values()],
-        "items": [i for p in lists.values() for i, _ in p], "weights": [w for p in lists.values() for _, w in p],
-    }
+def _block(no: int, ids: pa.Array, terms: pa.ListArray, weights: pa.ListArray, schema: pa.Schema) -> pa.RecordBatch:
+    """One row of the index of a few items; none where no item has a term."""
+    names, w = terms.flatten(), weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    row = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy())
+    with np.errstate(invalid="ignore"):
+        good = (w > 0) & names.is_valid().to_numpy(zero_copy_only=False)
+    coded = names.filter(pa.array(good)).dictionary_encode()
+    n = len(coded.dictionary)
+    if not n:
+        return pa.RecordBatch.from_pylist([], schema=schema)
+    held, place = np.unique(row[good], return_inverse=True)
+    # a cell for each term and item; a term that a row repeats is summed
+    cells, at = np.unique(coded.indices.to_numpy().astype(np.int64) * len(held) + place, return_inverse=True)
+    total = np.bincount(at, w[good], len(cells))
+    term, item = cells // len(held), (cells % len(held)).astype(np.int32)
+    counts = np.bincount(term, minlength=n).astype(np.int32)
+    tops = np.maximum.reduceat(total, np.cumsum(counts) - counts)
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    columns = [pa.array([no]), one(ids.take(pa.array(held))), one(coded.dictionary), *(one(pa.array(v)) for v in (tops, counts, item, total))]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def sparse_index(vectors: DataFrame, home: str, block_items: int = BLOCK_ITEMS) -> SparseIndex:
@@ -105,17 +112,15 @@ def sparse_index(vectors: DataFrame, home: str, block_items: int = BLOCK_ITEMS)
     arrow = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("tops", pa.list_(pa.float64())), ("counts", pa.list_(pa.int32())), ("items", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))])
 
     def cut(batches):
-        no, rows = TaskContext.get().partitionId() << 32, []
+        no, rest = TaskContext.get().partitionId() << 32, None
         for batch in batches:
-            for item, terms, weights in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                merged = _merged(terms, weights)
-                if merged:
-                    rows.append((item, merged))
-                if len(rows) == block_items:
-                    yield pa.RecordBatch.from_pylist([_block(no, rows)], schema=arrow)
-                    no, rows = no + 1, []
-        if rows:
-            yield pa.RecordBatch.from_pylist([_block(no, rows)], schema=arrow)
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch.cast(rest.schema)]).combine_chunks()
+            for at in range(0, rows.num_rows - block_items + 1, block_items):
+                yield _block(no, *(c.combine_chunks() for c in rows.slice(at, block_items).columns), arrow)
+                no += 1
+            rest = rows.slice(rows.num_rows - rows.num_rows % block_items)
+        if rest is not None and rest.num_rows:
+            yield _block(no, *(c.combine_chunks() for c in rest.columns), arrow)
 
     total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + F.coalesce(w, F.lit(0.0)))
     dealt = vectors.select("id", "terms", "weights").where("id is not null").withColumn("total", total).repartition(F.xxhash64("id")).sortWithinPartitions("total")
