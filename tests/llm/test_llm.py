@@ -344,9 +344,8 @@ def test_dedup_state_outlives_a_run(spark, tmp_path):
 
 # ---- 10 ------------------------------------------------------------------------------------------------------
 def alike(a, b, num=8, den=10):
-    """Similarity by five-character shingles if both lines are under 150 characters, else by nine."""
-    k = 5 if max(len(a), len(b)) < 150 else 9
-    x, y = ({t[i : i + k] for i in range(max(1, len(t) - k + 1))} for t in (a, b))
+    """Similarity by five-character shingles, whatever the lines' lengths."""
+    x, y = ({t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (a, b))
     return den * len(x & y) >= num * len(x | y)
 
 
@@ -362,6 +361,22 @@ def test_short_lines_with_an_edit(spark):
     assert all(same) and found >= 0.97 * len(pairs) and sum(r["kept"] for r in got) == 2 * len(pairs) - found
 
 
+def test_lines_of_all_lengths_are_compared_alike(spark):
+    """Rules, padding and other periodic lines; near copies on either side of any length."""
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) for _ in range(30)]
+    groups = [["-" * n for n in (7, 80, 90, 99, 100, 149, 150, 160, 300, 5000)], ["ab cd " * n for n in (3, 12, 17, 25, 40)], ["| " * n for n in (20, 80)]]
+    groups += [[t[:n], t[: n + d]] for t, n, d in ((t, rng.randint(60, 170), rng.randint(1, 30)) for t in base)]
+    rows = [(i, line) for i, line in enumerate(x for g in groups for x in g)]
+    cls = {r["id"]: r["class"] for r in line_dedup.line_classes(make(spark, rows)).collect()}
+    of, found, linked = {line: cls[i] for i, line in rows}, 0, 0
+    for g in groups:
+        for a, b in zip(g, g[1:], strict=False):
+            linked += alike(a, b)
+            found += alike(a, b) and of[a] == of[b]
+    assert all(len({of[line] for line in g}) == 1 for g in groups[:3]) and found >= 0.95 * linked and linked > 30
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))

@@ -13,10 +13,10 @@ DOCS = "doc_id long, text string"
 
 # ---- 10 ---------------------------------------------------------------------------------------
 def test_line_signatures_reach_the_stated_recall(spark):
-    """Pairs of lines at similarity 0.8 by their 9-character shingles share a band in 99 of 100 cases."""
+    """Pairs of lines at similarity 0.8 by their 5-character shingles share a band in 99 of 100 cases."""
     rng, lines, pairs = random.Random(11), [], 3000
     for i in range(pairs):
-        head, a, b = ("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n)) for n in (168, 20, 20))
+        head, a, b = ("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n)) for n in (164, 20, 20))
         lines += [(2 * i, head + a), (2 * i + 1, head + b)]  # 160 shingles shared, 20 on each side
     sig = line_dedup.signatures(spark.createDataFrame(lines, "h long, line string").repartition(8)).collect()
     of = {r["h"]: [r[f"m{i}"] for i in range(len(line_dedup.MASKS))] for r in sig}
