@@ -76,6 +76,23 @@ def top_k_scores(scores: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct((-p["neg"]).alias("score"), p["index"].alias("index")))
 
 
+def above(scores: Column, least: float) -> Column:
+    """0-based places of the scores of at least ``least``, in order; null scores are below."""
+    marked = F.transform(scores, lambda x, i: F.when(x >= least, i))
+    return F.filter(marked, lambda i: i.isNotNull())
+
+
+def masked(scores: Column, least: float) -> Column:
+    """1 for scores of at least ``least``, else 0."""
+    return F.transform(scores, lambda x: F.when(x >= least, 1).otherwise(0))
+
+
+def last_k_places(scores: Column, k: int) -> Column:
+    """0-based places of the k best scores, the best last; ties by place."""
+    ordered = F.array_sort(F.transform(scores, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    return F.transform(F.slice(ordered, F.greatest(F.size(ordered) - k, F.lit(0)) + 1, F.lit(k)), lambda p: p["i"])
+
+
 def relabel(value: Column, names: dict[str, str], default: Column | None = None) -> Column:
     """The dictionary's name of a value; without one, ``default`` or the value itself."""
     table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))

@@ -150,3 +150,18 @@ def guidelines_for(rows: DataFrame, id_col: str, codes_col: str, closed: DataFra
 def by_lead_term(terms: DataFrame, id_col: str = "id") -> DataFrame:
     """lead_id and the sorted ids of its terms."""
     return terms.groupBy(F.split_part(F.col(id_col), F.lit("."), F.lit(1)).alias("lead_id")).agg(F.sort_array(F.collect_list(id_col)).alias("terms"))
+
+
+def main_terms(terms: DataFrame, parent: str = "parent_id") -> DataFrame:
+    """Terms without a parent."""
+    return terms.where(F.coalesce(F.col(parent), F.lit("")) == "")
+
+
+def root_leaves(nodes: DataFrame, closed: DataFrame) -> DataFrame:
+    """root and its assignable descendants, sorted."""
+    tops = main_terms(nodes).select(F.col("id").alias("root"))
+    return leaves(closed, nodes).join(tops, F.col("ancestor") == F.col("root")).select("root", "leaves")
+
+
+def n_categories(nodes: DataFrame, kind: str = "category") -> DataFrame:
+    return nodes.agg(F.count(F.when(F.col("kind") == kind, 1)).alias("n"))

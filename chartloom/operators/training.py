@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import location_bounds
 from . import sampling
 from .intervals import segment_targets
 from .sampling import fair_shares, remap, shuffled
@@ -39,9 +40,61 @@ def label_pipeline(notes: DataFrame, spans: DataFrame, classes: DataFrame, id_co
     rows = notes.select(id_col).join(per, id_col, "left").crossJoin(F.broadcast(table))  # one row
     chosen = sampling.negatives(F.transform("_all", lambda x: x["code"]), F.coalesce("_p", none), negatives, seed)
     rows = rows.withColumn("_c", _ordered(chosen, order, seed))
-    name = lambda c: F.element_at(F.map_from_entries("_all"), c)
+    # a one-item array binds the map, so that a row makes it once
+    named = F.transform(F.array(F.map_from_entries("_all")), lambda m: F.transform("_c", lambda c: F.element_at(m, c)))[0]
     segs = F.coalesce("_s", F.array().cast(rows.schema["_s"].dataType))
-    return rows.select(id_col, F.transform(segs, lambda s: s["text"]).alias("segments"), F.transform("_c", name).alias("classes"), F.transform(segs, lambda s: remap(s["targets"], F.col("_c"))).alias("targets"))
+    return rows.select(id_col, F.transform(segs, lambda s: s["text"]).alias("segments"), named.alias("classes"), F.transform(segs, lambda s: remap(s["targets"], F.col("_c"))).alias("targets"))
+
+
+def label_rows(rows: DataFrame, aid: Column, text: str, classes: str, spans: Column, segmenter: Segmenter, negatives: int = -1, seed: int = 0, order: str = "random") -> DataFrame:
+    """aid, segments, classes (names) and targets of rows that carry their own classes: as ``label_pipeline``, with a map of
+    code to name in each row instead of one table.
+
+    ``spans``: array of (code, start, end), half-open; codes that are no class of the row are ignored. Rows without spans (null) have no
+    classes and no targets, those without text no segments; ``aid`` names a row once.
+    """
+    none = F.array().cast("array<string>")
+    base = rows.select(aid.alias("aid"), F.col(text).alias("text"), F.col(classes).alias("_m"), spans.alias("_x"))
+    cut = segment_table(base, "aid", "text", segmenter)
+    own = base.select("aid", "_m", F.explode("_x").alias("x")).where(F.map_contains_key("_m", F.col("x.code"))).select("aid", "x.code", "x.start", "x.end")
+    hits = segment_targets(cut, own, "aid", "seg_no", "code")
+    per = hits.groupBy("aid").agg(F.sort_array(F.collect_list(F.struct("seg_no", "text", "targets"))).alias("_s"), F.array_distinct(F.flatten(F.collect_list("targets"))).alias("_p"))
+    joined = base.select("aid", "_m", F.col("_x").isNotNull().alias("_marked")).join(per, "aid", "left")
+    chosen = sampling.negatives(F.sort_array(F.map_keys("_m")), F.coalesce("_p", none), negatives, F.concat_ws("|", F.lit(str(seed)), "aid"))
+    joined = joined.withColumn("_c", F.when(F.col("_marked"), _ordered(chosen, order, seed)).otherwise(none))
+    segs = F.coalesce("_s", F.array().cast(joined.schema["_s"].dataType))
+    targets = F.when(F.col("_marked"), F.transform(segs, lambda s: remap(s["targets"], F.col("_c")))).otherwise(F.array().cast("array<array<int>>"))
+    return joined.select("aid", F.transform(segs, lambda s: s["text"]).alias("segments"), F.transform("_c", lambda c: F.element_at(F.col("_m"), c)).alias("classes"), targets.alias("targets"))
+
+
+def _zipped(codes: str, start: str, end: str) -> Column:
+    """Parallel lists as spans; null where the lists are."""
+    of = F.arrays_zip(F.col(codes).alias("c"), F.col(start).alias("s"), F.col(end).alias("e"))
+    return F.transform(of, lambda x: F.struct(x["c"].cast("string").alias("code"), x["s"].cast("int").alias("start"), x["e"].cast("int").alias("end")))
+
+
+def _located() -> Column:
+    """A feature's places (``a b;c d`` strings) as spans."""
+    of = F.arrays_zip(F.col("labels.feature_num").alias("c"), F.col("labels.location").alias("p"))
+    bounds = lambda x: location_bounds(F.nullif(F.array_join(x["p"], ";"), F.lit("")))
+    spans = F.transform(of, lambda x: F.struct(x["c"].cast("string").alias("code"), bounds(x)[0].alias("start"), bounds(x)[1].alias("end")))
+    return F.filter(spans, lambda x: x["start"].isNotNull())
+
+
+#: Data sets whose rows carry spans and classes: the columns that tell them, their id, text, classes and spans.
+LABELLED = {
+    "decisions": (("subject_id", "hadm_id", "note_id", "text", "classes", "annotations"), lambda: F.concat_ws("_", "hadm_id", "subject_id", "note_id"), "text", "classes", lambda: _zipped("annotations.category_id", "annotations.start_offset", "annotations.end_offset")),
+    "concepts": (("note_id", "text", "classes", "annotations"), lambda: F.col("note_id").cast("string"), "text", "classes", lambda: _zipped("annotations.concept_id", "annotations.start", "annotations.end")),
+    "scored": (("pn_num", "case_num", "patient_note", "case_features", "labels"), lambda: F.concat_ws("_", "case_num", "pn_num"), "patient_note", "case_features", _located),
+}
+
+
+def adapt_labelled(df: DataFrame, segmenter: Segmenter, name: str | None = None, negatives: int = -1, seed: int = 0, order: str = "random") -> DataFrame:
+    """``label_rows`` of a data set, told by its columns (the first that has them all) or by name."""
+    for known, (needs, aid, text, classes, spans) in LABELLED.items():
+        if known == name or (name is None and set(needs) <= set(df.columns)):
+            return label_rows(df, aid(), text, classes, spans(), segmenter, negatives, seed, order)
+    raise ValueError(f"no adapter for columns {df.columns}" if name is None else f"no adapter {name!r}")
 
 
 def training_classes(rows: DataFrame, names: DataFrame, pairs: DataFrame, per_positive: int = 1, seed: int = 0, order: str = "random") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.feather as feather
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,28 +102,33 @@ def read_decision_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str, id_name: str = "hadm_id") -> DataFrame:
-    """Feather/IPC split table (_id, split); a small list, read where the driver sees the file."""
-    import pyarrow.feather as feather
+    """Feather (Arrow file) split tables (_id, split), read in the tasks, a file each; a folder or a pattern may be given."""
+    schema = pa.schema([(id_name, pa.int64()), ("split", pa.string())])
 
-    frame = feather.read_table(path).to_pandas()
-    return spark.createDataFrame(frame.rename(columns={"_id": id_name}))
+    def rows(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                found = feather.read_table(pa.BufferReader(content.as_buffer())).select(["_id", "split"])
+                yield from found.rename_columns(schema.names).cast(schema).to_batches()
 
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, f"`{id_name}` long, split string")
 
-def read_runs(spark: SparkSession, path: str, pattern: str = r"(.+?)_neg(\d+)_seed(\d+)") -> DataFrame:
-    """JSON metric files; experiment, negatives and seed from the folder's name."""
-    raw = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+
+def read_runs(spark: SparkSession, path: str, pattern: str = r"(.+?)_neg(\d+)_seed(\d+)", files: str = "*.json") -> DataFrame:
+    """JSON metric files; experiment, negatives and seed from the folder's name. ``files``: which ones, as ``averages.json`` or ``responses.json``."""
+    raw = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", files).json(path)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return raw.withColumns({"experiment": F.regexp_extract(name, pattern, 1), "negatives": F.regexp_extract(name, pattern, 2).try_cast("int"), "seed": F.regexp_extract(name, pattern, 3).try_cast("int")})
 
 
-def release_files(folder: str, patterns: dict[str, str]) -> dict[str, str]:
-    """The one file of each glob; a missing one raises."""
+def release_files(spark: SparkSession, folder: str, patterns: dict[str, str]) -> dict[str, str]:
+    """The first file, by name, of each glob in a folder of any store that Spark reads; a missing one raises."""
     out = {}
     for key, pattern in patterns.items():
-        found = sorted(glob.glob(os.path.join(folder, pattern)))
-        if not found:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).agg(F.min("path").alias("p")).first()["p"]
+        if found is None:
             raise FileNotFoundError(f"no {pattern} in {folder}")
-        out[key] = found[0]
+        out[key] = found
     return out
 
 

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from chartloom.plans import catalog, more, retrieval, structure  # noqa: F401
+from chartloom.plans import catalog, columns, more, retrieval, structure  # noqa: F401
 from tests.compare import same, tables
 
 DATA = "/root/testdata/sf0.001"
