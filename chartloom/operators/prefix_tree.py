@@ -48,8 +48,8 @@ def _numbered(codes: DataFrame) -> DataFrame:
 
 
 def prefix_tree(codes: DataFrame, code: str = "code", lengths: list[int] | None = None) -> DataFrame:
-    """code, parent (the longest prefix that is a node, else null), depth (0 for roots), entry, exit, given (a code of the table, not
-    only a prefix of one). ``lengths``: those of the prefixes that become nodes too."""
+    """code, parent (the longest prefix that is a node, else null), depth (0 for roots), entry, exit, n_leaves (below it; none below a
+    leaf), given (a code of the table, not only a prefix of one). ``lengths``: those of the prefixes that become nodes too."""
     own = codes.select(F.col(code).alias("code")).where("code <> ''").select("code", F.lit(True).alias("given"))
     if lengths:
         inner = own.select(F.explode(prefixes(F.col("code"), lengths)).alias("code"), F.lit(False).alias("given"))
@@ -59,8 +59,10 @@ def prefix_tree(codes: DataFrame, code: str = "code", lengths: list[int] | None
     above = ancestors(nodes)
     ups = above.groupBy("code").agg(F.max_by("ancestor", F.length("ancestor")).alias("parent"), F.count("*").cast("int").alias("depth"))
     below = above.groupBy(F.col("ancestor").alias("code")).agg(F.count("*").alias("n"))
-    out = nodes.join(numbered, "code").join(ups, "code", "left").join(below, "code", "left")
-    return out.select("code", "parent", F.coalesce("depth", F.lit(0)).alias("depth"), "entry", (F.col("entry") + F.coalesce("n", F.lit(0))).alias("exit"), "given")
+    tips = above.join(below.select("code"), "code", "left_anti").groupBy(F.col("ancestor").alias("code")).agg(F.count("*").alias("n_leaves"))
+    out = nodes.join(numbered, "code").join(ups, "code", "left").join(below, "code", "left").join(tips, "code", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("code", "parent", zero("depth").alias("depth"), "entry", (F.col("entry") + zero("n")).alias("exit"), zero("n_leaves").alias("n_leaves"), "given")
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
 
 def is_below(entry: Column, of_entry: Column, of_exit: Column) -> Column:
-    """Whether a node lies below another one."""
+    """Whether a node lies below another one: for filters, and for joins that have an equality besides or a side of a checked size."""
     return (entry > of_entry) & (entry <= of_exit)
 
 

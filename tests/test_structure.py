@@ -26,7 +26,8 @@ def plain_tree(codes, lengths=None):
     for i, c in enumerate(order):
         up = [p for p in nodes if c.startswith(p) and p != c]
         below = sum(d.startswith(c) for d in order) - 1
-        out[c] = (max(up, key=len, default=None), len(up), i, i + below, c in given)
+        leaves = sum(d.startswith(c) and d != c and not any(e.startswith(d) and e != d for e in order) for d in order)
+        out[c] = (max(up, key=len, default=None), len(up), i, i + below, leaves, c in given)
     return out
 
 
@@ -35,7 +36,7 @@ def test_prefix_tree(spark, lengths):
     rng = random.Random(6)
     codes = ["".join(rng.choice("AB1é\U0001f600") for _ in range(rng.randint(0, 8))) for _ in range(300)] + [None, "", "A", "A", "AA"]
     df = spark.createDataFrame([(c,) for c in codes], "code string").repartition(5)
-    got = {r["code"]: (r["parent"], r["depth"], r["entry"], r["exit"], r["given"]) for r in prefix_tree.prefix_tree(df, lengths=lengths).collect()}
+    got = {r["code"]: (r["parent"], r["depth"], r["entry"], r["exit"], r["n_leaves"], r["given"]) for r in prefix_tree.prefix_tree(df, lengths=lengths).collect()}
     assert got == plain_tree(codes, lengths)
 
 
