@@ -54,6 +54,11 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(hconf).delete(p, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``mapInArrow`` for long texts: a session's batches are held to BATCH_ROWS rows and BATCH_BYTES bytes from here on
     (results do not depend on it), and a Python worker returns Arrow's memory at the end of a task."""

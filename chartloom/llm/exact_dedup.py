@@ -4,7 +4,8 @@ Arrivals (digest, id, content locator) are appended to a log in the shared folde
 Streaming query folds them into keyed state on disk (RocksDB, no watermark, so no expiry): per digest
 the smallest id, its locator and the number of rows. The state's checkpoint lives in the shared
 folder, so a later run with new arrivals continues from it; a stated home also keeps the texts of its
-runs, so that keepers and groups of earlier runs are there in full. Each hit (a digest seen more than once)
+runs, so that keepers and groups of earlier runs are there in full. A call may name its batch: a batch that is in the log is not
+taken in again, one whose writing broke off is written anew, so a retry changes nothing. Each hit (a digest seen more than once)
 is then checked on its full bytes against the keeper's content; rows whose bytes differ, a digest
 collision, are grouped by their bytes instead.
 
@@ -20,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, keep_rows, new_path, spill, text_or_empty
+from .common import SPACE_CLASS, keep_rows, new_path, path_exists, spill, text_or_empty
 
 #: State on disk; its changes are checkpointed as a log; no file is allocated ahead, as many small stores would fill disks.
 STATE_CONF = {
@@ -42,10 +43,15 @@ class StreamingDeduper:
         self.home = home or new_path(spark, "dedup")
         self.files_per_batch = files_per_batch
 
-    def ingest(self, arrivals: DataFrame) -> DataFrame:
-        """Append (digest, id, locator) rows, run the stream over what is new, return the state of all digests."""
+    def ingest(self, arrivals: DataFrame, batch: str | None = None) -> DataFrame:
+        """Append (digest, id, locator) rows, run the stream over what is new, return the state of all digests.
+
+        A ``batch`` that was written whole is not written again; the stream only starts once it is.
+        """
         spark, log, state = self.spark, f"{self.home}/arrivals", f"{self.home}/state"
-        arrivals.write.mode("append").parquet(log)
+        place = f"{log}/batch-{batch or uuid.uuid4().hex}"
+        if not path_exists(spark, f"{place}/_SUCCESS"):
+            arrivals.write.mode("overwrite").parquet(place)
         before = {k: spark.conf.get(k, None) for k in STATE_CONF}
         for k, v in STATE_CONF.items():
             spark.conf.set(k, v)
@@ -53,6 +59,7 @@ class StreamingDeduper:
             folded = (
                 spark.readStream.schema(arrivals.schema)
                 .option("maxFilesPerTrigger", self.files_per_batch)
+                .option("recursiveFileLookup", True)
                 .parquet(log)
                 .groupBy("digest")
                 .agg(F.min(F.struct("id", "locator")).alias("first"), F.count("*").alias("n"))
@@ -72,10 +79,11 @@ class StreamingDeduper:
         return rows.select("digest", F.col("first.id").alias("keep"), F.col("first.locator").alias("locator"), "n")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", home: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", home: str | None = None, batch: str | None = None) -> DataFrame:
     """Per row: id, keep_id, group_size, kept, text_sha256. Of equal texts the smallest id stays.
 
-    With a ``home`` that earlier calls used, groups are those of all calls; the rows are those of ``docs``.
+    With a ``home`` that earlier calls used, groups are those of all calls; the rows are those of ``docs``. A call that
+    is made again with its ``batch`` counts once.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("body"))
@@ -83,12 +91,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrivals = spill(log, "dedup-digests")
     full = texts.withColumn("digest", F.unhex(F.sha2("body", 256)))
     if home:
-        run = f"r{uuid.uuid4().hex}"
-        full.write.option("compression", "zstd").parquet(f"{home}/contents/run={run}")
+        run = f"r{batch or uuid.uuid4().hex}"
+        full.write.mode("overwrite").option("compression", "zstd").parquet(f"{home}/contents/run={run}")
         full = spark.read.parquet(f"{home}/contents").withColumn("here", F.col("run") == run).drop("run")
     else:
         full = full.withColumn("here", F.lit(True))
-    state = StreamingDeduper(spark, home).ingest(arrivals)
+    state = StreamingDeduper(spark, home).ingest(arrivals, batch)
 
     hits = state.where("n > 1").select("digest", "keep")
     if home:

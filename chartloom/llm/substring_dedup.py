@@ -12,7 +12,8 @@ verified: contexts seen twice settle
 their windows at once; where a fingerprint repeats in differing contexts, the windows themselves are
 compared by two independent 64-bit hashes of their 35 words, one member for each
 context that repeats, so copies are never expanded. With a ``home`` the index and the texts stay, and a later call
-finds the passages that its rows share with those of earlier calls.
+finds the passages that its rows share with those of earlier calls. A call's runs and its batch's name are published together, at its
+end; a call that broke off before leaves nothing that is read, and one that is made again with its batch's name adds nothing.
 
 Null and empty texts have no words; texts under ``window`` words keep all of them. Rows that repeat an
 id and its text are separate rows (their windows repeat); rows that share only the id do not mix. Only
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, drop_path, map_arrow, n_slices, new_path, text_or_empty
+from .common import Scratch, drop_path, map_arrow, n_slices, new_path, path_exists, text_or_empty
 from .word_hashes import U, Sequences, mix, word_hashes
 
 WINDOW, GRAM = 35, 12
@@ -119,26 +120,26 @@ class FingerprintIndex:
         self.home = home or new_path(spark, "fingerprints")
         self.runs: list[tuple[str, str, int]] = []  # table, path, entries
         self.version = 0
-        if home and self._exists(f"{home}/manifest"):
+        self.batches: list[str] = []  # taken in by earlier calls
+        self.replaced: list[tuple[str, str, int]] = []  # listed by the manifest still, not by the next one
+        if home and path_exists(spark, f"{home}/manifest"):
             held = spark.read.parquet(f"{home}/manifest")
             self.version = held.agg(F.max("version").alias("v")).first()["v"]
             for r in held.where(F.col("version") == self.version).orderBy("place").collect():  # a few rows: runs grow by tiers
-                self.buckets = r["buckets"]
+                self.buckets, self.batches = r["buckets"], (r["batches"] or "").split()
                 if r["name"]:
                     self.runs.append((r["name"], r["path"], r["entries"]))
                     spark.sql(f"CREATE TABLE IF NOT EXISTS {r['name']} ({ENTRY}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, ctx) INTO {self.buckets} BUCKETS LOCATION '{r['path']}'")
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def _publish(self, gone: list[tuple[str, str, int]] = ()) -> None:
+    def publish(self, batch: str | None = None) -> None:
         """A new version of the manifest; only then the runs that it no longer lists go."""
         self.version += 1
-        rows = [(i, *run, self.buckets) for i, run in enumerate(self.runs)] or [(0, None, None, 0, self.buckets)]
-        self.spark.createDataFrame(rows, "place int, name string, path string, entries long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.home}/manifest/version={self.version}")
-        for name, path, _ in gone:
+        self.batches += [batch] if batch else []
+        rows = [(i, *run, self.buckets, " ".join(self.batches)) for i, run in enumerate(self.runs)] or [(0, None, None, 0, self.buckets, " ".join(self.batches))]
+        self.spark.createDataFrame(rows, "place int, name string, path string, entries long, buckets int, batches string").coalesce(1).write.mode("overwrite").parquet(f"{self.home}/manifest/version={self.version}")
+        for name, path, _ in self.replaced:
             self._drop(name, path)
+        self.replaced = []
 
     def _drop(self, name: str, path: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -163,8 +164,8 @@ class FingerprintIndex:
         old = [own.hint("merge").join(self.spark.table(name).select("fp").distinct().hint("merge"), "fp").select("fp") for name, _, _ in self.runs[:run]]
         return reduce(DataFrame.unionByName, [own.where("n > 1").select("fp"), *old]).repartition(self.buckets, "fp").distinct()
 
-    def compact(self, every: bool = False) -> None:
-        """Merge the latest runs while the one before them is not TIER times as large (or all); then publish."""
+    def compact(self, every: bool = False, publish: bool = True) -> None:
+        """Merge the latest runs while the one before them is not TIER times as large (or all); then publish, now or later."""
         at = len(self.runs) - 1
         while at > 0 and (every or self.runs[at - 1][2] < TIER * sum(n for _, _, n in self.runs[at:])):
             at -= 1
@@ -175,7 +176,9 @@ class FingerprintIndex:
             rows = [self.spark.table(name).select("fp", "ctx", F.col("c").cast("long").alias("c"), "src") for name, _, _ in gone]
             merged = reduce(DataFrame.unionByName, rows).groupBy("fp", "ctx").agg(F.sum("c").cast("int").alias("c"), F.min("src").alias("src"))
             self.runs = [*self.runs[:at], self._write(merged)]
-        self._publish(gone)
+            self.replaced += gone
+        if publish:
+            self.publish()
 
     def entries(self) -> DataFrame:
         """All entries; contexts that several runs hold are summed."""
@@ -184,10 +187,14 @@ class FingerprintIndex:
 
     def close(self) -> None:
         """Delete the index."""
-        for name, path, _ in self.runs:
+        for name, path, _ in [*self.runs, *self.replaced]:
             self._drop(name, path)
         drop_path(self.spark, self.home)
 
+    def repeated(self, own: DataFrame) -> DataFrame:
+        """Fingerprints of ``own`` (fp), which are in the index, that it holds more than once."""
+        return self.entries().join(own.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.sum("c").alias("n")).where("n > 1").select("fp")
+
     def status(self, hits: DataFrame) -> DataFrame:
         """fp, ctx, src, full, rival of the contexts of hits. full: the context itself repeats;
         rival: another context of the fingerprint does not, so windows have to be compared."""
@@ -262,26 +269,34 @@ def _second_pass(joined: DataFrame, window: int) -> DataFrame:
     return map_arrow(joined.select("id", "n_words", "text", "settled", "starts"), run, schema)
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", home: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", home: str | None = None, batch: str | None = None) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256, after taking ``docs`` into the index in ``batches``.
 
-    With a ``home`` that earlier calls used, passages repeat also where those calls' rows hold them.
+    With a ``home`` that earlier calls used, passages repeat also where those calls' rows hold them. ``batch`` (without blanks) names
+    the rows of this call: made again, whether it broke off or not, the call gives the same and counts them once.
     """
     spark = docs.sparkSession
     work, text = Scratch(spark), text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     index = FingerprintIndex(spark, max(8, n_slices(docs) // SLICES_PER_BUCKET), home)
-    earlier = None
+    earlier, batch = None, batch or uuid.uuid4().hex
+    known = batch in index.batches
     if home:
-        if index._exists(f"{home}/contents"):
-            earlier = spark.read.schema("key long, text string").parquet(f"{home}/contents")
-        rows.select("key", "text").write.mode("append").option("compression", "zstd").parquet(f"{home}/contents")
+        others = [f"{home}/contents/{b}" for b in index.batches if b != batch]
+        if others:
+            earlier = spark.read.schema("key long, text string").parquet(*others)
+        if not known:
+            rows.select("key", "text").write.mode("overwrite").option("compression", "zstd").parquet(f"{home}/contents/{batch}")
     name = f"hits_{uuid.uuid4().hex}"  # bucketed like the runs, so that no join with them moves these
     path = new_path(spark, "repeat-hits")
     for i in range(batches):
-        hits = index.add(index_rows(rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(batches)) == i), window, gram))
+        part = index_rows(rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(batches)) == i), window, gram)
+        hits = index.repeated(part) if known else index.add(part)
         hits.write.mode("append").bucketBy(index.buckets, "fp").option("path", path).saveAsTable(name)
-        index.compact(every=i == batches - 1 and not home)
+        if not known:
+            index.compact(every=i == batches - 1 and not home, publish=not home)
+    if home and not known:
+        index.publish(batch)
     status = work.spill(index.status(spark.table(name)), "repeated")
     spark.sql(f"DROP TABLE {name}")
     drop_path(spark, path)

@@ -6,9 +6,10 @@ import re
 from itertools import permutations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from chartloom.llm import decontaminate, fill_middle, filter_audit, queries
+from chartloom.llm import decontaminate, exact_dedup, fill_middle, filter_audit, queries, substring_dedup
 
 ODD = "doc_id long, text string, source string, row string, id string, n string, mask string, part string, words string, form string"
 
@@ -181,3 +182,43 @@ def test_fill_in_the_middle(spark, tmp_path):
 
 def test_fill_in_the_middle_of_nothing(spark):
     assert fill_middle.fill_in_middle(odd(spark, [])).count() == 0
+
+
+# ---- calls that are made again -------------------------------------------------------------------------
+def once(spark):
+    rng = random.Random(3)
+    return [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))) for i in range(6)]
+
+
+def test_a_repeated_call_removes_nothing_more(spark, tmp_path, monkeypatch):
+    """Killed before its index is published, killed after, and whole: always the result of one call."""
+    home, rows = f"file://{tmp_path}/repeats", once(spark)
+    shared = rows[0][1]
+    first, second = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(10, shared), (11, "own words " * 3)], "doc_id long, text string")
+    run = lambda docs, batch: sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs, home=home, batch=batch).collect())
+    stop = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed"))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(substring_dedup.FingerprintIndex, "publish", stop)
+        run(first, "one")
+    clean = [(i, 0) for i in range(6)]
+    assert run(first, "one") == clean
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(substring_dedup.FingerprintIndex, "status", stop)
+        run(second, "two")
+    assert run(second, "two") == [(10, 60), (11, 0)]
+    assert run(second, "two") == [(10, 60), (11, 0)]
+    assert run(second, "three") == [(10, 60), (11, 0)]
+
+
+def test_a_repeated_call_counts_once(spark, tmp_path, monkeypatch):
+    home = f"file://{tmp_path}/copies"
+    docs = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c")], "doc_id long, text string")
+    run = lambda batch: sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, home=home, batch=batch).collect())
+    stop = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed"))
+    whole = exact_dedup.StreamingDeduper.ingest
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(exact_dedup.StreamingDeduper, "ingest", lambda self, a, b=None: (whole(self, a, b), stop()))
+        run("one")
+    for _ in range(2):
+        assert run("one") == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+    assert run("two") == [(1, 1, 4), (2, 1, 4), (3, 3, 2)]
