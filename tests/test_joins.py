@@ -1,5 +1,6 @@
 """Sweeps, passages and fuzzy names against plain versions."""
 
+import os
 import random
 import time
 
@@ -7,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartloom.operators import fuzzy, intervals
+from chartloom.plans import catalog, retrieval  # noqa: F401
+
+DATA = "/root/testdata/sf0.001"
 
 
 def overlaps(left, right):
@@ -105,3 +109,11 @@ def test_few_pairs_are_compared(spark):
     q, t = spark.createDataFrame([(x,) for x in a], "q string"), spark.createDataFrame([(x, i) for i, x in enumerate(b)], "t string, id int")
     tried = fuzzy._nearest_in_blocks(q, t, 3, 512, 8192).agg(F.sum("tried")).first()[0]
     assert tried < 0.25 * len(a) * len(b)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+def test_fuzzy_names(spark):
+    """All customers against a plain search."""
+    terms = [(r["c_custkey"], r["c_name"]) for r in spark.read.parquet(f"{DATA}/customer.parquet").collect()]
+    got = {(r["query"], r["c_custkey"], r["score"], r["rank"]) for r in catalog.QUERIES["fuzzy_names"](spark, DATA).collect()}
+    assert got == plain_terms([n for k, n in terms if k % 20 == 0], terms, 3) and got
