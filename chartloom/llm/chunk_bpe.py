@@ -1,8 +1,10 @@
 """Exact BPE over white-space chunks, memoised, with token counts at every prefix.
 
 The vocabulary file's pre-tokeniser never matches across white space and its normaliser never
-composes across it, so a text's ids are the concatenation of its chunks' ids. Each distinct chunk
-goes through the ``tokenizers`` library once while a memo, bounded in bytes, holds it.
+composes across it, so a text's ids are the concatenation of its chunks' ids, and those of a chunk
+of Latin characters are the concatenation of its pieces' ids. Each distinct piece goes through the
+``tokenizers`` library's model once, each other distinct chunk through the whole library, while a memo, bounded in bytes,
+holds it.
 
 Prefix counts come from dynamic programming. Let ``open[i]`` be the last token of the encoding of a
 piece's first i bytes without its word end, and ``close[i]`` the last token when the word ends
@@ -21,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -38,6 +41,12 @@ WORD_END = "</w>"
 #: Unicode white space besides blank and line feed.
 ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+#: Characters that composing may touch, or that versions of Unicode or kinds of white space treat unlike: chunks with one stay whole.
+ODD = re.compile("[^\t\n\r -~\xa1-\u012f\u0131-\u024f]")
+_LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+#: PIECES for text without odd characters, with the classes spelled out.
+PLAIN_PIECES = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+
 #: Bytes that the memos of a Python worker may hold (ids; or steps of chunks and of pieces), and token pairs remembered.
 IDS_BYTES, STEPS_BYTES, PIECES_BYTES, PAIRS_MEMO = 80 << 20, 64 << 20, 32 << 20, 300_000
 #: Characters that are worked on at a time, and of a piece that is still worked on in whole.
@@ -54,9 +63,9 @@ class Memo:
         """Those of ``keys`` that have to be put; all others can be read from ``new`` until the next call."""
         if self.size > self.limit:
             self.old, self.new, self.size = self.new, {"": b""}, 0
-        keys = keys.difference(self.new)
-        for key in keys.intersection(self.old):
-            self.put(key, self.old[key])
+        keys, old = keys.difference(self.new), self.old
+        for key in [k for k in keys if k in old]:
+            self.put(key, old[key])
             keys.discard(key)
         return keys
 
@@ -128,18 +137,46 @@ class ChunkBpe:
         return next(self.all_ids([text]))
 
     def all_ids(self, texts: list[str]) -> Iterator[bytes]:
-        for part in slices(texts):
-            chunks = [self.chunks(t) for t in part]
-            new = list(self.ids.missing(set().union(*chunks)))
-            for chunk, e in zip(new, self._encoded(new), strict=True):
-                self.ids.put(chunk, np.array(e.ids, dtype="<u4").tobytes())
-            known = self.ids.new.__getitem__
-            for own in chunks:
-                yield b"".join(map(known, own))
+        for own in self._known(texts):
+            yield b"".join(own)
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of ids of each whole text."""
-        return [len(ids) // 4 for ids in self.all_ids(texts)]
+        return [sum(map(len, own)) // 4 for own in self._known(texts)]
+
+    def _known(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
+        """The ids of each text's units."""
+        for part in slices(texts):
+            units = [self._units(t) for t in part]
+            self._learn_ids(self.ids.missing(set().union(*units)))
+            known = self.ids.new.__getitem__
+            for own in units:
+                yield map(known, own)
+
+    def _units(self, text: str) -> list[str]:
+        """Lower-cased pieces and whole odd chunks whose ids, one after the other, are those of the text."""
+        if not ODD.search(text) and "<|" not in text:
+            return PLAIN_PIECES.findall(text.lower())
+        out, plain = [], []
+        for chunk in self.chunks(text):
+            if ODD.search(chunk) or "<|" in chunk:
+                out += PLAIN_PIECES.findall(" ".join(plain).lower())
+                out.append(chunk)
+                plain = []
+            else:
+                plain.append(chunk)
+        return out + PLAIN_PIECES.findall(" ".join(plain).lower())
+
+    def _learn_ids(self, units: set[str]) -> None:
+        whole, one, put = [], self.lib.model.tokenize, self.ids.put
+        for unit in units:
+            if ODD.search(unit) or "<|" in unit:
+                whole.append(unit)
+            else:
+                tokens = one(unit if unit.isascii() else "".join([self.alphabet[b] for b in unit.encode()]))
+                put(unit, struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]))
+        for chunk, e in zip(whole, self._encoded(whole), strict=True):
+            put(chunk, np.array(e.ids, dtype="<u4").tobytes())
 
     # ---- prefix counts ---------------------------------------------------------
     def prefix_table(self, text: str) -> tuple[int, bytes]:

@@ -34,6 +34,18 @@ def test_prefix_counts_of_odd_chunks():
         assert bpe.text_ids(text) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_ids_by_pieces_equal_the_library():
+    """Plain text goes by pieces, chunks with odd characters whole; both give the library's ids."""
+    bpe = chunk_bpe.ChunkBpe(VOCABULARY)
+    rng = random.Random(8)
+    alphabet = "aAzZ  \n\t'’sStTrReEvVlLmMdD019.,$#éÉßÄİıſŉǅΣσς<|>́\x1c\x00\x85\xa0ʼł\xad²½ªʰ中한🙂"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["", "IT'S we'Re ''s 'sé l'été", "a <|endoftext|> b\x85c", "É" * 5000, "plain words, “quoted” ones.\nAnd more."]
+    plain = [bpe.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in bpe.all_ids(texts)] == plain
+    assert bpe.counts(texts) == [len(ids) for ids in plain]
+
+
 def test_long_odd_texts_take_linear_time():
     bpe, lib, rng = chunk_bpe.ChunkBpe(VOCABULARY), Tokenizer.from_file(VOCABULARY), random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(500)]
