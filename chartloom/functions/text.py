@@ -68,8 +68,13 @@ def human_number(x: Column) -> Column:
     return scaled.when(F.abs(x) >= 1e3, F.format_string("%.2fK", x / 1e3)).otherwise(F.format_string("%.2f", x.cast("double")))
 
 
-def human_bytes(x: Column) -> Column:
-    return F.when(x >= 2**30, F.format_string("%.2f GB", x / 2.0**30)).when(x >= 2**20, F.format_string("%.2f MB", x / 2.0**20)).when(x >= 2**10, F.format_string("%.2f KB", x / 2.0**10)).otherwise(F.format_string("%d B", x.cast("long")))
+def human_bytes(x: Column, largest: str = "GB") -> Column:
+    """Bytes in the greatest unit that they reach, ``largest`` (KB, MB or GB) at most."""
+    units = ("KB", "MB", "GB")
+    out = F.format_string("%d B", x.cast("long"))
+    for i, unit in enumerate(units[: units.index(largest) + 1], 1):
+        out = F.when(x >= 2 ** (10 * i), F.format_string(f"%.2f {unit}", x / 2.0 ** (10 * i))).otherwise(out)
+    return out
 
 
 def string_seed(text: Column) -> Column:

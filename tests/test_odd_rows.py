@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from chartloom.functions import text
 from chartloom.plans import catalog, columns  # noqa: F401
 from tests.compare import same, tables
 
@@ -24,3 +25,12 @@ def same_as_sql(spark, d, name):
 def test_customers_without_orders(spark, tmp_path):
     orders = "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 'O', '5-LOW'), (2, 1, 'F', '1-URGENT'), (3, 3, 'F', NULL)) t(o_orderkey, o_custkey, o_orderstatus, o_orderpriority)"
     same_as_sql(spark, folder(tmp_path, customer="SELECT range AS c_custkey FROM range(1, 5)", orders=orders), "caregiver_profile")
+
+
+def test_orders_of_many_bytes(spark, tmp_path):
+    """Keys from which the bytes pass each unit."""
+    keys = "(0), (1), (2), (1048), (1049), (1073741), (1073742), (8999999), (1099511628)"
+    orders = f"SELECT k::BIGINT AS o_orderkey, k % 15000 AS o_custkey, 'O' AS o_orderstatus, 1000.0 + k % 997 AS o_totalprice, '5-LOW' AS o_orderpriority FROM (VALUES {keys}) t(k)"
+    same_as_sql(spark, folder(tmp_path, orders=orders), "text_columns")
+    sizes = spark.createDataFrame([(1023,), (2**20,), (2**30,)], "n long").select(text.human_bytes(F.col("n")).alias("s"))
+    assert [r["s"] for r in sizes.collect()] == ["1023 B", "1.00 MB", "1.00 GB"]
