@@ -119,17 +119,28 @@ def blocks_topk(queries: DataFrame, items: DataFrame, block: list[str], k: int,
 def knn_join(queries: DataFrame, index: DataFrame, k: int, query_id: str, query_vec: str, item_id: str, item_vec: str, exclude_same: bool = False, digits: int = 6, sketch=None, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
     """As ``knn``, for any number of queries; nothing passes through the driver but two counts.
 
-    Queries and items are dealt by their ids (which do not repeat) into blocks, and every pair of blocks is a cell
-    of a grid that one task holds: one shuffle on the cell, in which queries are repeated once an item block and items once a query
-    block. Cells give k rows a query, which are merged by key.
+    Equal vectors are searched for once: queries by their distinct vectors, items by the k smallest ids of each distinct
+    vector (equal vectors have equal scores, so later ids are behind these). Both are dealt into blocks, and every pair of blocks
+    is a cell of a grid that one task holds: one shuffle on the cell, in which vectors of queries are repeated once an item block and items
+    once a query block. Cells give k rows a vector, which are merged by key and joined to the queries by their vectors.
     """
-    q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vec).alias("v")).where("v is not null")
-    x = index.select(F.col(item_id).cast("long").alias("x"), F.col(item_vec).alias("v")).where("v is not null")
-    rows, cols = max(1, -(-q.count() // query_block)), max(1, -(-x.count() // item_block))
+    q = queries.select(F.col(query_id).cast("long").alias(query_id), F.col(query_vec).cast("array<double>").alias("v")).where("v is not null")
+    x = index.select(F.col(item_id).cast("long").alias("x"), F.col(item_vec).cast("array<double>").alias("v")).where("v is not null")
+    most = k + 1 if exclude_same else k  # the query itself may be among them
+    looked = q.groupBy("v").agg(F.min(query_id).alias("q"))
+    kept = x.withColumn("no", F.row_number().over(Window.partitionBy("v").orderBy("x"))).where(F.col("no") <= most).drop("no")
+    rows, cols = max(1, -(-looked.count() // query_block)), max(1, -(-kept.count() // item_block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumn("row", F.pmod(F.xxhash64("q"), F.lit(rows)).cast("int")).withColumn("col", every(cols))
-    x = x.withColumn("col", F.pmod(F.xxhash64("x"), F.lit(cols)).cast("int")).withColumn("row", every(rows))
-    return _ranked(blocks_topk(q, x, ["row", "col"], k, _hits_schema(query_id, item_id), exclude_same, digits, sketch), query_id, item_id, k)
+    left = looked.withColumn("row", F.pmod(F.xxhash64("q"), F.lit(rows)).cast("int")).withColumn("col", every(cols))
+    right = kept.withColumn("col", F.pmod(F.xxhash64("x"), F.lit(cols)).cast("int")).withColumn("row", every(rows))
+    best = _ranked(blocks_topk(left, right, ["row", "col"], most, _hits_schema("q", item_id), False, digits, sketch), "q", item_id, most)
+    # a vector's hits by rank, at most ``most``
+    lists = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", item_id, "score"))).alias("hits"))
+    found = q.join(looked.join(lists, "q").select("v", "hits"), "v").select(query_id, "hits")
+    if exclude_same:
+        found = found.select(query_id, F.filter("hits", lambda h: h[item_id] != F.col(query_id)).alias("hits"))
+    out = found.select(query_id, F.posexplode(F.slice("hits", 1, k)).alias("rank", "h"))
+    return out.select(query_id, F.col(f"h.{item_id}").alias(item_id), F.col("h.score").alias("score"), (F.col("rank") + 1).alias("rank"))
 
 
 def prefetch(models: dict[str, tuple[DataFrame, DataFrame]], limit: int, merge: bool = False, k: int = 60) -> DataFrame:

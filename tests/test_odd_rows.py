@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartloom.functions import text
+from chartloom.operators import vectors
 from chartloom.plans import catalog, columns  # noqa: F401
 from tests.compare import same, tables
 
@@ -34,3 +35,20 @@ def test_orders_of_many_bytes(spark, tmp_path):
     same_as_sql(spark, folder(tmp_path, orders=orders), "text_columns")
     sizes = spark.createDataFrame([(1023,), (2**20,), (2**30,)], "n long").select(text.human_bytes(F.col("n")).alias("s"))
     assert [r["s"] for r in sizes.collect()] == ["1023 B", "1.00 MB", "1.00 GB"]
+
+
+def test_copies_of_vectors_are_searched_for_once(spark, monkeypatch):
+    """Many queries and items of few vectors: the blocks get each query vector once, and the k first items of each vector."""
+    rng, met = random.Random(5), []
+    rows = lambda n: [(i, [float(rng.randint(-2, 2)), float(rng.randint(-2, 2))]) for i in range(n)]
+    q, x = rows(400), rows(300)
+    whole = vectors.blocks_topk
+    monkeypatch.setattr(vectors, "blocks_topk", lambda left, right, *rest: met.append((left.count(), right.count())) or whole(left, right, *rest))
+    for same_id in (False, True):
+        frames = spark.createDataFrame(q, "q_id long, v array<double>"), spark.createDataFrame(x, "x_id long, v array<double>")
+        got = vectors.knn_join(*frames, 3, "q_id", "v", "x_id", "v", exclude_same=same_id)
+        want = set()
+        for i, a in q:
+            best = sorted((-(a[0] * b[0] + a[1] * b[1]), j) for j, b in x if not (same_id and i == j))[:3]
+            want |= {(i, j, -s + 0.0, r) for r, (s, j) in enumerate(best, 1)}
+        assert {tuple(r) for r in got.collect()} == want and met[-1][0] <= 25 and met[-1][1] <= 25 * (3 + same_id)
