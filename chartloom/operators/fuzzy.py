@@ -1,6 +1,8 @@
 """Fuzzy lookup of names by normalised insert/delete similarity: an exact signature join, then bounded blocks.
 
-Names are compared as distinct processed texts. For a distance d a title is cut into d + 1 segments; a query within d insertions
+Names are compared as distinct processed texts. Texts within two insertions and deletions have a text in common that takes at most
+two deletions from both together, so short ones are first joined on what deletions leave; of titles that leave the same no more
+than the k first ids count, however dense the names are. For a distance d a title is cut into d + 1 segments; a query within d insertions
 and deletions of it holds one of them unchanged, at most d places away (pigeonhole), so an equality join on length, segment
 number and segment finds every such pair. d is raised until a query's k best score more than any title farther away can.
 Queries that are left, as their nearest titles are far, meet the titles in blocks, in which common letters bound the similarity and only pairs
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,8 @@ from ..session import shared_folder
 DISTANCES, QUERY_BLOCK, TITLE_BLOCK = (1, 3), 512, 8192
 #: Titles with a segment of a query beyond which its pairs are left to the blocks.
 MOST_CANDIDATES = 2000
+#: Characters of queries that are joined on what deletions leave.
+SHORT = 64
 #: Counts of letters by which a pair is bounded; letters share a place by their code.
 LETTERS = 64
 #: What rounding to six digits may add.
@@ -112,6 +117,45 @@ def signature_pairs(queries: DataFrame, titles: DataFrame, d: int, most: int = M
     return looked, asked.join(looked, "q", "left_semi").join(cut, key).select("q", "t").distinct()
 
 
+def _deletions(df: DataFrame, col: str, wanted: dict[int, set[int]]) -> DataFrame:
+    """Rows of ``df`` with variant and gone: the distinct texts that ``gone`` deletions leave, the numbers by the text's length."""
+    once = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    ways = {0: lambda t: F.array(t), 1: once, 2: lambda t: F.flatten(F.transform(once(t), once))}
+    out = []
+    for gone, make in ways.items():
+        lengths = [n for n, gones in wanted.items() if gone in gones and n >= gone]
+        if lengths:
+            out.append(df.where(F.length(col).isin(lengths)).withColumn("variant", F.explode(F.array_distinct(make(F.col(col))))).withColumn("gone", F.lit(gone)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def within_two(queries: DataFrame, held: DataFrame, limit: int) -> tuple[DataFrame, DataFrame] | None:
+    """(looked, found): the queries q of at most SHORT characters, and of titles (t, id) within two insertions and deletions of these
+    the ``limit`` best by score and id, perhaps more, as q, id and score. None if there are none.
+
+    Titles of one length that leave the same text are as far from a query that leaves it too, or equal to it; so a title behind ``limit`` ids
+    of these is not among the best.
+    """
+    short = queries.where(F.length("q") <= SHORT)
+    asked = [r[0] for r in short.select(F.length("q")).distinct().collect()]  # SHORT + 1 at most
+    there = {r[0] for r in held.select(F.length("t")).where(F.length("t") <= SHORT + 2).distinct().collect()}
+    of_query, of_title = {}, {}
+    for n in asked:
+        for i, j in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2)):
+            if n - i >= 0 and n - i + j in there:
+                of_query.setdefault(n, set()).add(i)
+                of_title.setdefault(n - i + j, set()).add(j)
+    if not of_query:
+        return None
+    left = _deletions(short.select("q"), "q", of_query)
+    right = _deletions(held.select("t", "id"), "t", of_title)
+    first = Window.partitionBy("variant", "gone").orderBy("id")
+    kept = right.withColumn("no", F.row_number().over(first)).where(F.col("no") <= limit).select("variant", F.col("gone").alias("lost"), "t", "id")
+    near = left.join(kept, "variant").where(F.col("gone") + F.col("lost") <= 2).groupBy("q", "id", "t").agg(F.min(F.col("gone") + F.col("lost")).alias("far"))
+    total = F.length("q") + F.length("t")
+    return short, near.select("q", "id", F.when(total == 0, 100.0).otherwise(F.round(100.0 * (total - F.col("far")) / total, 6)).alias("score"))
+
+
 def _letters(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), LETTERS), np.int32)
     for i, t in enumerate(texts):
@@ -123,8 +167,9 @@ def _nearest_in_blocks(queries: DataFrame, titles: DataFrame, limit: int, query_
     """q, t, score, tried: the ``limit`` best titles (t, id) of each query and block; ``tried`` sums to the pairs compared."""
     rows, cols = max(1, -(-queries.count() // query_block)), max(1, -(-titles.count() // title_block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("q", F.pmod(F.xxhash64("q"), F.lit(rows)).alias("row"), every(cols).alias("col"))
-    right = titles.select("t", "id", F.pmod(F.xxhash64("t"), F.lit(cols)).alias("col"), every(rows).alias("row"))
+    # both sides' keys are of one type, as groups of keys of other types are dealt to other tasks
+    left = queries.select("q", F.pmod(F.xxhash64("q"), F.lit(rows)).cast("int").alias("row"), every(cols).alias("col"))
+    right = titles.select("t", "id", F.pmod(F.xxhash64("t"), F.lit(cols)).cast("int").alias("col"), every(rows).alias("row"))
 
     def search(_, a, b):
         b = b.sort_by("id")  # ties by id: the place in this order
@@ -165,19 +210,29 @@ def find_terms(queries: DataFrame, query: str, terms: DataFrame, term_id: str, t
     held = written(ids.withColumn("no", F.row_number().over(Window.partitionBy("t").orderBy("id"))).where(F.col("no") <= limit), "titles")
     titles = held.where("no = 1").select("t", "id")
     left, parts = names.select("q").distinct(), []
-    for d in distances if titles.count() > title_block else ():  # one block of titles is looked through at once
-        looked, pairs = signature_pairs(left, titles, d)
-        near = written(pairs.withColumn("score", _ratio("q", "t")), f"within-{d}")
-        ranked = near.join(held, "t").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") == limit)
+    large = titles.count() > title_block  # one block of titles is looked through at once
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+
+    def settled(near: DataFrame, looked: DataFrame, d: int, name: str) -> None:
+        """Queries whose answer is in ``near`` (q, id, score), which has all titles within d that may be in it, leave ``left``."""
+        nonlocal left
+        kth = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == limit)
         # a title at d + 1 or more has at most that many characters more than the query
         farther = 200.0 * F.length("q") / (2 * F.length("q") + d + 1)
-        done = written(ranked.where(F.col("score") > farther + SLACK).select("q").join(looked, "q", "left_semi"), f"done-{d}")
+        done = written(kth.where(F.col("score") > farther + SLACK).select("q").join(looked, "q", "left_semi"), name)
         parts.append(near.join(done, "q", "left_semi"))
         left = left.join(done, "q", "left_anti")
-    rest = _nearest_in_blocks(left, titles, limit, query_block, title_block).drop("tried")
-    found = rest
-    for part in parts:
-        found = found.unionByName(part)
+
+    near = within_two(left, held, limit) if large else None
+    if near:
+        settled(written(near[1].withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("rank"), "deletions"), near[0], 2, "done-deletions")
+    for d in distances if large else ():
+        if left.isEmpty():
+            break
+        looked, pairs = signature_pairs(left, titles, d)
+        settled(written(pairs.withColumn("score", _ratio("q", "t")), f"within-{d}").join(held, "t").select("q", "id", "score"), looked, d, f"done-{d}")
+    if not parts or not left.isEmpty():
+        parts.append(_nearest_in_blocks(left, titles, limit, query_block, title_block).join(held, "t").select("q", "id", "score"))
     w = Window.partitionBy(query).orderBy(F.desc("score"), term_id)
-    out = found.join(held, "t").join(names, "q").select(F.col("name").alias(query), F.col("id").alias(term_id), "score")
+    out = reduce(DataFrame.unionByName, parts).join(names, "q").select(F.col("name").alias(query), F.col("id").alias(term_id), "score")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

@@ -1,14 +1,12 @@
 """Rows that the driver's small tables lack: against the queries' own SQL, or against plain searches."""
 
-import datetime
 import random
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from chartloom.functions import text
-from chartloom.operators import vectors
+from chartloom.operators import fuzzy, vectors
 from chartloom.plans import catalog, columns  # noqa: F401
 from tests.compare import same, tables
 
@@ -52,3 +50,35 @@ def test_copies_of_vectors_are_searched_for_once(spark, monkeypatch):
             best = sorted((-(a[0] * b[0] + a[1] * b[1]), j) for j, b in x if not (same_id and i == j))[:3]
             want |= {(i, j, -s + 0.0, r) for r, (s, j) in enumerate(best, 1)}
         assert {tuple(r) for r in got.collect()} == want and met[-1][0] <= 25 and met[-1][1] <= 25 * (3 + same_id)
+
+
+def test_dense_names_need_no_blocks(spark, monkeypatch):
+    """Numbered names share all but a few characters: each has many near ones, and no segment tells them apart."""
+    names = [f"Customer#{i:09}" for i in range(700)] + [f"Customer#{i:09}" for i in range(5)] + ["Customer", "", "Supplier#000000001"]
+    terms = list(enumerate(names))
+    met, blocks = [], fuzzy._nearest_in_blocks
+    monkeypatch.setattr(fuzzy, "_nearest_in_blocks", lambda left, *rest: met.append(left.count()) or blocks(left, *rest))
+    asked = names[:700:20] + ["Customer#00000001", "Customer#0000000001", "Customer#00000000011"]
+    for extra, left in (([], 0), (["something else"], 1)):
+        del met[:]
+        got = fuzzy.find_terms(spark.createDataFrame([(q,) for q in asked + extra], "q string"), "q", spark.createDataFrame(terms, "id long, title string"), "id", "title", 3, title_block=100)
+        want = set()
+        for q in asked + extra:
+            best = sorted((-round(fuzzy.indel_ratio(fuzzy.processed(q), fuzzy.processed(t)), 6), i) for i, t in terms)[:3]
+            want |= {(q, i, -s, r) for r, (s, i) in enumerate(best, 1)}
+        assert {tuple(r) for r in got.collect()} == want and sum(met) == left
+
+
+def test_blocks_of_names_meet_in_any_task(spark):
+    """Every query meets every title, however many tasks the blocks are dealt to."""
+    q, t = ([(f"{c}{i:03}",) for i in range(60)] for c in "qt")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        titles = spark.createDataFrame([(x, i) for i, (x,) in enumerate(t)], "t string, id int")
+        got = fuzzy._nearest_in_blocks(spark.createDataFrame(q, "q string"), titles, 60, 7, 11).select("q", "t").distinct().count()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == 3600
