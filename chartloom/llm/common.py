@@ -4,19 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import map_arrow  # noqa: F401
+
 # Whitespace as the operators' contracts define it: space and bytes 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, as ``spark.checkpoint.dir`` names it.
 
@@ -59,25 +57,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """``mapInArrow`` for long texts: a session's batches are held to BATCH_ROWS rows and BATCH_BYTES bytes from here on
-    (results do not depend on it), and a Python worker returns Arrow's memory at the end of a task."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-    def lean(batches):
-        import pyarrow as pa
-
-        try:
-            yield from fn(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-
-    return df.mapInArrow(lean, schema)
-
-
 class Scratch:
     """Work tables in the shared folder, deleted when no later plan reads them."""
 

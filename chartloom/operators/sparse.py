@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
 from .vectors import _ranked
 
 #: Items of a block; terms of all queries that tasks are sent.
@@ -61,7 +62,7 @@ class SparseIndex:
                     columns = [pa.array(np.full(len(terms), block.as_py(), np.int64)), terms.values, tops.values, counts.values, of(ids.values.take(items.values)), of(weights.values)]
                     yield pa.RecordBatch.from_arrays(columns, names=["block", "term", "top", "n", "items", "weights"])
 
-        return self.blocks.mapInArrow(lists, "block long, term string, top double, n int, items array<long>, weights array<double>")
+        return map_arrow(self.blocks, lists, "block long, term string, top double, n int, items array<long>, weights array<double>")
 
 
 def word_vectors(df: DataFrame, id_col: str, text_col: str, pattern: str = "[A-Za-z]+") -> DataFrame:
@@ -78,7 +79,7 @@ def word_vectors(df: DataFrame, id_col: str, text_col: str, pattern: str = "[A-Z
                 lists = [pa.ListArray.from_arrays(ends, v) for v in (terms, pa.array(1 + np.log(counts)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "terms", "weights"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(count, VECTOR)
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("id"), text_col), count, VECTOR)
 
 
 def _block(no: int, ids: pa.Array, terms: pa.ListArray, weights: pa.ListArray, schema: pa.Schema) -> pa.RecordBatch:
@@ -124,7 +125,7 @@ def sparse_index(vectors: DataFrame, home: str, block_items: int = BLOCK_ITEMS)
 
     total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + F.coalesce(w, F.lit(0.0)))
     dealt = vectors.select("id", "terms", "weights").where("id is not null").withColumn("total", total).repartition(F.xxhash64("id")).sortWithinPartitions("total")
-    dealt.select("id", "terms", "weights").mapInArrow(cut, BLOCK).write.option("compression", "zstd").parquet(folder)
+    map_arrow(dealt.select("id", "terms", "weights"), cut, BLOCK).write.option("compression", "zstd").parquet(folder)
     blocks = spark.read.schema(BLOCK).parquet(folder)
     return SparseIndex(blocks, blocks.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0])
 
@@ -207,7 +208,7 @@ def _scores(index: SparseIndex, q: _Queries, k: int, digits: int, chosen, floor:
         columns = [pa.array(q.ids[own]), pa.array(x), pa.array(s), pa.array(np.where(first, read[own], 0))]
         yield pa.RecordBatch.from_arrays(columns, names=["q", "x", "score", "read"])
 
-    return index.blocks.mapInArrow(search, "q long, x long, score double, read long")
+    return map_arrow(index.blocks, search, "q long, x long, score double, read long")
 
 
 def _floors(hits: DataFrame, k: int) -> DataFrame:
@@ -233,7 +234,7 @@ def _search_in_tasks(index: SparseIndex, rows: list, k: int, digits: int, seeds:
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), batch.column("block")[i].as_py(), np.int64)), pa.array(bound[own])], names=["q", "block", "score"])
 
     # ``seeds`` blocks and one score a query come back
-    first = _ranked(index.blocks.select("block", "terms", "tops").mapInArrow(bounds, "q long, block long, score double"), "q", "block", seeds).collect()
+    first = _ranked(map_arrow(index.blocks.select("block", "terms", "tops"), bounds, "q long, block long, score double"), "q", "block", seeds).collect()
     picked: dict[int, list[int]] = {}
     for r in first:
         picked.setdefault(r["block"], []).append(r["q"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of a batch that Python tasks are handed.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for long rows: a session's batches are held to BATCH_ROWS rows and BATCH_BYTES bytes from here on
+    (results do not depend on it), and a Python worker returns Arrow's memory at the end of a task."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def lean(batches):
+        import pyarrow as pa
+
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(lean, schema)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """``name`` below the folder that all machines share (``spark.checkpoint.dir``).
 

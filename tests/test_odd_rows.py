@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from chartloom.functions import text
-from chartloom.operators import fuzzy, vectors
+from chartloom.operators import fuzzy, segments, sparse, vectors
 from chartloom.plans import catalog, columns  # noqa: F401
 from tests.compare import same, tables
 
@@ -82,3 +84,26 @@ def test_blocks_of_names_meet_in_any_task(spark):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert got == 3600
+
+
+@pytest.mark.parametrize("rows", [1, 7])
+def test_segments_are_handed_on_in_parts(spark, monkeypatch, rows):
+    """Whatever number of segments a batch holds: the same segments, never more than so many at once; batches are held to so many bytes."""
+    made, whole = [], segments.map_arrow
+    monkeypatch.setattr(segments, "SEGMENT_ROWS", rows)
+    monkeypatch.setattr(segments, "map_arrow", lambda df, run, schema: made.append(run) or whole(df, run, schema))
+    kept = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    try:
+        for k in kept:
+            spark.conf.unset(f"spark.sql.execution.arrow.{k}")
+        texts = [(i, None if i % 5 == 0 else "A one. B two. " * i) for i in range(12)]
+        sized = segments.segment_table(spark.createDataFrame(texts, "id long, t string").coalesce(1), "id", "t", segments.by_pattern(r"\. ", 3))
+        want = [(i, no, *s) for i, t in texts for no, s in enumerate(segments.by_pattern(r"\. ", 3)(t or ""), 1)]
+        assert sorted(map(tuple, sized.collect())) == want
+        handed = list(made[0]([pa.record_batch({"id": pa.array([i for i, _ in texts]), "t": pa.array([t for _, t in texts], pa.string())})]))
+        assert max(b.num_rows for b in handed) <= rows and sum(b.num_rows for b in handed) == len(want)
+        sparse.word_vectors(spark.createDataFrame(texts, "id long, t string"), "id", "t")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
