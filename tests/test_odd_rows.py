@@ -107,3 +107,15 @@ def test_segments_are_handed_on_in_parts(spark, monkeypatch, rows):
     finally:
         for k, v in kept.items():
             spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
+
+
+def test_batches_of_word_vectors_are_bounded(spark):
+    kept = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    try:
+        for k in kept:
+            spark.conf.unset(f"spark.sql.execution.arrow.{k}")
+        sparse.word_vectors(spark.createDataFrame([(1, "a b")], "id long, t string"), "id", "t")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
