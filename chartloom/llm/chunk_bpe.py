@@ -26,6 +26,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -48,7 +49,7 @@ _LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(0x250)) if unicodedata.c
 PLAIN_PIECES = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 #: Bytes that the memos of a Python worker may hold (ids; or steps of chunks and of pieces), and token pairs remembered.
-IDS_BYTES, STEPS_BYTES, PIECES_BYTES, PAIRS_MEMO = 80 << 20, 64 << 20, 32 << 20, 300_000
+IDS_BYTES, STEPS_BYTES, PIECES_BYTES, PAIRS_MEMO = 80 << 20, 96 << 20, 96 << 20, 300_000
 #: Characters that are worked on at a time, and of a piece that is still worked on in whole.
 SLICE_CHARS, LONG_PIECE = 1 << 20, 4096
 
@@ -122,6 +123,21 @@ class ChunkBpe:
         self.ids, self.steps, self.pieces = Memo(IDS_BYTES), Memo(STEPS_BYTES), Memo(PIECES_BYTES)
         self.pairs: dict[int, bool] = {}
 
+    @cached_property
+    def ending(self) -> tuple[dict[str, tuple[int | None, int | None]], dict[str, tuple[int, ...]]]:
+        """Numbers of tokens that do not and that do end a word, by their symbols; and by what tokens end with (three
+        symbols, or all of a shorter one), the lengths that a token ending there may have, the longest first."""
+        symbols = self.inner.keys() | self.final.keys()
+        numbers = {s: (self.inner.get(s), self.final.get(s)) for s in symbols}
+        lengths: dict[str, set[int]] = {}
+        for s in symbols:
+            lengths.setdefault(s[-3:], set()).add(len(s))
+        for tail in [t for t in lengths if len(t) == 3]:
+            lengths[tail] |= {n for n in (1, 2) if tail[-n:] in symbols}
+        for tail in [t for t in lengths if len(t) == 2]:
+            lengths[tail].add(1)
+        return numbers, {t: tuple(sorted(own, reverse=True)) for t, own in lengths.items()}
+
     @staticmethod
     def chunks(text: str) -> list[str]:
         if ODD_SPACE.search(text):
@@ -201,9 +217,9 @@ class ChunkBpe:
         split = [(chunk, self._split(chunk)) for chunk in chunks]
         new = list(self.pieces.missing({piece for _, own in split if own for piece in own}))
         counts = self._piece_counts(new)
-        for piece, e in zip(new, self._encoded(new), strict=True):
+        for piece, n in zip(new, self._totals(new), strict=True):
             own = counts[piece]
-            self.pieces.put(piece, _steps(own if own[-1] == len(e.ids) else self._library_counts(piece)))
+            self.pieces.put(piece, _steps(own if own[-1] == n else self._library_counts(piece)))
         wide, known = {}, self.pieces.new.__getitem__
         for chunk, own in split:
             got = own and list(map(known, own))
@@ -221,6 +237,8 @@ class ChunkBpe:
         """Pieces that tile a chunk; None if normalising reshapes it, or it holds a special string or a very long piece."""
         if chunk.isascii():
             low = chunk.lower()
+            if low.isalpha() and len(low) <= LONG_PIECE:
+                return [low]
         elif not unicodedata.is_normalized("NFC", chunk):
             return None
         else:
@@ -232,6 +250,12 @@ class ChunkBpe:
         own = PIECES.findall(low)
         return own if sum(map(len, own)) == len(chunk) and max(map(len, own)) <= LONG_PIECE else None
 
+    def _totals(self, pieces: list[str]) -> list[int]:
+        """The library's number of tokens of each piece; the model alone tells those of plain letters, which nothing reshapes."""
+        one, rest = self.lib.model.tokenize, [p for p in pieces if not (p.isascii() and p.isalpha())]
+        whole = {p: len(e.ids) for p, e in zip(rest, self._encoded(rest), strict=True)}
+        return [whole[p] if p in whole else len(one(p)) for p in pieces]
+
     def _library_counts(self, piece: str) -> list[int]:
         return [len(e.ids) for at in range(1, len(piece) + 1, 64) for e in self._encoded([piece[:k] for k in range(at, min(at + 64, len(piece) + 1))])]
 
@@ -273,7 +297,8 @@ class ChunkBpe:
                 marks = ["".join(self.alphabet[b] for b in c.encode()) for c in piece]
                 jobs.append(("".join(marks), np.cumsum([len(m) for m in marks]).tolist(), piece))
         jobs.sort(key=lambda j: j[0])
-        inner, final, longest, known, fits = self.inner.get, self.final.get, self.longest, self.pairs.get, self._fits
+        known, fits = self.pairs.get, self._fits
+        numbers, lengths = (table.get for table in self.ending)
         out, before = {}, ""
         last, count, close = [self.start], [0], [0]  # by bytes of the prefix; filled up to len(before), open states to one less
         for sym, ends, piece in jobs:
@@ -289,23 +314,23 @@ class ChunkBpe:
                 if ending:
                     close.append(0)
                     ending = stops is None or i in stops
-                for j in range(i - longest if i > longest else 0, i):
-                    part = sym[j:i]
-                    if going:
-                        t = inner(part)
-                        if t is not None:
-                            ok = known(last[j] + t)
-                            if fits(last[j], t) if ok is None else ok:
-                                last.append(t << 16)
-                                count.append(count[j] + 1)
-                                going = False
-                    if ending:
-                        t = final(part)
-                        if t is not None:
-                            ok = known(last[j] + t)
-                            if fits(last[j], t) if ok is None else ok:
-                                close[i] = count[j] + 1
-                                ending = False
+                for size in lengths(sym[i - 3 : i] if i > 3 else sym[:i], (2, 1)):
+                    j = i - size
+                    two = numbers(sym[j:i]) if j >= 0 else None
+                    if two is None:
+                        continue
+                    t, closing = two
+                    if going and t is not None:
+                        ok = known(last[j] + t)
+                        if fits(last[j], t) if ok is None else ok:
+                            last.append(t << 16)
+                            count.append(count[j] + 1)
+                            going = False
+                    if ending and closing is not None:
+                        ok = known(last[j] + closing)
+                        if fits(last[j], closing) if ok is None else ok:
+                            close[i] = count[j] + 1
+                            ending = False
                     if not going and not ending:
                         break
             before = sym
@@ -321,6 +346,10 @@ class ChunkBpe:
             self.pairs.clear()
         a, b = self.tokens[left >> 16], self.tokens[t]
         ended = b.endswith(WORD_END)
+        if ended and a:
+            found = self.lib.model.tokenize(a + b.removesuffix(WORD_END))
+            ok = self.pairs[left + t] = len(found) == 2 and found[0].id == left >> 16 and found[1].id == t
+            return ok
         ok = self.pairs[left + t] = self._merge(a + b.removesuffix(WORD_END), ended) == ([a, b] if a else [b])
         return ok
 

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from chartloom.llm import exact_dedup, line_dedup, mixing
+from chartloom.llm import chunk_bpe, exact_dedup, line_dedup, mixing
 
 DOCS = "doc_id long, text string"
 
@@ -59,3 +59,15 @@ def test_exact_dedup_over_two_runs(spark, tmp_path):
             want.append((i, min(same), len(same), i == min(same)))
         got = exact_dedup.exact_dedup(spark.createDataFrame(part, DOCS), home=home).collect()
         assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == sorted(want)
+
+
+# ---- 1 ----------------------------------------------------------------------------------------
+def test_prefix_counts_try_only_lengths_that_tokens_have():
+    bpe = chunk_bpe.ChunkBpe(public_tokenizers.path("word_bpe_49k.json"))
+    numbers, lengths = bpe.ending
+    for s in [*bpe.inner, *bpe.final]:
+        assert numbers[s] == (bpe.inner.get(s), bpe.final.get(s)) and len(s) in lengths[s[-3:]]
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdluzq") for _ in range(rng.randint(1, 20))) for _ in range(300)]
+    for word, counts in bpe._piece_counts(words).items():
+        assert counts == bpe._library_counts(word)
