@@ -18,8 +18,9 @@ No group of equal sections is expanded into all its pairs:
   weak. As s of the 1 + s agreeing sections may be weak, a set with at most s weak ones is left out
   of weak groups: a strong section finds its partners;
 * the sets beyond that, crowded families, are joined anew on their rarest shingles (a prefix filter).
-  There, sets that are one component by now need no comparing, and up to ``SMALL`` sets a round from
-  outside a group's largest component face the rest of it, until nothing is unresolved.
+  There, sets that are one component by now need no comparing, and sets from outside a group's largest
+  component face the rest of it: up to ``SMALL`` in the first round, four times as many in each further one
+  as long as they make at most ``FACED`` pairs a group, until nothing is unresolved.
 
 So every link between different components is verified or ruled out, none is capped away.
 
@@ -46,6 +47,10 @@ from .word_hashes import U, mix, shingle_set
 
 #: Unresolved groups of at most so many sets are settled in one round, member by member.
 SMALL = 16
+#: Pairs of a crowded group in a round, beyond those of SMALL sets.
+FACED = 1 << 18
+#: Sets to a part of the tables that are written about them, so that a few sets make few files.
+SETS_A_PART, CROWDED_A_PART = 5000, 1000
 #: Bits of the sketch by which pairs are ruled out before their sets are fetched.
 SKETCH_BITS = 2048
 FIRST_BAND = 2
@@ -240,31 +245,40 @@ def _rarest_shingles(sets: DataFrame, num: int, den: int) -> DataFrame:
     return first.join(spaces, (F.col("id") == F.col("i")) & (F.col("place") <= F.col("prefix"))).select(F.xxhash64("code", "gram").alias("key"), "id", "n", "side")
 
 
-def _led(keyed: DataFrame) -> DataFrame:
+def _led(keyed: DataFrame, parts: int) -> DataFrame:
     """Rows of keys that more than one set has, with the least of them as leader. Most keys have one set, so
     the counts move without ids and the leaders are found among what is left."""
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    rows = spill(keyed.join(shared, "key"), "ngram-shared")
+    path = new_path(keyed.sparkSession, "ngram-shared")
+    rows = spill(keyed.join(shared, "key").coalesce(parts), "ngram-shared", path)
     leaders = rows.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("leader"))
-    return spill(rows.join(leaders, F.col("key") == F.col("k")).drop("k"), "ngram-groups")
+    groups = spill(rows.join(leaders, F.col("key") == F.col("k")).drop("k").coalesce(parts), "ngram-groups")
+    drop_path(keyed.sparkSession, path)
+    return groups
 
 
 class _Verifier:
     """Pairs checked so far, and the round that all stages share."""
 
-    def __init__(self, reps: DataFrame, texts: DataFrame, k: int, num: int, den: int):
+    def __init__(self, reps: DataFrame, texts: DataFrame, k: int, num: int, den: int, parts: int):
+        self.parts = parts  # of what is written, by the number of sets
         self.sketches, self.texts, self.k, self.num, self.den = reps.select("id", "n", "sketch"), texts, k, num, den
         self.done: DataFrame | None = None  # a, b, link, and bounds lo and hi of the Jaccard distance
         self.sets: DataFrame | None = None
-        self.path = ""
+        self.known: DataFrame | None = None  # a, b: what links found before make one component
+        self.path, self.set_paths = "", []
         self.near = (den - num) / den + 1e-9
 
+    def put(self, df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+        return spill(df.coalesce(self.parts), name, path)
+
     def fetch(self, ids: DataFrame) -> DataFrame:
         """The sets of ``ids``; those not made before are made from their texts."""
         new = ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti")
         if self.sets is None or new.limit(1).count():
             own = self.texts.join(new, "id").groupBy("id").agg(F.min("text").alias("text"))
-            part = spill(_sets(own, self.k), "ngram-sets")
+            self.set_paths.append(new_path(ids.sparkSession, "ngram-sets"))
+            part = self.put(_sets(own, self.k), "ngram-sets", self.set_paths[-1])
             self.sets = part if self.sets is None else self.sets.unionByName(part)
         return self.sets.join(ids, "id", "left_semi")
 
@@ -277,23 +291,24 @@ class _Verifier:
         if self.done is not None:
             pairs = pairs.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
         paths = [new_path(spark, f"ngram-{name}") for name in ("pairs", "bounds", "ids")]
-        pairs = spill(pairs, "ngram-pairs", paths[0])
+        pairs = self.put(pairs, "ngram-pairs", paths[0])
         side = lambda x: self.sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         both = F.col("na") + F.col("nb")
         most = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("d", F.greatest(apart.cast("long"), F.abs(F.col("na") - F.col("nb"))))
-        bounds = spill(most.select("a", "b", (2 * F.col("d") / (both + F.col("d"))).alias("lo"), (F.col("d") * (den + num) <= both * (den - num)).alias("may")), "ngram-bounds", paths[1])
+        bounds = self.put(most.select("a", "b", (2 * F.col("d") / (both + F.col("d"))).alias("lo"), (F.col("d") * (den + num) <= both * (den - num)).alias("may")), "ngram-bounds", paths[1])
         may = bounds.where("may").select("a", "b")
-        ids = spill(may.select(F.col("a").alias("id")).union(may.select("b")).distinct(), "ngram-ids", paths[2])
+        ids = self.put(may.select(F.col("a").alias("id")).union(may.select("b")).distinct(), "ngram-ids", paths[2])
         far = 1 - F.col("inter") / F.col("total")
         seen = _overlaps(may, self.fetch(ids)).select("a", "b", far.alias("lo"), far.alias("hi"), (F.col("inter") * den >= F.col("total") * num).alias("link"))
         new = seen.unionByName(bounds.where("not may").select("a", "b", "lo", F.lit(1.0).alias("hi"), F.lit(False).alias("link")))
         before, self.path = self.path, new_path(spark, "ngram-checked")
-        self.done = spill(new if self.done is None else self.done.unionByName(new), "ngram-checked", self.path)
+        self.done = self.put(new if self.done is None else self.done.unionByName(new), "ngram-checked", self.path)
         drop_path(spark, *paths, *([before] if before else []))
 
     def links(self) -> DataFrame:
-        return self.done.where("link").select("a", "b")
+        links = self.done.where("link").select("a", "b")
+        return links if self.known is None else links.union(self.known)
 
     def round(self, groups: DataFrame) -> DataFrame:
         """Compare groups with their leaders, settle small remainders; the rows of large ones come back."""
@@ -305,7 +320,7 @@ class _Verifier:
         apart = seen.where("not link").groupBy(F.col("key").alias("g")).agg(F.min("lo").alias("nearest"))
         rest = seen.join(apart, F.col("key") == F.col("g")).where((~F.col("link")) | (F.col("hi") >= F.col("nearest") - self.near)).drop("g", "nearest")
         sizes = rest.groupBy(F.col("key").alias("h")).agg(F.count("*").alias("size")).where("size > 1")
-        left = spill(rest.join(sizes, F.col("key") == F.col("h")).drop("h"), "ngram-rest")
+        left = self.put(rest.join(sizes, F.col("key") == F.col("h")).drop("h"), "ngram-rest")
         small = left.where(F.col("size") <= SMALL)
         # at most SMALL - 1 partners each, the unlinked against all that are left in the group
         x = small.where("not link").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"))
@@ -322,45 +337,56 @@ class _Verifier:
         """Settle groups of two size classes of which one has few sets; the rest comes back."""
         sides = keyed.groupBy(F.col("key").alias("k")).agg(F.count_if(F.col("side") == 1).alias("lower"), F.count_if(F.col("side") == 2).alias("higher"))
         few = F.least("lower", "higher")
-        both = spill(keyed.join(sides, F.col("key") == F.col("k")).where((F.col("side") == 0) | (few > 0)), "ngram-sides")
+        both = self.put(keyed.join(sides, F.col("key") == F.col("k")).where((F.col("side") == 0) | (few > 0)), "ngram-sides")
         cross = both.where((F.col("side") > 0) & (few <= SMALL))
         x = cross.where("side = 1").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.lit(0.0).alias("lx"), F.lit(1.0).alias("hx"))
         y = cross.where("side = 2").select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.lit(0.0).alias("ly_"), F.lit(1.0).alias("hy"))
         self.check(self._possible(x.join(y, "key")))
         return both.where((F.col("side") == 0) | (few > SMALL)).select("key", "id", "n")
 
-    def across(self, large: DataFrame) -> DataFrame:
-        """Up to SMALL sets of each group's smaller components face the rest of it and are done; what stays open comes back."""
-        labels = connected_components(self.links())
+    def across(self, large: DataFrame, most_faces: int = SMALL) -> DataFrame:
+        """Up to ``most_faces`` sets of each group's smaller components face the rest of it and are done; what stays open comes back."""
+        labels = connected_components(self.links(), parts=self.parts)
         known = large.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", "lo", "hi", F.coalesce("component", "id").alias("part"))
         parts = known.groupBy("key", "part").agg(F.count("*").alias("m"))
-        most = parts.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        sized = parts.join(most.select(F.col("key").alias("k"), F.col("top.part").alias("main")), F.col("key") == F.col("k")).select("k", F.col("part").alias("p"), "m", "main")
+        most = parts.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts"), F.sum("m").alias("all")).where("parts > 1")
+        sized = parts.join(most.select(F.col("key").alias("k"), F.col("top.part").alias("main"), "all"), F.col("key") == F.col("k")).select("k", F.col("part").alias("p"), "m", "main", "all")
         rows = known.join(sized, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))).withColumn("minor", F.col("part") != F.col("main"))
         order = Window.partitionBy("key").orderBy("m", "id")
-        turn = rows.where("minor").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SMALL).select(F.col("key").alias("f_key"), F.col("id").alias("f_id"))
-        open_ = spill(rows.join(turn, (F.col("key") == F.col("f_key")) & (F.col("id") == F.col("f_id")), "left").select("key", "id", "n", "lo", "hi", "part", "minor", F.col("f_id").isNotNull().alias("faces")), "ngram-open")
+        turn = rows.where("minor").withColumn("turn", F.row_number().over(order)).where((F.col("turn") <= SMALL) | (F.col("turn") <= most_faces) & (F.col("turn") * F.col("all") <= FACED)).select(F.col("key").alias("f_key"), F.col("id").alias("f_id"))
+        open_ = self.put(rows.join(turn, (F.col("key") == F.col("f_key")) & (F.col("id") == F.col("f_id")), "left").select("key", "id", "n", "lo", "hi", "part", "minor", F.col("f_id").isNotNull().alias("faces")), "ngram-open")
         x = open_.where("faces").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"), F.col("part").alias("px"))
         y = open_.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("lo").alias("ly_"), F.col("hi").alias("hy"), F.col("part").alias("py"))
         self.check(self._possible(x.join(y, "key").where("px <> py")))
         more = open_.where("minor and not faces").select(F.col("key").alias("k")).distinct()
-        return spill(open_.where("not faces").join(more, F.col("key") == F.col("k"), "left_semi").select("key", "id", "n", "lo", "hi"), "ngram-rest")
+        return self.put(open_.where("not faces").join(more, F.col("key") == F.col("k"), "left_semi").select("key", "id", "n", "lo", "hi"), "ngram-rest")
 
 
 def jaccard_links(reps: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Verified links a, b between representatives that suffice for the components of all links."""
-    groups = _led(reps.select("id", F.explode("keys").alias("key")))
+    every = 1 + reps.count() // SETS_A_PART
+    groups = _led(reps.select("id", F.explode("keys").alias("key")), every)
     groups = groups.join(reps.select("id", "n", "spare"), "id")
-    verify = _Verifier(reps, texts, k, num, den)
+    verify = _Verifier(reps, texts, k, num, den, every)
     large = verify.round(groups)
     weak = large.groupBy("id").agg(F.countDistinct("key").alias("weak"))
-    crowded = spill(large.join(weak, "id").where(F.col("weak") > F.col("spare")).select("id").distinct(), "ngram-crowded")
-    if crowded.limit(1).count():
-        groups = _led(verify.two_sided(_rarest_shingles(verify.fetch(crowded), num, den)))
-        large = verify.round(groups)
-        while large.limit(1).count():
-            large = verify.across(large)
-    return verify.links()
+    crowded = verify.put(large.join(weak, "id").where(F.col("weak") > F.col("spare")).select("id").distinct(), "ngram-crowded")
+    n_crowded = crowded.count()
+    if not n_crowded:
+        return verify.links()
+    parts = 1 + n_crowded // CROWDED_A_PART
+    few = _Verifier(verify.put(reps.join(crowded, "id", "left_semi").select("id", "n", "sketch"), "ngram-few"), texts, k, num, den, parts)
+    few.sets = verify.put(verify.fetch(crowded), "ngram-few")
+    drop_path(reps.sparkSession, *verify.set_paths)
+    within = [F.col(c) == F.col("id") for c in ("a", "b")]
+    few.done = few.put(verify.done.join(crowded, within[0], "left_semi").join(crowded, within[1], "left_semi"), "ngram-checked")
+    few.known = few.put(connected_components(verify.links()).select(F.col("node").alias("a"), F.col("component").alias("b")).join(crowded, within[0], "left_semi").where("a <> b"), "ngram-known")
+    large = few.round(_led(few.two_sided(_rarest_shingles(few.sets, num, den)), parts))
+    faces = SMALL
+    while large.limit(1).count():
+        large = few.across(large, faces)
+        faces *= 4
+    return verify.links().union(few.links())
 
 
 def ngram_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

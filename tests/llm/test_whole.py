@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from chartloom.llm import chunk_bpe, exact_dedup, line_dedup, mixing
+from chartloom.llm import chunk_bpe, exact_dedup, line_dedup, mixing, ngram_join
 
 DOCS = "doc_id long, text string"
 
@@ -61,6 +61,24 @@ def test_exact_dedup_over_two_runs(spark, tmp_path):
         assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == sorted(want)
 
 
+# ---- 8 ----------------------------------------------------------------------------------------
+def test_a_crowded_family_takes_few_rounds(spark, monkeypatch):
+    """200 sets of which none link, all in one group: the sets that face the rest multiply from round to round."""
+    schema = "key long, id long, n long, lo double, hi double"
+    large = spark.createDataFrame([(1, i, 40, 0.5, 0.5) for i in range(200)], schema)
+    sketches = spark.createDataFrame([(i, 40, [0] * 32) for i in range(200)], "id long, n long, sketch array<long>")
+    few = ngram_join._Verifier(sketches, None, 3, 90, 100, 1)
+    few.sets = spark.createDataFrame([(i, [i * 100 + j for j in range(40)]) for i in range(200)], "id long, shingles array<long>")
+    few.done = spark.createDataFrame([], "a long, b long, lo double, hi double, link boolean")
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    faces, rounds = 2, 0
+    while large.limit(1).count():
+        large, faces, rounds = few.across(large, faces), faces * 4, rounds + 1
+    assert rounds <= 5
+    pairs = {(r["a"], r["b"]) for r in few.done.collect()}
+    assert len(pairs) == 200 * 199 // 2  # all were compared
+
+
 # ---- 1 ----------------------------------------------------------------------------------------
 def test_prefix_counts_try_only_lengths_that_tokens_have():
     bpe = chunk_bpe.ChunkBpe(public_tokenizers.path("word_bpe_49k.json"))
