@@ -18,9 +18,12 @@ No group of equal sections is expanded into all its pairs:
   weak. As s of the 1 + s agreeing sections may be weak, a set with at most s weak ones is left out
   of weak groups: a strong section finds its partners;
 * the sets beyond that, crowded families, are joined anew on their rarest shingles (a prefix filter).
-  There, sets that are one component by now need no comparing, and sets from outside a group's largest
-  component face the rest of it: up to ``SMALL`` in the first round, four times as many in each further one
-  as long as they make at most ``FACED`` pairs a group, until nothing is unresolved.
+  There, sets that are one component by now need no comparing. Groups that stay large are told apart by what
+  their sets differ in from what most of the group holds (see ``apart``): sets that differ little link for
+  certain, others only with those that differ in the same shingles, by which they are joined anew;
+* if groups are large after ``PIVOTS`` rounds of that, sets from outside a group's largest component face the
+  rest of it: up to ``SMALL`` in the first round, four times as many in each further one as long as they make
+  at most ``FACED`` pairs a group, until nothing is unresolved.
 
 So every link between different components is verified or ruled out, none is capped away.
 
@@ -47,6 +50,8 @@ from .word_hashes import U, mix, shingle_set
 
 #: Unresolved groups of at most so many sets are settled in one round, member by member.
 SMALL = 16
+#: Rounds in which crowded groups are told apart by differences, before sets face each other.
+PIVOTS = 4
 #: Pairs of a crowded group in a round, beyond those of SMALL sets.
 FACED = 1 << 18
 #: Sets to a part of the tables that are written about them, so that a few sets make few files.
@@ -246,15 +251,10 @@ def _rarest_shingles(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _led(keyed: DataFrame, parts: int) -> DataFrame:
-    """Rows of keys that more than one set has, with the least of them as leader. Most keys have one set, so
-    the counts move without ids and the leaders are found among what is left."""
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    path = new_path(keyed.sparkSession, "ngram-shared")
-    rows = spill(keyed.join(shared, "key").coalesce(parts), "ngram-shared", path)
-    leaders = rows.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("leader"))
-    groups = spill(rows.join(leaders, F.col("key") == F.col("k")).drop("k").coalesce(parts), "ngram-groups")
-    drop_path(keyed.sparkSession, path)
-    return groups
+    """Rows of keys that more than one set has, with the least of them as leader; they move once, by their key."""
+    own = Window.partitionBy("key")
+    rows = keyed.withColumns({"c": F.count("*").over(own), "leader": F.min("id").over(own)})
+    return spill(rows.where("c > 1").drop("c").coalesce(parts), "ngram-groups")
 
 
 class _Verifier:
@@ -344,6 +344,63 @@ class _Verifier:
         self.check(self._possible(x.join(y, "key")))
         return both.where((F.col("side") == 0) | (few > SMALL)).select("key", "id", "n")
 
+    def open_groups(self, groups: DataFrame) -> DataFrame:
+        """``groups`` with each set's component so far (part), those of one component left out."""
+        labels = connected_components(self.links(), parts=self.parts)
+        known = groups.join(labels, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
+        several = known.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("k")
+        return self.put(known.join(several, F.col("key") == F.col("k"), "left_semi"), "ngram-open")
+
+    def apart(self, large: DataFrame) -> DataFrame:
+        """Join the sets of large groups anew on their differences from what most of the group holds; what stays large comes back.
+
+        With D the difference of a set of n shingles from the shingles that more than half of a group's sets
+        hold, two sets differ in |D| + |D'| - 2 |D and D'| shingles, and link if that is at most (den - num) / (den + num)
+        of n + n'. So with u = (|D| - that share of n) / 2 they share at least u + u' differences if they link; if
+        u + u' <= 0 they link in any case, and both do with the group's set of least u. Others have one of
+        their rarest |D| - (u + u') + 1 differences in common.
+        """
+        num, den = self.num, self.den
+        groups = self.open_groups(large.select("key", "id", "n"))
+        tokens = groups.select("key", "id").join(self.sets.select("id", F.explode("shingles").alias("gram")), "id")
+        sizes = groups.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("top"))
+        counts = tokens.groupBy("key", "gram").agg(F.count("*").alias("c")).join(sizes, "key")
+        counts = self.put(counts.where("c > 1").select("key", "gram", "c", "size", (2 * F.col("c") > F.col("size")).alias("common")), "ngram-counts")
+        tokens = tokens.join(counts, ["key", "gram"], "left")
+        # a difference that no other set has (c = 1) counts, but is no key
+        added = tokens.where("not coalesce(common, false)").select("key", "id", "gram", F.coalesce("c", F.lit(1)).alias("c"))
+        held = tokens.where("common").select("key", "id", "gram")
+        lacked = groups.select("key", "id").join(counts.where("common"), "key").select("key", "id", "gram", (F.col("size") - F.col("c")).alias("c")).join(held, ["key", "id", "gram"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("key", "id").orderBy("c", "gram"))
+        differ = self.put(added.union(lacked).withColumn("place", place), "ngram-differ")
+        d = differ.groupBy(F.col("key").alias("k"), F.col("id").alias("i")).agg(F.count("*").alias("d"))
+        twice = F.col("d") * (num + den) - F.col("n") * (den - num)  # 2 (num + den) u, whole
+        sized = groups.join(d, (F.col("key") == F.col("k")) & (F.col("id") == F.col("i")), "left").withColumn("d", F.coalesce("d", F.lit(0))).withColumn("u", twice)
+        width = F.greatest(F.lit(1), F.floor(F.col("top") / 40))
+        sized = self.put(sized.join(sizes, "key").select("key", "id", "n", "part", "d", "u", F.floor(F.col("u") / (2 * (num + den)) / width).alias("class")), "ngram-differences")
+        first = sized.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("u", "id", "part")).alias("first"))
+        led = sized.join(first, F.col("key") == F.col("k")).withColumn("sure", F.col("u") + F.col("first.u") <= 0)
+        sure = led.where(F.col("sure") & (F.col("id") != F.col("first.id"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
+        self.known = self.put(sure if self.known is None else self.known.union(sure), "ngram-known")
+        still = led.withColumn("part", F.when(F.col("sure"), F.col("first.part")).otherwise(F.col("part"))).drop("k", "first", "sure")
+        # keys for each class of u of the group: sets of two classes, or of one, that share a difference
+        classes = still.groupBy(F.col("key").alias("k"), F.col("class").alias("other")).agg(F.min("u").alias("v"))
+        reach = still.join(classes, F.col("key") == F.col("k")).withColumn("prefix", F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((F.col("u") + F.col("v")) / (2 * (num + den)))))
+        reach = reach.where("prefix > 0").select(F.col("key").alias("k"), F.col("id").alias("i"), "n", "part", "class", "other", "prefix")
+        side = F.when(F.col("class") == F.col("other"), 0).when(F.col("class") < F.col("other"), 1).otherwise(2)
+        keyed = differ.where("c > 1").join(reach, (F.col("key") == F.col("k")) & (F.col("id") == F.col("i")) & (F.col("place") <= F.col("prefix")))
+        keyed = keyed.select(F.xxhash64("key", F.least("class", "other"), F.greatest("class", "other"), "gram").alias("key"), "id", "n", "part", side.alias("side"))
+        use = keyed.groupBy(F.col("key").alias("k")).agg(F.count_if(F.col("side") == 1).alias("lower"), F.count_if(F.col("side") == 2).alias("higher"), F.count_if(F.col("side") == 0).alias("same"), F.min("part").alias("least"), F.max("part").alias("most"))
+        use = use.where("least <> most and (same > 1 or lower > 0 and higher > 0)").select("k", F.greatest(F.col("lower") * F.col("higher"), F.col("same") * F.col("same")).alias("pairs"))
+        rows = self.put(keyed.join(use, F.col("key") == F.col("k")).drop("k"), "ngram-sides")
+        few = rows.where(F.col("pairs") <= SMALL * SMALL)
+        x = few.where("side < 2").select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("side").alias("sa"))
+        y = few.where("side <> 1").select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("side").alias("sb"))
+        found = x.join(y, "key").where("pa <> pb and (sb = 2 or a < b)")
+        self.check(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        many = rows.where(F.col("pairs") > SMALL * SMALL).select("key", "id", "n")
+        return self.round(_led(many, self.parts)) if many.limit(1).count() else many
+
     def across(self, large: DataFrame, most_faces: int = SMALL) -> DataFrame:
         """Up to ``most_faces`` sets of each group's smaller components face the rest of it and are done; what stays open comes back."""
         labels = connected_components(self.links(), parts=self.parts)
@@ -382,6 +439,9 @@ def jaccard_links(reps: DataFrame, texts: DataFrame, k: int, num: int, den: int)
     few.done = few.put(verify.done.join(crowded, within[0], "left_semi").join(crowded, within[1], "left_semi"), "ngram-checked")
     few.known = few.put(connected_components(verify.links()).select(F.col("node").alias("a"), F.col("component").alias("b")).join(crowded, within[0], "left_semi").where("a <> b"), "ngram-known")
     large = few.round(_led(few.two_sided(_rarest_shingles(few.sets, num, den)), parts))
+    for _ in range(PIVOTS):
+        if large.limit(1).count():
+            large = few.apart(large)
     faces = SMALL
     while large.limit(1).count():
         large = few.across(large, faces)
