@@ -76,18 +76,23 @@ def micro_macro(targets: DataFrame, preds: DataFrame, rows: DataFrame, row: str
     return agg.crossJoin(F.broadcast(wrong.select((1 - F.col("wrong") / F.col("n_rows")).alias("accuracy"))))  # one row each
 
 
-def ranked_recall(terms: DataFrame, term_codes: DataFrame, targets: DataFrame, ranks: Sequence[int], row: str = "row_id") -> DataFrame:
+def ranked_recall(terms: DataFrame, term_codes: DataFrame, targets: DataFrame, ranks: Sequence[int], row: str = "row_id", parts: int | None = None) -> DataFrame:
     """k, tp, seen, fn and micro precision and recall of the codes of the first k terms.
 
     ``terms``: row, term_id, rank from 1. Rows with fewer than k terms count as having found nothing.
+    ``parts``: in how many parts rows are dealt, so that a task's share does not grow with the input.
     """
     spark = terms.sparkSession
-    first = terms.join(term_codes, "term_id").groupBy(row, "code").agg(F.min("rank").alias("rank"))
-    lengths = terms.groupBy(row).agg(F.max("rank").alias("n_terms"))
-    hits = first.join(targets.select(row, "code").distinct().withColumn("t", F.lit(1)), [row, "code"], "left").join(lengths, row)
+    dealt = lambda df: df.repartition(parts, row) if parts else df
+    found = terms.join(term_codes, "term_id").select(row, "code", "rank", F.lit(None).cast("int").alias("t"))
+    wanted = targets.select(row, "code", F.lit(None).cast(terms.schema["rank"].dataType).alias("rank"), F.lit(1).alias("t"))
+    pairs = dealt(found.union(wanted)).groupBy(row, "code").agg(F.min("rank").alias("rank"), F.max("t").alias("t"))
+    lengths = dealt(terms.select(row, "rank")).groupBy(row).agg(F.max("rank").alias("n_terms"))
+    # a null code is no hit
+    hits = pairs.where("rank is not null").withColumn("t", F.when(F.col("code").isNotNull(), F.col("t"))).join(lengths, row)
     ks = spark.createDataFrame([(k,) for k in ranks], "k int")
     found = hits.join(F.broadcast(ks), F.col("rank") <= F.col("k")).where("n_terms >= k").groupBy("k").agg(F.count("*").alias("seen"), F.count("t").alias("tp"))
-    total = targets.select(row, "code").distinct().agg(F.count("*").alias("total"))
+    total = pairs.agg(F.count("t").alias("total"))
     out = ks.join(found, "k", "left").na.fill(0).crossJoin(F.broadcast(total))
     return out.select("k", "tp", "seen", (F.col("total") - F.col("tp")).alias("fn"), F.when(F.col("seen") > 0, F.col("tp") / F.col("seen")).otherwise(0.0).alias("precision"), F.when(F.col("total") > 0, F.col("tp") / F.col("total")).otherwise(0.0).alias("recall"))
 

@@ -166,3 +166,11 @@ def test_scored_notes_and_guidelines(spark, tmp_path):
     assert [x["title"] for x in got] == ["T"]
     shots = spark.createDataFrame([(1, ["a", "b"], [["x"], ["y"]])], "k int, s array<string>, t array<array<string>>")
     assert sampling.flatten_fewshots(shots, "k", "s", "t", 1).count() == 1
+
+
+def test_ranked_recall_deals_rows_in_a_given_number_of_parts(spark):
+    terms = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "b", 2), (2, "a", 1)], "row_id long, term_id string, rank int")
+    codes = spark.createDataFrame([("a", "A"), ("b", "B"), ("b", None)], "term_id string, code string")
+    wanted = spark.createDataFrame([(1, "A"), (1, "A"), (1, None), (3, "B")], "row_id long, code string")
+    got = metrics.ranked_recall(terms, codes, wanted, [1, 2], parts=5).select("k", "tp", "seen", "fn").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2, 2), (2, 1, 3, 2)]
