@@ -20,7 +20,8 @@ No group of equal sections is expanded into all its pairs:
 * the sets beyond that, crowded families, are joined anew on their rarest shingles (a prefix filter).
   There, sets that are one component by now need no comparing. Groups that stay large are told apart by what
   their sets differ in from what most of the group holds (see ``apart``): sets that differ little link for
-  certain, others only with those that differ in the same shingles, by which they are joined anew;
+  certain, others only with those that differ in the same shingles, by which they are joined anew. In the first
+  of these rounds the groups that share sets are one, so that what is written grows with the sets, not with their keys;
 * if groups are large after ``PIVOTS`` rounds of that, sets from outside a group's largest component face the
   rest of it: up to ``SMALL`` in the first round, four times as many in each further one as long as they make
   at most ``FACED`` pairs a group, until nothing is unresolved.
@@ -351,8 +352,15 @@ class _Verifier:
         several = known.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("k")
         return self.put(known.join(several, F.col("key") == F.col("k"), "left_semi"), "ngram-open")
 
-    def apart(self, large: DataFrame) -> DataFrame:
+    def families(self, groups: DataFrame) -> DataFrame:
+        """``groups`` with those that share sets made one, so that each set is in one group only, however many keys it has."""
+        first = groups.groupBy("key").agg(F.min("id").alias("a"))
+        of = connected_components(groups.join(first, "key").select("a", F.col("id").alias("b")), parts=self.parts)
+        return self.put(groups.select("id", "n", "part").distinct().join(of, F.col("id") == F.col("node")).select(F.col("component").alias("key"), "id", "n", "part"), "ngram-families")
+
+    def apart(self, large: DataFrame, whole: bool = False) -> DataFrame:
         """Join the sets of large groups anew on their differences from what most of the group holds; what stays large comes back.
+        ``whole``: groups that share sets are one, as a pair may be told apart from any common ground.
 
         With D the difference of a set of n shingles from the shingles that more than half of a group's sets
         hold, two sets differ in |D| + |D'| - 2 |D and D'| shingles, and link if that is at most (den - num) / (den + num)
@@ -362,6 +370,7 @@ class _Verifier:
         """
         num, den = self.num, self.den
         groups = self.open_groups(large.select("key", "id", "n"))
+        groups = self.families(groups) if whole else groups
         tokens = groups.select("key", "id").join(self.sets.select("id", F.explode("shingles").alias("gram")), "id")
         sizes = groups.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("top"))
         counts = tokens.groupBy("key", "gram").agg(F.count("*").alias("c")).join(sizes, "key")
@@ -439,9 +448,9 @@ def jaccard_links(reps: DataFrame, texts: DataFrame, k: int, num: int, den: int)
     few.done = few.put(verify.done.join(crowded, within[0], "left_semi").join(crowded, within[1], "left_semi"), "ngram-checked")
     few.known = few.put(connected_components(verify.links()).select(F.col("node").alias("a"), F.col("component").alias("b")).join(crowded, within[0], "left_semi").where("a <> b"), "ngram-known")
     large = few.round(_led(few.two_sided(_rarest_shingles(few.sets, num, den)), parts))
-    for _ in range(PIVOTS):
+    for turn in range(PIVOTS):
         if large.limit(1).count():
-            large = few.apart(large)
+            large = few.apart(large, whole=turn == 0)
     faces = SMALL
     while large.limit(1).count():
         large = few.across(large, faces)
