@@ -5,16 +5,39 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a dictionary that is sent to the tasks; a larger one meets the items in a shuffle.
+SENT_BYTES = 256 << 20
 
-def lookup_list(df: DataFrame, id_col: str, list_col: str, names: DataFrame, key: str, value: str, default: str | None, out: str) -> DataFrame:
-    """``out``: the values of the list's items in order, ``default`` where the dictionary lacks one; empty stays empty."""
-    items = df.select(id_col, F.posexplode(list_col).alias("pos", "_k"))
-    found = items.join(names.select(F.col(key).alias("_k"), F.col(value).alias("_v")), "_k", "left").withColumn("_v", F.coalesce("_v", F.lit(default)))
-    regrouped = found.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_v"))), lambda x: x["_v"]).alias(out))
-    return df.join(regrouped, id_col, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+def _entries_in_order(df: DataFrame, keys: Sequence[str], list_col: str, entries: DataFrame) -> DataFrame:
+    """Rows of ``df`` for each item of their lists (one for an empty list): ``_pos``, ``_turn`` and in ``_all`` a struct of
+    ``_pos``, ``_k`` and ``_e`` for every item of the rows with these keys, in order.
+
+    ``entries``: ``_k`` and an array ``_e``, a row a key. The items are sorted before they meet their entries and keep that
+    order, so where the dictionary is sent to the tasks, nothing that it adds is shuffled or sorted.
+    """
+    same, at = Window.partitionBy(*keys, "_pos", "_k").orderBy("_k"), Window.partitionBy(*keys).orderBy("_pos", "_k")
+    items = df.select("*", F.posexplode_outer(list_col).alias("_pos", "_k")).withColumn("_copy", F.row_number().over(same))
+    size = entries.agg(F.sum(F.length(F.to_json(F.struct("_k", "_e"))))).first()[0] or 0
+    found = items.join(F.broadcast(entries) if size <= SENT_BYTES else entries, "_k", "left")
+    item = F.when(F.col("_pos").isNotNull() & (F.col("_copy") == 1), F.struct("_pos", "_k", "_e"))
+    whole = at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return found.select("*", F.collect_list(item).over(whole).alias("_all"), F.row_number().over(at).alias("_turn"))
+
+
+def lookup_list(df: DataFrame, id_col: str, list_col: str, names: DataFrame, key: str, value: str, default: str | None, out: str, order: str | None = None) -> DataFrame:
+    """``out``: the values of the list's items in order, ``default`` where the dictionary lacks one; empty stays empty.
+
+    Values of one key follow each other, those with the greatest ``order`` first (without it, the least value first).
+    """
+    entry = F.struct(F.col(order or value).alias("o"), F.coalesce(value, F.lit(default)).alias("v"))
+    entries = names.groupBy(F.col(key).alias("_k")).agg(F.transform(F.sort_array(F.collect_list(entry), asc=order is None), lambda x: x["v"]).alias("_e"))
+    rows = _entries_in_order(df, list(dict.fromkeys((id_col, list_col))), list_col, entries).where("_pos is null or _pos = 0")
+    values = F.flatten(F.transform("_all", lambda x: F.coalesce(x["_e"], F.array(F.lit(default).cast("string")))))
+    return rows.select(*(c for c in df.columns if c != out), values.alias(out))
 
 
 def lookup_fallback(df: DataFrame, key: str, dictionaries: Sequence[DataFrame], out: str, dict_key: str = "key", dict_value: str = "value") -> DataFrame:
