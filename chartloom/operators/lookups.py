@@ -74,8 +74,18 @@ def longest_prefix(codes: DataFrame, code_col: str, known: DataFrame, known_col:
     return wanted.join(best, "code", "left")
 
 
-def first_by_code(df: DataFrame, id_col: str, list_col: str, terms: DataFrame, term_id: str, code: str) -> DataFrame:
-    """Data of a list of term ids in order, the first term of each code only."""
-    items = df.select(id_col, F.posexplode(list_col).alias("pos", "_t")).join(terms.withColumnRenamed(term_id, "_t"), "_t")
-    firsts = items.groupBy(id_col, code).agg(F.min(F.struct("pos", *[c for c in items.columns if c not in (id_col, code, "pos")])).alias("f"))
-    return firsts.select(id_col, code, F.col("f.pos").alias("pos"), F.col("f._t").alias(term_id), *[F.col(f"f.{c}").alias(c) for c in items.columns if c not in (id_col, code, "pos", "_t")])
+def first_by_code(df: DataFrame, id_col: str, list_col: str, terms: DataFrame, term_id: str, code: str, order: str | None = None) -> DataFrame:
+    """Data of a list of term ids in order, the first term of each code only.
+
+    Of rows with one term and code, that with the greatest ``order`` counts (without it, the least row).
+    """
+    rest = [c for c in terms.columns if c not in (term_id, code)]
+    row = F.struct(F.lit(0).alias("_least"), *rest)
+    best = terms.groupBy(F.col(term_id).alias("_k"), F.col(code).alias("_c")).agg((F.max_by(row, order) if order else F.min(row)).alias("_r"))
+    entries = best.groupBy("_k").agg(F.collect_list(F.struct("_c", "_r")).alias("_e"))
+    rows = _entries_in_order(df.select(id_col, list_col), [id_col], list_col, entries).where("_turn = 1")
+    flat = F.flatten(F.transform("_all", lambda x: F.transform(F.coalesce(x["_e"], F.array().cast(entries.schema["_e"].dataType)), lambda e: F.struct(e["_c"].alias("c"), x["_pos"].alias("pos"), x["_k"].alias("k"), e["_r"].alias("r")))))
+    ordered = rows.select(id_col, F.sort_array(flat).alias("_s"))
+    first = F.filter("_s", lambda x, i: (i == 0) | ~x["c"].eqNullSafe(F.try_element_at("_s", F.greatest(i, F.lit(1)))["c"]))
+    found = ordered.select(id_col, F.explode(first).alias("f"))
+    return found.select(id_col, F.col("f.c").alias(code), "f.pos", F.col("f.k").alias(term_id), *(F.col("f.r")[c].alias(c) for c in rest))

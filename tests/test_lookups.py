@@ -49,3 +49,32 @@ def test_entries_are_not_moved(spark):
     lists = catalog.cohort.code_lists(ids, "id", "code")
     out = lookups.lookup_list(lists, "id", "codes", names, "k", "v", "none", "out")
     assert not moved_after_join(out) and out.selectExpr("sum(size(out))").first()[0] == sum(len(r["codes"]) for r in lists.collect()) * 100
+
+
+# ---- first by code ----------------------------------------------------------------------------------
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+@pytest.mark.parametrize("order", [None, "o"])
+def test_first_by_code_with_many_entries(spark, monkeypatch, order, sent):
+    """Of a term's rows with one code the latest counts; null codes are one code; lists of one id are one."""
+    monkeypatch.setattr(lookups, "SENT_BYTES", sent)
+    rng = random.Random(5)
+    terms, data = [(k, rng.choice([None, "c", "d"]), v, o) for k, v, o in entries(rng, 60)], [r for r in rows(rng, 40) if r[0] is not None]
+    best = {}
+    for i, x in data:
+        for pos, k in enumerate(x or []):
+            for t, c, v, o in terms:
+                if t is not None and t == k:
+                    rank = (pos, k, (-o,) if order else (v is not None, v or "", o))
+                    new = (rank, (i, c, pos, k, v, o))
+                    best[i, c] = min(best.get((i, c), new), new, key=lambda p: p[0])
+    df = spark.createDataFrame(data, "id int, codes array<string>").repartition(3)
+    got = lookups.first_by_code(df, "id", "codes", spark.createDataFrame(terms, "t string, code string, v string, o int").repartition(3), "t", "code", order)
+    assert got.columns == ["id", "code", "pos", "t", "v", "o"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted((row for _, row in best.values()), key=repr)
+
+
+def test_first_entries_are_not_moved(spark):
+    terms = spark.range(20_000).selectExpr("cast(id % 200 as string) as t", "cast(id div 200 as string) as code", "concat('value ', id) as v")
+    lists = catalog.cohort.code_lists(spark.range(5000).selectExpr("id % 1000 as id", "cast(id % 200 as string) as code"), "id", "code")
+    out = lookups.first_by_code(lists, "id", "codes", terms, "t", "code")
+    assert not moved_after_join(out) and out.count() == 1000 * 100
