@@ -158,3 +158,24 @@ def test_prefix_counts_try_only_lengths_that_tokens_have():
     words = ["".join(rng.choice("etaoinshrdluzq") for _ in range(rng.randint(1, 20))) for _ in range(200)]
     for word, counts in bpe._piece_counts(words).items():
         assert counts == bpe._library_counts(word)
+
+
+def test_sketches_tell_unlike_lines_and_lose_no_link(spark, monkeypatch):
+    """Of lines of one vocabulary that share bands, few have their texts compared; lines that link are never ruled out."""
+    rng, compared, real = random.Random(8), [], line_dedup._similar
+    parts = [a + b for a in "bcdfgklmnprst" for b in ("a", "e", "i", "on", "er")]
+    lines = ["".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.choice([40, 150, 300, 500]))) for _ in range(300)]
+    near = [t[: len(t) // 2] + "#" * rng.randint(1, 3) + t[len(t) // 2 + 2 :] for t in lines[:60]] + ["ab " * 30, "ab " * 90, "x", "xy"]
+    sketches = line_dedup.signatures(spark.createDataFrame(list(enumerate(lines + near)), "h long, line string"))
+    linker = line_dedup._Linker(None, sketches, 8, 10, None)
+    pairs = spark.createDataFrame([(i, 300 + i) for i in range(60)] + [(360, 361)], "x long, y long")
+    assert linker.sketched(linker.sketched(pairs, "x"), "y").where(linker.possible()).count() == 61
+
+    def similar(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_similar", similar)
+    got = line_dedup.line_classes(spark.createDataFrame(list(enumerate(lines + near)), DOCS)).collect()
+    cls = {r["id"]: r["class"] for r in got}
+    assert sum(cls[i] == cls[300 + i] for i in range(60)) >= 58 and sum(compared) < 100
