@@ -39,6 +39,30 @@ def test_negatives(spark, n, hard_ratio, size):
     assert len(out) == size and "428.0" in out and (hard_ratio == 0 or "250.00" in out)
 
 
+@pytest.mark.parametrize("n", [-1, 0, 1, 3, 9])
+@pytest.mark.parametrize("hard_ratio", [0.0, 0.5])
+def test_classes_of_all_rows_as_of_each(spark, n, hard_ratio):
+    """A Python list of classes gives what it gave as a list of each row: null lists, null and repeated codes, no or all classes taken."""
+    classes = ["428.0", "401.9", None, "250.00", "401.9", "272.4", ""]
+    own = [None, [], ["401.9"], ["401.9", None, "401.9", "x"], [c for c in classes if c], classes]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(own)], "i int, own array<string>")
+    hard = F.array(F.lit("250.00"), F.lit("h"), F.lit("401.9"))
+    each = F.array(*(F.lit(c).cast("string") for c in classes))
+    got = df.select(sampling.negatives(classes, F.col("own"), n, 3, hard, hard_ratio).alias("got"), sampling.negatives(each, F.col("own"), n, 3, hard, hard_ratio).alias("want")).collect()
+    assert len(got) == len(own) and all(r["got"] == r["want"] for r in got)
+    empty = df.select(sampling.negatives([], F.col("own"), n, 3).alias("x"), F.sort_array(F.array_distinct("own")).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in empty)
+
+
+def test_classes_of_all_rows_are_hashed_once(spark):
+    """The order of the classes is a subquery of one row; the rows' own projection hashes nothing."""
+    df = spark.range(5).select(F.array(F.col("id").cast("string")).alias("own"))
+    out = df.select(sampling.negatives(["1", "2", "3"], F.col("own"), 2, 7).alias("x"))
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert "md5" not in next(line for line in plan if "AS x" in line) and sum("md5" in line for line in plan) == 1
+    assert all(len(r["x"]) == 3 for r in out.collect())
+
+
 def test_shuffle_and_remap(spark):
     s = lambda *x: F.array(*map(F.lit, x))
     r = spark.range(1).select(sampling.shuffled(s("a", "b", "c"), 1).alias("o"), sampling.remap(F.array().cast("array<string>"), s("a")).alias("e")).first()
