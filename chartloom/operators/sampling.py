@@ -87,9 +87,19 @@ def decayed_keys(key: Column, rank: Column, decay: float = 0.5) -> Column:
     return F.ln(uniform(key)) / F.exp(-F.lit(decay) * rank)
 
 
+def in_millionths(x: Column) -> Column:
+    """Orders and ties as ``round(x, 6)`` does and shuffles smaller: whole numbers of millionths end in zero bytes, fractions fill all eight.
+
+    Doubles hold the millionths exactly below 2^31; larger numbers stay as they are. Millionths are divided by 2^20, which
+    loses nothing, so that they keep their place below those.
+    """
+    r = F.round(x, 6)
+    return F.when(F.abs(r) < 2**31, F.rint(r * 1_000_000) / 2**20).otherwise(r)
+
+
 def weighted_negatives(ranked: DataFrame, row: str, code: str, rank: str, m: int, seed: int = 0, decay: float = 0.5) -> DataFrame:
     """m codes a row without replacement, by exponentially decaying weights of their rank from 0."""
-    k = F.round(decayed_keys(sample_key(seed, row, code), F.col(rank), decay), 6)
+    k = in_millionths(decayed_keys(sample_key(seed, row, code), F.col(rank), decay))
     w = Window.partitionBy(row).orderBy(F.desc("_k"), code)
     return ranked.withColumn("_k", k).withColumn("place", F.row_number().over(w)).where(F.col("place") <= m).drop("_k")
 
